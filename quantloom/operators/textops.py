@@ -52,8 +52,8 @@ def mention_counts(docs: DataFrame, names: DataFrame, top: int = 6, doc: str = "
 
 def starts(docs: DataFrame, doc: str, longest) -> DataFrame:
     """(doc, _t): the text from each word start, as long as the longest name (linear in the text)."""
-    p = docs.select(doc, F.split("text", "(?<![가-힣A-Za-z0-9])").alias("_ps"))
-    at = F.transform(F.sequence(F.lit(1), F.size("_ps")), lambda i: F.array_join(F.slice("_ps", i, longest), "").substr(F.lit(1), longest))
+    p = docs.select(doc, F.split("text", "(?<![가-힣A-Za-z0-9])").alias("_ps"), longest.alias("_len"))
+    at = F.transform(F.sequence(F.lit(1), F.size("_ps")), lambda i: F.array_join(F.slice("_ps", i, F.col("_len")), "").substr(F.lit(1), F.col("_len")))
     return p.select(doc, F.explode(at).alias("_t"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "events")
+MODULES = ("market", "research", "events", "boards")
 
 
 def _load():

@@ -307,13 +307,13 @@ def _(v):
     return TX.mention_counts(docs, names, 6).select("doc_id", "code", "n")
 
 
-FILE_NAME = """CASE doc_id % 4 WHEN 0 THEN '2026-' || lpad(CAST(doc_id % 14 AS VARCHAR),2,'0') || '-07_' || source || '_업황' WHEN 1 THEN '2026-10_' || (doc_id % 5) || '주차_주간_' || source WHEN 2 THEN source || '_메모' ELSE '20261007 ' || lang END"""
+FILE_NAME = """CASE doc_id % 4 WHEN 0 THEN '2026-' || lpad(CAST(doc_id % 14 AS STRING),2,'0') || '-07_' || source || '_업황' WHEN 1 THEN '2026-10_' || (doc_id % 5) || '주차_주간_' || source WHEN 2 THEN source || '_메모' ELSE '20261007 ' || lang END"""
 
 
 @query("t04_parse_name", f""", fnm AS (SELECT doc_id, {FILE_NAME} AS stem FROM documents),
 fp AS (SELECT doc_id, stem, regexp_extract(stem,'^(\\d{{4}})-(\\d{{2}})_(\\d)주차[ _\\-]+(.+)$',['y','m','w','r']) AS w, regexp_extract(stem,'^(\\d{{4}})[-.]?(\\d{{2}})[-.]?(\\d{{2}})[ _\\-]+(.+)$',['y','m','d','r']) AS n FROM fnm)
 SELECT doc_id, CASE WHEN w.y='' AND n.y<>'' THEN try_cast(n.y||'-'||n.m||'-'||n.d AS DATE) END AS date,
- CASE WHEN w.y<>'' THEN CAST(w.m AS INT) || '월 ' || w.w || '주차 ' || trim(replace(w.r,'_',' ')) WHEN n.y<>'' AND try_cast(n.y||'-'||n.m||'-'||n.d AS DATE) IS NOT NULL THEN trim(replace(n.r,'_',' ')) ELSE trim(replace(stem,'_',' ')) END AS title FROM fp""")
+ CASE WHEN w.y<>'' THEN try_cast(w.m AS INT) || '월 ' || w.w || '주차 ' || trim(replace(w.r,'_',' ')) WHEN n.y<>'' AND try_cast(n.y||'-'||n.m||'-'||n.d AS DATE) IS NOT NULL THEN trim(replace(n.r,'_',' ')) ELSE trim(replace(stem,'_',' ')) END AS title FROM fp""")
 def _(v):
     return v.table("documents").select("doc_id", T.parse_name(F.expr(FILE_NAME)).alias("p")).select("doc_id", "p.date", "p.title")
 

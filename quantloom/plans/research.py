@@ -453,7 +453,7 @@ qd AS MATERIALIZED (SELECT stock_code, period, """ + ", ".join(
   assets, liab, equity, rcept_dt FROM wide WINDOW w AS (PARTITION BY stock_code ORDER BY period)),
 kf AS MATERIALIZED (SELECT a.stock_code, a.period, a.rcept_dt, a.equity, CASE WHEN count(n.ni)=4 THEN sum(n.ni) END AS ni_ttm,
   CASE WHEN a.equity>0 AND any_value(e.equity)>0 THEN (a.equity+any_value(e.equity))/2 END AS avg_eq
-  FROM qd a LEFT JOIN qd n ON n.stock_code=a.stock_code AND n.period BETWEEN a.period-3 AND a.period LEFT JOIN qd e ON e.stock_code=a.stock_code AND e.period=a.period-4 GROUP BY ALL)
+  FROM qd a LEFT JOIN qd n ON n.stock_code=a.stock_code AND n.period BETWEEN a.period-3 AND a.period LEFT JOIN qd e ON e.stock_code=a.stock_code AND e.period=a.period-4 GROUP BY a.stock_code, a.period, a.rcept_dt, a.equity)
 """
 
 
@@ -479,8 +479,8 @@ def _(v):
 STEP_SQL = FIN_SQL + """, kp0 AS (SELECT stock_code AS code, period, ni_ttm, equity, avg_eq, (SELECT min(pos) FROM cal WHERE date > rcept_dt) AS kpos FROM kf),
 kp1 AS (SELECT * FROM kp0 WHERE kpos IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code, kpos ORDER BY period DESC)=1),
 kp AS (SELECT * FROM (SELECT *, max(period) OVER (PARTITION BY code ORDER BY kpos) AS top FROM kp1) WHERE period=top),
-sp0 AS (SELECT g.date, g.pos, g.code, g.market, g.close, g.cap, """ + ", ".join(
-    f"(SELECT max_by({c}, kpos) FROM kp WHERE kp.code=g.code AND kp.kpos<=g.pos AND {c} IS NOT NULL) AS {c}" for c in ("ni_ttm", "equity", "avg_eq", "period")) + """ FROM grid g),
+sp0 AS (SELECT g.date, g.pos, g.code, any_value(g.market) AS market, any_value(g.close) AS close, any_value(g.cap) AS cap, """ + ", ".join(
+    f"max_by(kp.{c}, kpos) FILTER (kp.{c} IS NOT NULL) AS {c}" for c in ("ni_ttm", "equity", "avg_eq", "period")) + """ FROM grid g LEFT JOIN kp ON kp.code=g.code AND kp.kpos<=g.pos GROUP BY g.date, g.pos, g.code),
 sp AS MATERIALIZED (SELECT date, pos, code, market, close, cap, CASE WHEN fresh THEN ni_ttm END AS ni_ttm, CASE WHEN fresh THEN equity END AS equity, CASE WHEN fresh THEN avg_eq END AS avg_eq
   FROM (SELECT *, date - last_day(make_date((period-1)//4, ((period-1)%4+1)*3, 1)) <= 455 AS fresh FROM sp0))
 """

@@ -64,6 +64,21 @@ class Views:
         days = self.table("lineitem").select(F.date_trunc("week", "l_shipdate").cast("date").alias("date"))
         return stored(K.calendar_of(days), "calendar")  # one row per market week: read once, then small everywhere
 
+    @cached_property
+    def extra(self) -> DataFrame:
+        """Fund, short-sale, loan, lending, ownership and program fields per bar, all simple functions of the bar."""
+        b = self.bars.join(self.cal, "date")
+        k, p = F.col("code").cast("int"), F.col("pos")
+        pct = ((k + p) % 11).cast("double")
+        shares = ((p * 7 + k) % 10 + 1) * 1000000.0
+        return b.select(
+            "date", "pos", "code", "name", "market", "sector", "close", "chg", "volume", "value", "cap",
+            (F.col("close") - 0.5).alias("nav"), shares.alias("fund_shares"), ((F.col("close") - 0.5) * shares).alias("aum"), (p * 0.5 + 100).alias("idx"),
+            F.when(k % 6 == 0, F.concat("name", F.lit(" 레버리지"))).otherwise(F.col("name")).alias("fund_name"),
+            pct.alias("short_pct"), (F.col("value") * pct / 100).alias("short_amt"), (F.col("volume") * 1000).alias("loan_amt"),
+            (k * p % 25).cast("double").alias("loan_rate"), (F.col("volume") * 10).alias("lend_qty"), F.col("value").alias("lend_amt"),
+            ((k * 13 + p) % 1000 / 10).alias("ratio"), (F.col("value") * (p % 7 - 3)).alias("prog_net"))
+
     @cached_property
     def flows(self) -> DataFrame:
         """(date, code, who, net) long: two investor groups per code and week."""
@@ -177,6 +192,10 @@ cal AS MATERIALIZED (SELECT date, CAST(row_number() OVER (ORDER BY date) AS INT)
 grid AS MATERIALIZED (SELECT c.date, c.pos, f.code, b.name, b.market, b.sector, b.open, b.high, b.low, b.close, b.chg, b.volume, b.value, b.cap, b.shares
   FROM (SELECT code, min(date) AS d0 FROM bars GROUP BY code) f JOIN cal c ON c.date >= f.d0
   LEFT JOIN bars b ON b.code=f.code AND b.date=c.date),
+extra AS MATERIALIZED (SELECT b.date, c.pos, b.code, name, market, sector, close, chg, volume, value, cap, close-0.5::DOUBLE AS nav, ((c.pos*7+CAST(code AS INT))%10+1)*1000000.0::DOUBLE AS fund_shares,
+  (close-0.5::DOUBLE)*(((c.pos*7+CAST(code AS INT))%10+1)*1000000.0::DOUBLE) AS aum, c.pos*0.5::DOUBLE+100 AS idx, CASE WHEN CAST(code AS INT)%6=0 THEN name || ' 레버리지' ELSE name END AS fund_name,
+  ((CAST(code AS INT)+c.pos)%11)::DOUBLE AS short_pct, value*((CAST(code AS INT)+c.pos)%11)::DOUBLE/100 AS short_amt, volume*1000 AS loan_amt, (CAST(code AS INT)*c.pos%25)::DOUBLE AS loan_rate,
+  volume*10 AS lend_qty, value AS lend_amt, ((CAST(code AS INT)*13+c.pos)%1000)/10::DOUBLE AS ratio, value*(c.pos%7-3) AS prog_net FROM bars b JOIN cal c USING (date)),
 flows AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS code,
   CASE WHEN l_linestatus='O' THEN 'frgn' ELSE 'inst' END AS who,
   round(sum(CASE WHEN l_returnflag='R' THEN -1 ELSE 1 END*l_extendedprice),2) AS net FROM lineitem GROUP BY ALL),
