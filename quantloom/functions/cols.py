@@ -31,9 +31,13 @@ def positive(c) -> Column:
     return F.when(col(c) > 0, col(c))
 
 
-def ratio(a, b) -> Column:
-    """a / b with NULL (not an error or inf) when b is 0."""
-    return col(a) / F.when(col(b) != 0, col(b))
+def div(a, b) -> Column:
+    """a / b, NULL where b is 0 (ANSI sessions would raise)."""
+    return F.try_divide(col(a), col(b))
+
+
+def change(now, base) -> Column:
+    return div(now, base) - 1
 
 
 def growth(now, base) -> Column:

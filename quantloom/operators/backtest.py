@@ -52,7 +52,7 @@ def backtest(grid: DataFrame, cal: DataFrame, start, end, every: int = 20, top_f
     a, b = bounds.select("a").scalar(), bounds.select("b").scalar()
     first = a + delay
     w = C.by_code()
-    g = grid.withColumn("r", F.coalesce(F.col("close") / C.at("close", -1, w) - 1, F.lit(0.0)))
+    g = grid.withColumn("r", F.coalesce(C.change(F.col("close"), C.at("close", -1, w)), F.lit(0.0)))
     signal = g.where(F.col("pos").between(a, b) & ((F.col("pos") - a) % every == 0) & (F.col("pos") + delay <= b))
     tgt = target_weights(signal, top_frac, by_size).select((F.col("pos") + delay).alias("seg"), "code", F.col("w").alias("w0"))
     seg = (first + every * F.floor((F.col("pos") - 1 - first) / every)).cast("int")
@@ -71,7 +71,7 @@ def backtest(grid: DataFrame, cal: DataFrame, start, end, every: int = 20, top_f
     prev = F.lag("v").over(Window.orderBy("pos"))
     base = F.when(F.col("pos") - 1 == F.col("seg"), F.lit(1.0)).otherwise(prev)
     is_trade = (F.col("pos") >= first) & ((F.col("pos") - first) % every == 0)
-    gross = F.coalesce(F.col("v") / base - 1, F.lit(0.0))
+    gross = F.coalesce(C.change("v", base), F.lit(0.0))
     c = F.coalesce(F.col("buys") * buy + F.col("sells") * sell, F.lit(0.0))
     return d.select("date", "pos", gross.alias("gross"), c.alias("cost"), (gross - c).alias("ret"),
                     F.coalesce((F.col("buys") + F.col("sells")) / 2, F.lit(0.0)).alias("turnover"),
@@ -123,13 +123,13 @@ def paper_nav(defs: DataFrame, closes: DataFrame) -> DataFrame:
     a product of segment growth and costs. A portfolio holds a handful of assets, so everything is keyed by its name.
     """
     tot = Window.partitionBy("name")
-    p = defs.withColumn("w", F.col("weight") / F.sum("weight").over(tot))
+    p = defs.withColumn("w", C.div("weight", F.sum("weight").over(tot)))
     px = closes.where("close is not null").join(p.select("name", "code", "start"), "code").where(F.col("date") > F.col("start")).select("name", "code", "date", "close")
     days = px.select("name", "date").distinct()
     run = Window.partitionBy("name", "code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     x = days.join(p, "name").join(px, ["name", "code", "date"], "left")
     x = x.withColumn("close", F.last("close", ignorenulls=True).over(run))
-    x = x.withColumn("r", F.coalesce(F.col("close") / F.lag("close").over(Window.partitionBy("name", "code").orderBy("date")) - 1, F.lit(0.0)))
+    x = x.withColumn("r", F.coalesce(C.change(F.col("close"), F.lag("close").over(Window.partitionBy("name", "code").orderBy("date"))), F.lit(0.0)))
     byday = Window.partitionBy("name", "code").orderBy("date")
     month = F.trunc("date", "MM")
     x = x.withColumn("_new", F.coalesce(month != F.trunc(F.lag("date").over(byday), "MM"), F.lit(True)))
@@ -147,7 +147,7 @@ def paper_nav(defs: DataFrame, closes: DataFrame) -> DataFrame:
     day = day.withColumn("_step", F.when(F.col("_new"), growth * (1 - F.col("cost"))))
     done = F.coalesce(F.product(F.coalesce("_step", F.lit(1.0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
     day = day.withColumn("nav", done * growth * (1 - F.col("cost")))
-    return day.select("name", "date", "nav", (F.col("nav") / F.coalesce(F.lag("nav").over(w), F.lit(1.0)) - 1).alias("ret"), "cost")
+    return day.select("name", "date", "nav", C.change("nav", F.coalesce(F.lag("nav").over(w), F.lit(1.0))).alias("ret"), "cost")
 
 
 def promotion_gate(nav: DataFrame, bench: DataFrame, min_months: int = 6, min_t: float = 1.96) -> DataFrame:

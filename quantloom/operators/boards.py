@@ -20,7 +20,7 @@ def share_above_ma(grid: DataFrame, membership: DataFrame, window: int = 200, mi
 
 def rankings(last: DataFrame, top: int = 30) -> DataFrame:
     """Top codes of the last day by value, volume, up, down, cap and investor net, per market and for all markets together."""
-    chg = C.ratio("close", F.col("close") - F.col("chg")) - 1
+    chg = C.div("close", F.col("close") - F.col("chg")) - 1
     x = last.where("volume > 0").withColumn("up", chg).withColumn("down", -chg)
     x = x.select("code", F.explode(F.array("market", F.lit("ALL"))).alias("market"), "value", "volume", "up", "down", "cap", "frgn", "inst")
     x = x.unpivot(["code", "market"], ["value", "volume", "up", "down", "cap", "frgn", "inst"], "metric", "score").where("score is not null")
@@ -61,7 +61,7 @@ def sum_last(value, n: int, back: str = "back"):
 def breadth(bars: DataFrame) -> DataFrame:
     """Per (date): rising and falling names among those traded, rising share."""
     g = bars.where("volume > 0").groupBy("date").agg(F.sum((F.col("chg") > 0).cast("long")).alias("up"), F.sum((F.col("chg") < 0).cast("long")).alias("down"))
-    return g.withColumn("ratio", C.ratio("up", F.col("up") + F.col("down")))
+    return g.withColumn("ratio", C.div("up", F.col("up") + F.col("down")))
 
 
 def high_low_counts(flags: DataFrame, cal: DataFrame, days: int = 250) -> DataFrame:
@@ -79,8 +79,8 @@ def new_high_low_list(flags: DataFrame, own: DataFrame, cal: DataFrame, year_row
     o = from_end(own.where("close is not null")).groupBy("code").agg(nth("close", 0).alias("close"), nth("close", 1).alias("_p"), nth("close", year_rows).alias("_y"), nth("cap", 0).alias("cap"))
     kinds = F.explode(F.array_compact(F.array(F.when(F.col("new_high"), "hi"), F.when(F.col("new_low"), "lo")))).alias("kind")
     f = f.select("code", kinds, "high", "low", "prior_max", "prior_min").join(o, "code")
-    beyond = F.when(F.col("kind") == "hi", F.col("high") / F.col("prior_max") - 1).otherwise(F.col("low") / F.col("prior_min") - 1)
-    return f.select("kind", "code", "close", (F.col("close") / F.col("_p") - 1).alias("pct"), beyond.alias("beyond"), (F.col("close") / F.col("_y") - 1).alias("r1y"), "cap")
+    beyond = F.when(F.col("kind") == "hi", C.change(F.col("high"), F.col("prior_max"))).otherwise(C.change(F.col("low"), F.col("prior_min")))
+    return f.select("kind", "code", "close", (C.change(F.col("close"), F.col("_p"))).alias("pct"), beyond.alias("beyond"), (C.change(F.col("close"), F.col("_y"))).alias("r1y"), "cap")
 
 
 # Report windows in trading days.
@@ -93,7 +93,7 @@ def fund_panels(funds: DataFrame) -> DataFrame:
     prev = F.when(F.lag("pos").over(w) == F.col("pos") - 1, F.lag("fund_shares").over(w))
     base = F.col("close") - F.col("chg")
     d = funds.withColumn("_ps", prev).withColumn("ret", F.col("close") / F.when(base > 0, base) - 1)
-    q = F.col("fund_shares") / F.col("_ps")
+    q = C.div("fund_shares", "_ps")
     flow = F.when((q > 0.5) & (q < 2.0), (F.col("fund_shares") - F.col("_ps")) * F.col("nav"))
     return d.withColumn("flow", F.coalesce(flow, F.lit(0.0))).drop("_ps")
 
@@ -129,10 +129,10 @@ def fund_detail(funds: DataFrame, short: int = 63, year: int = 250) -> DataFrame
     from quantloom.functions import rules as R
 
     base = F.col("close") - F.col("chg")
-    d = from_end(funds.withColumn("ret", F.col("close") / F.when(base > 0, base) - 1).withColumn("prem", F.when(F.col("nav") > 0, F.col("close") / F.col("nav") - 1)))
+    d = from_end(funds.withColumn("ret", F.col("close") / F.when(base > 0, base) - 1).withColumn("prem", F.when(F.col("nav") > 0, C.change(F.col("close"), F.col("nav")))))
     aggs = [F.count("*").alias("n"), nth("prem", 0).alias("prem_now"), mean_last(F.abs("prem"), 20).alias("prem_20d_abs"), F.max(F.when(F.col("back") == 0, R.fund_category("fund_name", "market"))).alias("category")]
     for k, n in (("3m", short), ("1y", year)):
-        aggs += [F.product(F.when(F.col("back") < n, 1 + F.coalesce("ret", F.lit(0.0))).otherwise(1.0)).alias(f"_e{k}"), (nth("idx", 0) / nth("idx", n) - 1).alias(f"_i{k}")]
+        aggs += [F.product(F.when(F.col("back") < n, 1 + F.coalesce("ret", F.lit(0.0))).otherwise(1.0)).alias(f"_e{k}"), C.change(nth("idx", 0), nth("idx", n)).alias(f"_i{k}")]
     g = d.groupBy("code").agg(*aggs).where("n >= 3")
     plain = F.col("category") != R.LEVERAGED
     return g.select("code", "n", "category", "prem_now", "prem_20d_abs", *[F.when(plain, F.col(f"_e{k}") - 1 - F.col(f"_i{k}")).alias(f"track_{k}") for k in ("3m", "1y")])
@@ -147,11 +147,11 @@ def sector_rotation(prices: DataFrame, cal: DataFrame, weeks: int = 12, step: in
     w = Window.partitionBy("code").orderBy("pos")
     d = prices.where(((last - F.col("pos")) % step == 0) & (F.col("pos") >= last - step * weeks))
     d = d.withColumn("_n", F.when(F.lead("pos").over(w) == F.col("pos") + step, F.lead("close").over(w)))
-    d = d.where(F.col("pos") < last).withColumn("_r", F.col("_n") / F.col("close") - 1)
+    d = d.where(F.col("pos") < last).withColumn("_r", C.change(F.col("_n"), F.col("close")))
     usable = F.col("_r").isNotNull() & (F.col("cap") > 0)
     g = d.groupBy("market", "sector", "pos").agg((F.sum(F.when(usable, F.col("_r") * F.col("cap"))) / F.sum(F.when(usable, F.col("cap")))).alias("ret"), F.sum("cap").alias("_cap"))
     per = Window.partitionBy("market", "pos")
-    g = g.withColumn("_w", F.col("_cap") / F.sum("_cap").over(per))
+    g = g.withColumn("_w", C.div("_cap", F.sum("_cap").over(per)))
     sec = Window.partitionBy("market", "sector")
     g = g.withColumn("weight", F.max(F.when(F.col("pos") == last - step, F.col("_w"))).over(sec))
     g = g.withColumn("recent", F.product(F.when(F.col("pos") >= last - step * recent, 1 + F.coalesce("ret", F.lit(0.0))).otherwise(1.0)).over(sec) - 1)
@@ -175,15 +175,15 @@ def market_map(bars: DataFrame, cal: DataFrame, top: int = 300) -> DataFrame:
     snap = bars.where((F.col("date") == day) & (F.col("close") > 0))
     tot = snap.groupBy("market").agg(F.sum("cap").alias("_tot"))
     pick = ranks.top_k(snap, ["market"], [F.col("cap").desc(), F.col("code")], top)
-    cover = pick.groupBy("market").agg(F.sum("cap").alias("_top")).join(tot, "market").select("market", (F.col("_top") / F.col("_tot")).alias("coverage"))
+    cover = pick.groupBy("market").agg(F.sum("cap").alias("_top")).join(tot, "market").select("market", C.div("_top", "_tot").alias("coverage"))
     hist = from_end(bars.where("adj_close is not null")).groupBy("code").agg(
         nth("adj_close", 0).alias("_0"), nth("adj_close", 5).alias("_5"), nth("adj_close", 21).alias("_21"),
         F.max_by("adj_close", F.when(F.year("date") < F.year(day), F.col("date"))).alias("_y"), F.min(F.year("date")).alias("_y0"))
     base = F.col("close") - F.col("chg")
     d = pick.join(hist, "code", "left").join(cover, "market")
     prior = F.when(F.col("_y0") < F.year(day), F.col("_y"))
-    return d.select("market", "code", "sector", "cap", (F.col("close") / C.positive(base) - 1).alias("r1d"), (F.col("_0") / F.col("_5") - 1).alias("r1w"), (F.col("_0") / F.col("_21") - 1).alias("r1m"),
-                    (F.col("_0") / prior - 1).alias("rytd"), "coverage")
+    return d.select("market", "code", "sector", "cap", (F.col("close") / C.positive(base) - 1).alias("r1d"), (C.change(F.col("_0"), F.col("_5"))).alias("r1w"), (C.change(F.col("_0"), F.col("_21"))).alias("r1m"),
+                    C.change("_0", prior).alias("rytd"), "coverage")
 
 
 def change_since(df: DataFrame, days, value: str = "ratio") -> DataFrame:
@@ -202,7 +202,7 @@ def short_credit_board(x: DataFrame) -> DataFrame:
     g = d.groupBy("code").agg(
         mean_last("short_pct", 5).alias("s5"), mean_last("short_pct", 20).alias("s20"), mean_last("short_pct", 60).alias("s60"),
         nth("loan_rate", 0).alias("loan_rate"), nth("loan_amt", 0).alias("loan_amt"), step("loan_amt").alias("loan_chg20"),
-        (nth("lend_qty", 0) / (nth("cap", 0) / F.when(nth("close", 0) > 0, nth("close", 0))) * 100).alias("lend_pct"), step("lend_qty").alias("lend_chg20"), step("close").alias("r20"))
+        (C.div(nth("lend_qty", 0), C.div(nth("cap", 0), nth("close", 0))) * 100).alias("lend_pct"), step("lend_qty").alias("lend_chg20"), step("close").alias("r20"))
     return g.join(change_since(x, (28, 91, 365)).withColumnRenamed("last", "foreign_ratio"), "code")
 
 
@@ -240,10 +240,10 @@ def program_board(x: DataFrame) -> DataFrame:
 def price_stats(own: DataFrame) -> DataFrame:
     """Per code on its own rows: returns over 1/21/63/250 rows, 52-week range and position, 60-row volatility (40+ returns)."""
     w = Window.partitionBy("code").orderBy("date")
-    d = from_end(own.where("close is not null").withColumn("_r", F.col("close") / F.lag("close").over(w) - 1))
+    d = from_end(own.where("close is not null").withColumn("_r", C.change(F.col("close"), F.lag("close").over(w))))
     hi, lo = F.max(F.when(F.col("back") < 250, F.col("close"))), F.min(F.when(F.col("back") < 250, F.col("close")))
     vol = F.when(F.count(F.when(F.col("back") < 60, F.col("_r"))) >= 40, F.stddev_samp(F.when(F.col("back") < 60, F.col("_r"))) * C.TRADING_DAYS ** 0.5)
-    g = d.groupBy("code").agg(F.count("*").alias("_n"), nth("close", 0).alias("close"), *[(nth("close", 0) / nth("close", n) - 1).alias(a) for n, a in ((1, "ret_1d"), (21, "ret_1m"), (63, "ret_3m"), (250, "ret_1y"))],
+    g = d.groupBy("code").agg(F.count("*").alias("_n"), nth("close", 0).alias("close"), *[C.change(nth("close", 0), nth("close", n)).alias(a) for n, a in ((1, "ret_1d"), (21, "ret_1m"), (63, "ret_3m"), (250, "ret_1y"))],
                               hi.alias("hi_52w"), lo.alias("lo_52w"), vol.alias("vol_60")).where("_n >= 2")
     return g.withColumn("pos_52w", F.when(F.col("hi_52w") > F.col("lo_52w"), (F.col("close") - F.col("lo_52w")) / (F.col("hi_52w") - F.col("lo_52w")))).drop("_n")
 
@@ -252,10 +252,10 @@ def screener_price_stats(grid: DataFrame, cal: DataFrame, year: int = 250, min_o
     """Grid version for the whole market: forward-filled prices; one-year figures need min_obs closes in the year. grid: high, low, close."""
     last = cal.agg(F.max("pos")).scalar()
     w = C.by_code()
-    g = grid.withColumn("_c", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.col("close") / F.lag("close").over(w) - 1)
+    g = grid.withColumn("_c", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", C.change(F.col("close"), F.lag("close").over(w)))
     g = g.withColumn("back", last - F.col("pos"))
     yr = F.col("back") < year
-    a = g.groupBy("code").agg(nth("_c", 0).alias("_l"), *[(nth("_c", 0) / nth("_c", n) - 1).alias(k) for n, k in ((21, "r1m"), (63, "r3m"), (year, "_r1y"))],
+    a = g.groupBy("code").agg(nth("_c", 0).alias("_l"), *[C.change(nth("_c", 0), nth("_c", n)).alias(k) for n, k in ((21, "r1m"), (63, "r3m"), (year, "_r1y"))],
                               F.max(F.when(yr, F.col("high"))).alias("_hi"), F.min(F.when(yr, F.col("low"))).alias("_lo"), F.count(F.when(yr, F.col("close"))).alias("_n"),
                               (F.stddev_samp(F.when(F.col("back") < 60, F.col("_r"))) * C.TRADING_DAYS ** 0.5).alias("vol60"))
     full = F.col("_n") >= min_obs
@@ -312,13 +312,13 @@ def index_cards(series: DataFrame, n: int = 120) -> DataFrame:
     d = from_end(series.where("close is not null"), ("name",)).where(F.col("back") < n)
     g = d.groupBy("name").agg(F.max("date").alias("asof"), nth("close", 0).alias("last"), nth("close", 1).alias("_p"),
                               F.transform(F.sort_array(F.collect_list(F.struct("date", F.round("close", 4).alias("v")))), lambda s: s["v"]).alias("spark"))
-    return g.where("_p is not null").select("name", "asof", "last", (F.col("last") - F.col("_p")).alias("chg"), (F.col("last") / F.col("_p") - 1).alias("pct"), "spark")
+    return g.where("_p is not null").select("name", "asof", "last", (F.col("last") - F.col("_p")).alias("chg"), (C.change(F.col("last"), F.col("_p"))).alias("pct"), "spark")
 
 
 def stock_series(x: DataFrame, n: int = 250) -> DataFrame:
     """Per code: last n rows of short %, loan rate, lending % of shares and foreign ratio, with 28/91/365-day ratio changes."""
     sh = F.col("cap") / C.positive("close")
-    d = x.withColumn("lend_pct", F.round(F.col("lend_qty") / sh * 100, 3))
+    d = x.withColumn("lend_pct", F.round(C.div("lend_qty", sh) * 100, 3))
     rows = latest_n(d, ["code"], [F.col("date").desc()], n, ["date", "short_pct", "loan_rate", "lend_pct", "ratio"])
     return rows.join(change_since(x, (28, 91, 365)), "code")
 

@@ -51,8 +51,8 @@ def dividend_features(prices: DataFrame, divs: DataFrame, cal: DataFrame) -> Dat
     m = K.day_map(cal).select(F.date_add("day", YEAR_DAYS).alias("date"), F.col("last_pos").alias("_ppos"))
     prior = t.select("code", F.col("pos").alias("_ppos"), F.col("ttm").alias("_prior"))
     t = t.join(m, "date", "left").join(prior, ["code", "_ppos"], "left")
-    growth = F.when((F.col("ttm") > 0) & (F.col("_prior") > 0), F.col("ttm") / F.col("_prior") - 1)
-    return t.select("code", "pos", "date", "close", "ttm", (F.col("ttm") / F.col("close")).alias("dy_ttm"), growth.alias("div_growth"))
+    growth = F.when((F.col("ttm") > 0) & (F.col("_prior") > 0), C.change(F.col("ttm"), F.col("_prior")))
+    return t.select("code", "pos", "date", "close", "ttm", C.div("ttm", "close").alias("dy_ttm"), growth.alias("div_growth"))
 
 
 def upcoming_dividends(divs: DataFrame, today, back: int = 30, ahead: int = 120, n: int = 10) -> DataFrame:

@@ -66,7 +66,7 @@ def window_returns(grid: DataFrame, cal: DataFrame, windows=(1, 5, 20, 60)) -> D
     w = C.by_code()
     g = grid.withColumn("_px", F.last("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda n: F.max(F.when(F.col("pos") == last - n, F.col("_px")))
-    return g.groupBy("code").agg(*[(at(0) / at(n) - 1).alias(f"ret_{n}") for n in windows])
+    return g.groupBy("code").agg(*[C.change(at(0), at(n)).alias(f"ret_{n}") for n in windows])
 
 
 def market_flow_series(totals: DataFrame, n: int = 260) -> DataFrame:

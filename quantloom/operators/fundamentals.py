@@ -181,5 +181,5 @@ def coverage_stats(member_days: DataFrame, value: str = "ni_ttm") -> DataFrame:
 def per_share_bands(stepped: DataFrame, cal: DataFrame, step: int = 5) -> DataFrame:
     """(code, date, close, eps, bps) every `step`-th market day counted from the end. stepped: grid with cap, close, ni_ttm, equity."""
     days = K.every_kth_keep_last(cal, step)
-    shares = C.positive("cap") / F.col("close")
+    shares = C.div(C.positive("cap"), "close")
     return stepped.join(days, "pos").select("code", "date", "close", (F.col("ni_ttm") / shares).alias("eps"), (C.positive("equity") / shares).alias("bps"))

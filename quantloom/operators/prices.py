@@ -21,7 +21,7 @@ def base_price_factor(bars: DataFrame) -> DataFrame:
     """Adds prev close and the day's adjustment factor f = (close - chg) / prev close (1 on gaps > 60 days or bad inputs)."""
     w = Window.partitionBy("code").orderBy(F.col("date").desc())
     base = F.col("close") - F.col("chg")
-    raw = F.when((F.col("prev_close") > 0) & (base > 0), base / F.col("prev_close")).otherwise(1.0)
+    raw = F.when((F.col("prev_close") > 0) & (base > 0), C.div(base, "prev_close")).otherwise(1.0)
     gap = F.datediff("date", F.col("prev_date")) > RELIST_GAP_DAYS
     return (bars.withColumn("prev_close", F.lead("close").over(w)).withColumn("prev_date", F.lead("date").over(w))
             .withColumn("factor", F.when(gap | (F.abs(raw - 1) <= 1e-9), 1.0).otherwise(raw)))
@@ -50,17 +50,17 @@ def base_price_returns(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("code").orderBy("date")
     prev = F.lag("close").over(w)
     base = F.col("close") - F.col("chg")
-    return (bars.withColumn("ret", F.col("close") / F.when(base != 0, base) - 1)
+    return (bars.withColumn("ret", C.change("close", base))
             .withColumn("factor", F.when(prev > 0, base / prev)).withColumn("first_day", prev.isNull()))
 
 
 def returns(grid: DataFrame, h: int = 1, price: str = "close", out: str = "ret", keys=("code",)) -> DataFrame:
     """price_t / price_{t-h} - 1 on the market grid; no fill across a missing day."""
-    return grid.withColumn(out, F.col(price) / C.at(price, -h, C.by_code(*keys)) - 1)
+    return grid.withColumn(out, C.change(price, C.at(price, -h, C.by_code(*keys))))
 
 
 def forward_returns(grid: DataFrame, h: int = 1, price: str = "close", out: str = "fwd", keys=("code",)) -> DataFrame:
-    return grid.withColumn(out, C.at(price, h, C.by_code(*keys)) / F.col(price) - 1)
+    return grid.withColumn(out, C.change(C.at(price, h, C.by_code(*keys)), price))
 
 
 def price_features(grid: DataFrame, month: int = 21, year: int = 252, rel: int = 60, trend: int = 120, vol: int = 60) -> DataFrame:
@@ -68,10 +68,10 @@ def price_features(grid: DataFrame, month: int = 21, year: int = 252, rel: int =
     w = C.by_code()
     c = F.col("close")
     return (grid
-            .withColumn("mom_12_1", C.at("close", -month, w) / C.at("close", -year, w) - 1)
-            .withColumn("rev_1m", c / C.at("close", -month, w) - 1)
-            .withColumn("rel_60", c / C.at("close", -rel, w) - 1)
-            .withColumn("trend_120", c / C.rolled(F.avg, "close", trend, w, min_obs=trend * 5 // 6) - 1)
+            .withColumn("mom_12_1", C.change(C.at("close", -month, w), C.at("close", -year, w)))
+            .withColumn("rev_1m", C.change(c, C.at("close", -month, w)))
+            .withColumn("rel_60", C.change(c, C.at("close", -rel, w)))
+            .withColumn("trend_120", C.change(c, C.rolled(F.avg, "close", trend, w, min_obs=trend * 5 // 6)))
             .withColumn("low_vol", -C.rolled(C.std, "ret", vol, w, min_obs=vol * 5 // 6))
             .withColumn("tail", C.rolled(F.min, "ret", vol, w, min_obs=vol * 5 // 6)))
 
@@ -102,8 +102,8 @@ def total_return_close(prices: DataFrame, yields: DataFrame) -> DataFrame:
     """Total-return price: close x running product of (1 + r + y) / (1 + r) over the code's own closes."""
     w = Window.partitionBy("code").orderBy("date")
     d = prices.where("close is not null").join(yields.select("code", F.col("ex_date").alias("date"), F.col("yield").alias("_y")), ["code", "date"], "left")
-    d = d.withColumn("_r", F.coalesce(F.col("close") / F.lag("close").over(w) - 1, F.lit(0.0)))
-    step = (1 + F.col("_r") + F.coalesce("_y", F.lit(0.0))) / (1 + F.col("_r"))
+    d = d.withColumn("_r", F.coalesce(C.change(F.col("close"), F.lag("close").over(w)), F.lit(0.0)))
+    step = F.coalesce(C.div(1 + F.col("_r") + F.coalesce("_y", F.lit(0.0)), 1 + F.col("_r")), F.lit(1.0))
     d = d.withColumn("_step", step)
     run = F.product("_step").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return d.withColumn("tr_close", F.col("close") * run).drop("_r", "_y", "_step")
@@ -124,16 +124,16 @@ def series_stats(df: DataFrame, window: int | None = None, ramp: int = 0, price:
     w = C.by_code()
     fr = _frame(w, window)
     x = F.col(price)
-    d = df.withColumn("ret", x / F.lag(x).over(w) - 1)
-    d = d.withColumn("_dd", x / F.max(x).over(fr) - 1)
+    d = df.withColumn("ret", C.change(x, F.lag(x).over(w)))
+    d = d.withColumn("_dd", C.change(x, F.max(x).over(fr)))
     d = d.withColumn("std", _ramped(F.stddev_samp(x).over(fr), w, ramp))
     d = d.withColumn("volatility", _ramped(F.stddev_samp("ret").over(fr) * (annual ** 0.5) * 100, w, ramp))
     d = d.withColumn("max_drawdown", _ramped(F.min("_dd").over(fr), w, ramp))
     if window is None:
         whole = Window.partitionBy("code")
-        z = (x - F.avg(x).over(whole)) / F.stddev_samp(x).over(whole)
+        z = C.div(x - F.avg(x).over(whole), F.stddev_samp(x).over(whole))
     else:
-        z = (x - F.avg(x).over(fr)) / F.stddev_samp(x).over(fr)
+        z = C.div(x - F.avg(x).over(fr), F.stddev_samp(x).over(fr))
         z = _ramped(z, w, ramp)
     return d.withColumn("zscore", z).drop("_dd")
 
@@ -142,7 +142,7 @@ def beta(df: DataFrame, bench: DataFrame, window: int | None = None, ramp: int =
     """cov(rx, rb) / var(rb) over rows where both returns exist. df: (code, pos, close), bench: (pos, bench_close)."""
     w = C.by_code()
     d = df.join(bench, "pos", "left")
-    d = d.withColumn("rx", F.col("close") / F.lag("close").over(w) - 1).withColumn("rb", F.col("bench_close") / F.lag("bench_close").over(w) - 1)
+    d = d.withColumn("rx", C.change(F.col("close"), F.lag("close").over(w))).withColumn("rb", C.change(F.col("bench_close"), F.lag("bench_close").over(w)))
     d = d.where("rx is not null and rb is not null")
     fr = _frame(w, window)
     b = F.covar_samp("rx", "rb").over(fr) / F.when(F.var_samp("rb").over(fr) != 0, F.var_samp("rb").over(fr))
@@ -181,7 +181,7 @@ def ewm_std(df: DataFrame, value: str, beta: float, out: str = "ewm", keys=("cod
 def move_threshold(df: DataFrame, k: float = 2.0, floor: float = 0.025, cap: float = 0.15, min_obs: int = 60, beta: float = 0.94) -> DataFrame:
     """ret, threshold from yesterday's EWMA sigma, surge / plunge flags."""
     w = C.by_code()
-    d = df.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    d = df.withColumn("ret", C.change(F.col("close"), F.lag("close").over(w)))
     d = ewm_std(d, "ret", beta, "_sig")
     seen = F.count("ret").over(w.rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("threshold", F.when(seen >= min_obs, C.clip(k * F.lag("_sig").over(w), floor, cap)))
@@ -191,7 +191,7 @@ def move_threshold(df: DataFrame, k: float = 2.0, floor: float = 0.025, cap: flo
 
 def realized_vol(series: DataFrame, window: int = 20) -> DataFrame:
     w = C.by_code()
-    d = series.withColumn("ret", F.col("close") / F.lag("close").over(w) - 1)
+    d = series.withColumn("ret", C.change(F.col("close"), F.lag("close").over(w)))
     return d.withColumn("vol", C.rolled(C.std, "ret", window, w) * (C.TRADING_DAYS ** 0.5))
 
 
@@ -199,4 +199,4 @@ def equity_and_drawdown(rets: DataFrame, keys=("series",), order: str = "date",
     """Running product of 1 + ret and its distance from the running peak (peak starts with the first value)."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     d = rets.where(F.col(ret).isNotNull()).withColumn("_g", 1 + F.col(ret)).withColumn("equity", F.product("_g").over(w)).drop("_g")
-    return d.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
+    return d.withColumn("drawdown", C.change(F.col("equity"), F.max("equity").over(w)))

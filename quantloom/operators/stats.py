@@ -19,8 +19,9 @@ def cross_sectional_ic(df: DataFrame, feature: str, target: str, min_names: int
     """Per group: rank correlation over rows where both values exist; groups below min_names or without variance drop out."""
     d = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*group, F.col(feature).alias("_f"), F.col(target).alias("_t"))
     d = ranks.average_rank(ranks.average_rank(d, group, "_f", "_rf"), group, "_t", "_rt")
-    g = d.groupBy(*group).agg(F.count("*").alias("n"), F.corr("_rf", "_rt").alias("ic"), F.var_pop("_rf").alias("_vf"), F.var_pop("_rt").alias("_vt"))
-    return g.where((F.col("n") >= min_names) & (F.col("_vf") > 0) & (F.col("_vt") > 0)).drop("_vf", "_vt")
+    g = d.groupBy(*group).agg(F.count("*").alias("n"), F.covar_pop("_rf", "_rt").alias("_cov"), F.var_pop("_rf").alias("_vf"), F.var_pop("_rt").alias("_vt"))
+    g = g.where((F.col("n") >= min_names) & (F.col("_vf") > 0) & (F.col("_vt") > 0))
+    return g.select(*group, "n", C.div("_cov", F.sqrt(F.col("_vf") * F.col("_vt"))).alias("ic"))
 
 
 def label_cutoff(df: DataFrame, h, pos: str = "pos", last: Column | None = None) -> DataFrame:

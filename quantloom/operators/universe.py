@@ -103,7 +103,7 @@ def eligible(grid: DataFrame, universe: str = "in_universe", min_days: int = 252
 
 def attach_labels(grid: DataFrame, h: int = 5, kind: str = "cs_rank", universe: str = "in_universe", out: str = "label") -> DataFrame:
     """Forward return inside the universe only, raw or as the percent rank of the day."""
-    fwd = C.at("close", h, C.by_code()) / F.col("close") - 1
+    fwd = C.change(C.at("close", h, C.by_code()), "close")
     g = grid.withColumn("_fwd", fwd).withColumn("_fwd", F.when(F.col(universe), F.col("_fwd")))
     if kind == "raw":
         return g.withColumnRenamed("_fwd", out)

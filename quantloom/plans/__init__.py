@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "events", "boards")
+MODULES = ("market", "research", "events", "boards", "ingest")
 
 
 def _load():

@@ -268,12 +268,12 @@ def _(v):
     return out(d.select("code", F.transform("rows", lambda r: r["record_date"]).alias("dates"), F.when(F.size(hit) > 0, F.aggregate(hit, F.lit(0.0), lambda a, r: a + r["dps"])).alias("dps_ttm")), "code", "dates", dps_ttm=2)
 
 
-@query("k02_latest_quarters", FIN_SQL + "SELECT stock_code AS code, list(period ORDER BY period) AS periods, round(sum(revenue),2)+0.0 AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY period DESC) AS rn FROM qd) WHERE rn<=8 GROUP BY stock_code")
+@query("k02_latest_quarters", FIN_SQL + "SELECT stock_code AS code, list(period ORDER BY period) AS periods, round(sum(revenue),4)+0.0 AS revenue FROM (SELECT *, row_number() OVER (PARTITION BY stock_code ORDER BY period DESC) AS rn FROM qd) WHERE rn<=8 GROUP BY stock_code")
 def _(v):
     d = BD.latest_n(quarters(v).withColumnRenamed("stock_code", "code"), ["code"], [F.col("period").desc()], 8, ["period", "revenue", "op", "ni"])
     rows = F.inline(F.reverse("rows"))
     x = d.select("code", rows).groupBy("code").agg(F.sort_array(F.collect_list("period")).alias("periods"), F.sum("revenue").alias("revenue"))
-    return out(x, "code", "periods", revenue=2)
+    return out(x, "code", "periods", revenue=4)
 
 
 @query("k05_index_cards", """, ix AS (SELECT market AS name, date, round(sum(cap)/1e9,4) AS close FROM bars GROUP BY ALL), iy AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY date DESC) AS rn FROM ix)
@@ -377,9 +377,9 @@ def _(v):
     return Q.stale_keys(v.listing, v.bars.where("cast(code as int) % 7 <> 0"), v.cal, v.cal.agg(F.max("date")).scalar(), 1)
 
 
-@query("d09_series_gap", f", sl AS (SELECT code, max(date) AS last FROM extra WHERE short_pct>0 GROUP BY code) SELECT l.code, last, CAST({LASTPOS}-pos AS BIGINT) AS lag FROM listing l LEFT JOIN sl USING (code) LEFT JOIN cal ON cal.date=last WHERE last IS NULL OR {LASTPOS}-pos>3")
+@query("d09_series_gap", f", sl AS (SELECT code, max(date) AS last FROM extra WHERE short_pct>9 GROUP BY code) SELECT l.code, last, CAST({LASTPOS}-pos AS BIGINT) AS lag FROM listing l LEFT JOIN sl USING (code) LEFT JOIN cal ON cal.date=last WHERE last IS NULL OR {LASTPOS}-pos>3")
 def _(v):
-    return Q.stale_keys(v.listing, v.extra.where("short_pct > 0"), v.cal, v.cal.agg(F.max("date")).scalar(), 3)
+    return Q.stale_keys(v.listing, v.extra.where("short_pct > 9"), v.cal, v.cal.agg(F.max("date")).scalar(), 3)
 
 
 @query("d07_invalid_cap_days", "SELECT date FROM bars GROUP BY date HAVING NOT coalesce(bool_or(CASE WHEN month(date)=2 THEN NULL ELSE cap END>0),false)")
@@ -448,7 +448,7 @@ def open_days(v):
 
 
 def _roll(day: str, step: str) -> str:
-    return f"(SELECT CAST(min_by(d, k) AS DATE) FROM (SELECT k, {day}{step}k AS d FROM range(0,15) r(k)) z LEFT JOIN od ON od.date=CAST(z.d AS DATE) WHERE coalesce(od.is_open, isodow(z.d)<6))"
+    return f"(SELECT CAST(min_by(d, k) AS DATE) FROM (SELECT k, {day}{step}k::INT AS d FROM range(0,15) r(k)) z LEFT JOIN od ON od.date=CAST(z.d AS DATE) WHERE coalesce(od.is_open, isodow(z.d)<6))"
 
 
 EXP_SQL = OPEN_SQL + ", mo AS (SELECT DISTINCT CAST(date_trunc('month', date) AS DATE) AS month FROM cal), xp AS (SELECT month, " + _roll("CAST(month + ((3-(isodow(month)-1)+7)%7)::INT + 7 AS DATE)", "-") + " AS expiry, month(month)%3=0 AS quarterly FROM mo)"
@@ -465,10 +465,10 @@ def _(v):
 
 
 @query("c02_market_events", EXP_SQL.replace("FROM cal)", "FROM (SELECT unnest([DATE '1998-11-20', DATE '1998-12-20', DATE '1999-01-20', DATE '1999-02-20', DATE '1999-03-20', DATE '1999-04-10']) AS date))") + """, ev AS (
- SELECT date, '휴장' AS kind, '증시 휴장' AS title, NULL AS code FROM od WHERE NOT is_open
- UNION ALL SELECT expiry, '만기', CASE WHEN quarterly THEN '선물·옵션 동시 만기' ELSE '옵션 만기' END, NULL FROM xp
- UNION ALL SELECT """ + _roll("(expiry+1)", "+") + """, '지수', '코스피200 정기변경 반영', NULL FROM xp WHERE month(month) IN (6,12)
- UNION ALL SELECT """ + _roll("dl", "+") + """, '공시', t, NULL FROM (SELECT make_date(y,m,d) AS dl, t FROM (VALUES (1998),(1999)) a(y), (VALUES (3,31,'사업보고서 제출 마감 (12월 결산)'),(5,15,'1분기 보고서 제출 마감'),(8,14,'반기 보고서 제출 마감'),(11,14,'3분기 보고서 제출 마감')) b(m,d,t))
+ SELECT date, '휴장' AS kind, '증시 휴장' AS title, NULL::VARCHAR AS code FROM od WHERE NOT is_open
+ UNION ALL SELECT expiry, '만기', CASE WHEN quarterly THEN '선물·옵션 동시 만기' ELSE '옵션 만기' END, NULL::VARCHAR FROM xp
+ UNION ALL SELECT """ + _roll("(expiry+1)", "+") + """, '지수', '코스피200 정기변경 반영', NULL::VARCHAR FROM xp WHERE month(month) IN (6,12)
+ UNION ALL SELECT """ + _roll("dl", "+") + """, '공시', t, NULL::VARCHAR FROM (SELECT make_date(y,m,d) AS dl, t FROM (VALUES (1998),(1999)) a(y), (VALUES (3,31,'사업보고서 제출 마감 (12월 결산)'),(5,15,'1분기 보고서 제출 마감'),(8,14,'반기 보고서 제출 마감'),(11,14,'3분기 보고서 제출 마감')) b(m,d,t))
  UNION ALL SELECT record_date, '배당', code || ' ' || kind || ' 배당 기준일', code FROM divs)
 SELECT * FROM ev WHERE date BETWEEN DATE '1998-11-20' AND DATE '1998-11-20'+140""")
 def _(v):

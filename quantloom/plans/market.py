@@ -351,7 +351,7 @@ SELECT code, date, round(equity,6) AS equity, round(equity/max(equity) OVER (PAR
 def _(v):
     from pyspark.sql import Window
 
-    b = v.bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("code").orderBy("date")) - 1)
+    b = v.bars.withColumn("ret", C.change(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("date"))))
     return out(P.equity_and_drawdown(b, ("code",)), "code", "date", equity=6, drawdown=6)
 
 

@@ -94,7 +94,7 @@ def _(v):
 @query("a04_nw_tstat", ", ser AS (SELECT code, date AS o, close/lag(close) OVER (PARTITION BY code ORDER BY date)-1 AS x FROM bars)" + nw_sql("ser", "code", "10") +
        "SELECT code, n, round(mean,6)+0.0 AS mean, round(nw_t,6)+0.0 AS nw_t FROM nw")
 def _(v):
-    b = v.bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("code").orderBy("date")) - 1)
+    b = v.bars.withColumn("ret", C.change(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("date"))))
     return out(S.nw_tstat(b, ["code"], "date", "ret", 10), "code", "n", mean=6, nw_t=6)
 
 
@@ -106,7 +106,7 @@ def _(v):
 
 @query("a06_block_bootstrap")
 def _(v):
-    b = v.bars.withColumn("ret", F.col("close") / F.lag("close").over(Window.partitionBy("code").orderBy("date")) - 1)
+    b = v.bars.withColumn("ret", C.change(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("date"))))
     m = S.block_bootstrap_means(b, ["code"], "date", "ret", 20, n_boot=100)
     return m.groupBy("code").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se"))
 
@@ -148,7 +148,7 @@ RET_SQL = ", rets AS (SELECT code, date, close/lag(close) OVER (PARTITION BY cod
 
 def own_returns(v, *extra):
     w = Window.partitionBy("code").orderBy("date")
-    return v.bars.select("code", "date", *extra, (F.col("close") / F.lag("close").over(w) - 1).alias("ret"))
+    return v.bars.select("code", "date", *extra, (C.change(F.col("close"), F.lag("close").over(w))).alias("ret"))
 
 
 @query("a09_perf_stats", RET_SQL + """, e AS (SELECT code, date, ret, product(1+ret/10) OVER (PARTITION BY code ORDER BY date) AS eq FROM rets WHERE ret IS NOT NULL),
@@ -301,7 +301,7 @@ BENCH_SQL = ", mkr AS (SELECT date, sum(r*cap)/sum(cap) AS bench_ret FROM (SELEC
 
 def bench_returns(v):
     w = C.by_code()
-    g = K.grid(v.bars, v.cal, ["close", "cap"]).withColumn("r", F.col("close") / C.at("close", -1, w) - 1).withColumn("_c", C.at("cap", -1, w)).where("r is not null")
+    g = K.grid(v.bars, v.cal, ["close", "cap"]).withColumn("r", C.change(F.col("close"), C.at("close", -1, w))).withColumn("_c", C.at("cap", -1, w)).where("r is not null")
     return K.with_date(g, v.cal).groupBy("date").agg((F.sum(F.col("r") * F.col("_c")) / F.sum("_c")).alias("bench_ret"))
 
 
@@ -513,9 +513,9 @@ def _(v):
     return out(FU.rank_average(feature_grid(v), ["low_vol", "rev_1m"]), "pos", "code", score=6)
 
 
-@query("w27_per_share_bands", STEP_SQL + "SELECT code, date, round(close,4) AS close, round(ni_ttm/(CASE WHEN cap>0 THEN cap END/close),6)+0.0 AS eps, round(CASE WHEN equity>0 THEN equity END/(CASE WHEN cap>0 THEN cap END/close),6) AS bps FROM sp WHERE ((SELECT max(pos) FROM cal)-pos)%5=0")
+@query("w27_per_share_bands", STEP_SQL + "SELECT code, date, round(close,4) AS close, round(ni_ttm/(CASE WHEN cap>0 THEN cap END/close),9)+0.0 AS eps, round(CASE WHEN equity>0 THEN equity END/(CASE WHEN cap>0 THEN cap END/close),9) AS bps FROM sp WHERE ((SELECT max(pos) FROM cal)-pos)%5=0")
 def _(v):
-    return out(FU.per_share_bands(stepped(v), v.cal), "code", "date", close=4, eps=6, bps=6)
+    return out(FU.per_share_bands(stepped(v), v.cal), "code", "date", close=4, eps=9, bps=9)
 
 
 @query("a32_coverage_stats", STEP_SQL + UNI_SQL + ", md AS (SELECT sp.code, ni_ttm FROM sp JOIN dsnap USING (date) JOIN members m ON m.snap_date=dsnap.snap_date AND m.code=sp.code), pm AS (SELECT code, count(*) AS d, count(ni_ttm) AS h FROM md GROUP BY code) SELECT round(sum(h)/sum(d),6) AS coverage, count(*) FILTER (h=0) AS members_without FROM pm")
@@ -524,10 +524,12 @@ def _(v):
     return out(FU.coverage_stats(d), "members_without", coverage=6)
 
 
-CAPS_SQL = ", lc AS (SELECT code, market, sector, name, cap/1000 AS mcap FROM bars WHERE date=(SELECT max(date) FROM cal)) "
+CAPS_SQL = ", lc AS (SELECT code, market, sector, name, CASE WHEN CAST(code AS INT)%10=3 THEN cap/10000000 ELSE cap/1000 END AS mcap FROM bars WHERE date=(SELECT max(date) FROM cal)) "
 
 
-def last_caps(v, scale=1000.0):
+def last_caps(v):
+    """Caps of the last day in the unit of the facts; every tenth code gets a wrong unit so that the suspect rule bites."""
+    scale = F.when(F.col("code").cast("int") % 10 == 3, 10000000.0).otherwise(1000.0)
     return v.bars.where(F.col("date") == v.cal.agg(F.max("date")).scalar()).select("code", "market", "sector", "name", (F.col("cap") / scale).alias("mcap"))
 
 

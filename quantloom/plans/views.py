@@ -95,8 +95,8 @@ class Views:
         li = self.table("lineitem").groupBy(
             F.col("l_suppkey").alias("k"), F.year("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("q")).agg(
             F.round(F.sum("l_extendedprice"), 2).alias("rev"),
-            F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.06) - F.col("l_discount"))), 2).alias("op0"),
-            F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.06) - F.col("l_discount") - F.col("l_tax") / 8)), 2).alias("ni0"))
+            F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.06) - F.col("l_discount"))) + 3e-8, 2).alias("op0"),
+            F.round(F.sum(F.col("l_extendedprice") * (F.lit(0.06) - F.col("l_discount") - F.col("l_tax") / 8)) + 3e-8, 2).alias("ni0"))
         w = Window.partitionBy("k", "year").orderBy("q")
         ytd = lambda c: F.round(F.sum(c).over(w), 2)
         qd = li.select("k", "year", "q", ytd("rev").alias("revenue"), ytd("op0").alias("op"), ytd("ni0").alias("ni"),
@@ -200,7 +200,7 @@ flows AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS date, lpad(CAST
   CASE WHEN l_linestatus='O' THEN 'frgn' ELSE 'inst' END AS who,
   round(sum(CASE WHEN l_returnflag='R' THEN -1 ELSE 1 END*l_extendedprice),2) AS net FROM lineitem GROUP BY ALL),
 finq AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) AS INT) AS year, CAST(quarter(l_shipdate) AS INT) AS q, round(sum(l_extendedprice),2) AS rev,
-  round(sum(l_extendedprice*(0.06::DOUBLE-l_discount)),2) AS op0, round(sum(l_extendedprice*(0.06::DOUBLE-l_discount-l_tax/8)),2) AS ni0
+  round(sum(l_extendedprice*(0.06::DOUBLE-l_discount))+3e-8,2) AS op0, round(sum(l_extendedprice*(0.06::DOUBLE-l_discount-l_tax/8))+3e-8,2) AS ni0
   FROM lineitem GROUP BY ALL),
 finw AS (SELECT k, year, q, round(sum(rev) OVER w,2) AS revenue, round(sum(op0) OVER w,2) AS op, round(sum(ni0) OVER w,2) AS ni,
   rev*2 AS equity, rev AS liab, rev*3 AS assets FROM finq WINDOW w AS (PARTITION BY k, year ORDER BY q)),

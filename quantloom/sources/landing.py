@@ -16,6 +16,7 @@ SNAPSHOT_FIELDS = {"TDD_OPNPRC": "open", "TDD_HGPRC": "high", "TDD_LWPRC": "low"
 INDEX_FIELDS = {"OPNPRC_IDX": "open", "HGPRC_IDX": "high", "LWPRC_IDX": "low", "CLSPRC_IDX": "close", "ACC_TRDVOL": "volume"}
 FUND_FIELDS = {"TDD_CLSPRC": "close", "CMPPREVDD_PRC": "chg", "NAV": "nav", "MKTCAP": "aum", "LIST_SHRS": "shares", "ACC_TRDVAL": "value", "OBJ_STKPRC_IDX": "idx"}
 SNAPSHOT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("BAS_DD", "ISU_CD", "ISU_NM", "MKT_NM", *SNAPSHOT_FIELDS)])
+PARTITIONED_SCHEMA = T.StructType([*SNAPSHOT_SCHEMA.fields, T.StructField("ds_day", T.StringType())])
 INDEX_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("BAS_DD", "IDX_NM", *INDEX_FIELDS)])
 MILLION, TEN_THOUSAND = 1_000_000, 10_000
 FREQ_ORDER = {"D": 0, "W": 1, "M": 2}
@@ -74,7 +75,7 @@ def incremental_start(keys: DataFrame, table: DataFrame, default, overlap: str =
 def adjustment_changed(old: DataFrame, new: DataFrame, tol: float = 0.005) -> DataFrame:
     """(code, changed): the largest relative close gap on overlapping days exceeds tol -> the code needs a full reload."""
     j = new.select("code", "date", F.col("close").alias("_n")).join(old.select("code", "date", "close"), ["code", "date"])
-    return j.groupBy("code").agg((F.max(F.abs(F.col("_n") / F.col("close") - 1)) > tol).alias("changed"))
+    return j.groupBy("code").agg((F.max(F.abs(C.change("_n", "close"))) > tol).alias("changed"))
 
 
 def ingest_flows(raw: DataFrame) -> DataFrame:
@@ -288,4 +289,4 @@ def load_portfolios(docs: DataFrame) -> DataFrame:
     spec = "map<string, struct<weights: map<string, double>, benchmark: string, start: string>>"
     d = docs.select(F.explode(F.from_json("value", spec)).alias("name", "_s"))
     d = d.select("name", F.explode("_s.weights").alias("code", "weight"), F.col("_s.benchmark").alias("benchmark"), F.col("_s.start").try_cast("date").alias("start"))
-    return d.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("name")))
+    return d.withColumn("weight", C.div("weight", F.sum("weight").over(Window.partitionBy("name"))))
