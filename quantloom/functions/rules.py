@@ -122,8 +122,9 @@ def lexicon() -> list[tuple[str, int]]:
 
 def lexicon_score(title) -> Column:
     """struct(pos, neg, score). Each hit is blanked so that shorter terms cannot reuse it; neutral terms only consume."""
-    terms = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in lexicon()])
-    start = F.struct(C.squeeze(title).alias("txt"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
+    # Only terms present in the title can ever hit (blanks of two or more characters form no new term), so the ordered
+    # consumption runs over the few that are there.
+    listed = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in lexicon()])
 
     def use(acc, e):
         gone = F.replace(acc["txt"], e["t"], F.lit(""))
@@ -132,10 +133,13 @@ def lexicon_score(title) -> Column:
         return F.struct(rest.alias("txt"), (acc["pos"] + F.when(e["p"] > 0, n).otherwise(0)).alias("pos"),
                         (acc["neg"] + F.when(e["p"] < 0, n).otherwise(0)).alias("neg"))
 
-    r = F.aggregate(terms, start, use)
-    return score_struct(r["pos"], r["neg"])
+    def finish(a):
+        total = a["pos"] + a["neg"]
+        return F.struct(a["pos"].alias("pos"), a["neg"].alias("neg"), F.when(total > 0, (a["pos"] - a["neg"]) / total).otherwise(0.0).alias("score"))
 
+    def score(text):
+        start = F.struct(text.alias("txt"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
+        return F.aggregate(F.filter(listed, lambda e: F.contains(text, e["t"])), start, use, finish)
 
-def score_struct(pos, neg) -> Column:
-    total = pos + neg
-    return F.struct(pos.alias("pos"), neg.alias("neg"), F.when(total > 0, (pos - neg) / total).otherwise(0.0).alias("score"))
+    # a one-element transform binds the normalised title once; inlined, it would be rebuilt for every term
+    return F.element_at(F.transform(F.array(C.squeeze(title)), score), 1)

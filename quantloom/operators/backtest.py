@@ -98,7 +98,7 @@ def holding_diagnostics(picks: DataFrame, cands: DataFrame) -> tuple[DataFrame,
     per = ranks.group_total(per, ["pos"], F.col("_k"), "_tot")
     share = per.groupBy("sector").agg((F.sum(F.col("_k") / F.col("_tot")) / n).alias("share"))
     rk = ranks.average_rank(cands.where("ok").select("pos", "code", "cap"), ["pos"], "cap", "pct", pct=True, descending=True)
-    med = picks.select("pos", "code").join(rk, ["pos", "code"]).groupBy("pos").agg(C.median("pct").alias("cap_rank_pct"))
+    med = picks.select("pos", "code").join(rk, ["pos", "code"]).groupBy("pos").agg(C.median("pct").alias("cap_rank_pct")).where("cap_rank_pct is not null")
     return share, med
 
 
@@ -124,7 +124,7 @@ def paper_nav(defs: DataFrame, closes: DataFrame) -> DataFrame:
     """
     tot = Window.partitionBy("name")
     p = defs.withColumn("w", C.div("weight", F.sum("weight").over(tot)))
-    px = closes.where("close is not null").join(p.select("name", "code", "start"), "code").where(F.col("date") > F.col("start")).select("name", "code", "date", "close")
+    px = closes.select("code", "date", "close").where("close is not null").join(p.select("name", "code", "start"), "code").where(F.col("date") > F.col("start")).select("name", "code", "date", "close")
     days = px.select("name", "date").distinct()
     run = Window.partitionBy("name", "code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     x = days.join(p, "name").join(px, ["name", "code", "date"], "left")

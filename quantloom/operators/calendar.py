@@ -109,11 +109,11 @@ def second_thursday(first_of_month) -> "F.Column":
 def roll_to_open(days: DataFrame, day: str, open_days: DataFrame, forward: bool, out: str) -> DataFrame:
     """Moves each day to the nearest open weekday (forward or backward). `open_days`(date, is_open) overrides weekends."""
     step = 14
-    cand = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("_k"))
-    cand = cand.withColumn("_d", F.date_add(day, F.col("_k")) if forward else F.date_sub(day, F.col("_k")))
-    cand = cand.join(open_days.select(F.col("date").alias("_d"), "is_open"), "_d", "left")
-    ok = F.coalesce(F.col("is_open"), F.weekday("_d") < 5)
-    best = F.min_by(F.when(ok, F.col("_d")), F.when(ok, F.col("_k"))).alias(out)
+    cand = days.select("*", F.explode(F.sequence(F.lit(0), F.lit(step))).alias("_step"))
+    cand = cand.withColumn("_cand", F.date_add(day, F.col("_step")) if forward else F.date_sub(day, F.col("_step")))
+    cand = cand.join(open_days.select(F.col("date").alias("_cand"), "is_open"), "_cand", "left")
+    ok = F.coalesce(F.col("is_open"), F.weekday("_cand") < 5)
+    best = F.min_by(F.when(ok, F.col("_cand")), F.when(ok, F.col("_step"))).alias(out)
     return cand.groupBy(*days.columns).agg(best)
 
 

@@ -151,12 +151,12 @@ def own_returns(v, *extra):
     return v.bars.select("code", "date", *extra, (C.change(F.col("close"), F.lag("close").over(w))).alias("ret"))
 
 
-@query("a09_perf_stats", RET_SQL + """, e AS (SELECT code, date, ret, product(1+ret/10) OVER (PARTITION BY code ORDER BY date) AS eq FROM rets WHERE ret IS NOT NULL),
+@query("a09_perf_stats", RET_SQL + """, e AS (SELECT code, date, ret, product(1+ret/200) OVER (PARTITION BY code ORDER BY date) AS eq FROM rets WHERE ret IS NOT NULL),
 e2 AS (SELECT *, eq/max(eq) OVER (PARTITION BY code ORDER BY date)-1 AS dd FROM e),
-s AS (SELECT code, count(*) AS n, max_by(eq,date) AS e1, stddev_samp(ret/10)*sqrt(252) AS vol, min(dd) AS mdd FROM e2 GROUP BY code)
+s AS (SELECT code, count(*) AS n, max_by(eq,date) AS e1, stddev_samp(ret/200)*sqrt(252) AS vol, min(dd) AS mdd FROM e2 GROUP BY code)
 SELECT code, n, round(pow(e1,252.0/n)-1,6)+0.0 AS cagr, round(vol,6) AS vol, round((pow(e1,252.0/n)-1)/vol,6)+0.0 AS sharpe, round(mdd,6)+0.0 AS mdd, round(e1-1,6)+0.0 AS total FROM s""")
 def _(v):
-    r = own_returns(v).withColumn("ret", F.col("ret") / 10)
+    r = own_returns(v).withColumn("ret", F.col("ret") / 200)
     return out(S.perf_stats(r, ("code",)), "code", "n", cagr=6, vol=6, sharpe=6, mdd=6, total=6)
 
 
@@ -323,7 +323,7 @@ def _(v):
     return out(S.yearly_returns(r), "series", "year", ret=6)
 
 
-@query("a33_holding_sector_share", DV_SQL + PF_SQL + bt_sql(False, 0.2) + """, sh AS (SELECT seg, sector, count(*)::DOUBLE/sum(count(*)) OVER (PARTITION BY seg) AS s FROM tg JOIN listing USING (code) GROUP BY ALL)
+@query("a33_holding_sector_share", DV_SQL + PF_SQL + bt_sql(False, 0.2) + """, sh0 AS (SELECT seg, sector, count(*)::DOUBLE AS c FROM tg JOIN listing USING (code) GROUP BY seg, sector), sh AS (SELECT *, c/sum(c) OVER (PARTITION BY seg) AS s FROM sh0)
 SELECT sector, round(sum(s)/(SELECT count(DISTINCT seg) FROM tg),6) AS share FROM sh GROUP BY sector""")
 def _(v):
     return out(_diagnostics(v)[0], "sector", share=6)
@@ -417,11 +417,11 @@ def _(v):
 
 
 @query("w09_total_return_close", YLD_SQL + """, t AS (SELECT a.code, a.date, a.close, coalesce(a.close/lag(a.close) OVER (PARTITION BY a.code ORDER BY a.date)-1,0) AS r, coalesce(y.yield,0) AS y FROM adj a LEFT JOIN ylds y ON y.code=a.code AND y.ex_date=a.date)
-SELECT code, date, round(close*product((1+r+y)/(1+r)) OVER (PARTITION BY code ORDER BY date),4) AS tr_close FROM t""")
+SELECT code, date, round(close*product((1+r+y)/(1+r)) OVER (PARTITION BY code ORDER BY date),7) AS tr_close FROM t""")
 def _(v):
     a = adjusted(v)
     y = D.dividend_yields(v.divs, a, v.cal)
-    return out(P.total_return_close(a, y), "code", "date", tr_close=4)
+    return out(P.total_return_close(a, y), "code", "date", tr_close=7)
 
 
 DIVF_SQL = YLD_SQL + """, kd AS (SELECT ex.code, (SELECT min(pos) FROM cal WHERE date >= coalesce(CAST(pay_date AS DATE), record_date+120)) AS pos, dps*a.close/a.raw_close AS dps_adj FROM ex JOIN adj a ON a.code=ex.code AND a.date=ex.cum_date),
@@ -457,23 +457,23 @@ kf AS MATERIALIZED (SELECT a.stock_code, a.period, a.rcept_dt, a.equity, CASE WH
 """
 
 
-@query("j08_consolidated_first", FIN_SQL + "SELECT stock_code, period, round(revenue,2) AS revenue, round(ni,4)+0.0 AS ni, round(equity,2) AS equity, rcept_dt FROM wide")
+@query("j08_consolidated_first", FIN_SQL + "SELECT stock_code, period, round(revenue,4) AS revenue, round(ni,4)+0.0 AS ni, round(equity,4) AS equity, rcept_dt FROM wide")
 def _(v):
-    return out(FU.consolidated_first(v.fin), "stock_code", "period", "rcept_dt", revenue=2, ni=4, equity=2)
+    return out(FU.consolidated_first(v.fin), "stock_code", "period", "rcept_dt", revenue=4, ni=4, equity=4)
 
 
-@query("w11_cumulative_to_quarterly", FIN_SQL + "SELECT stock_code, period, round(revenue,2)+0.0 AS revenue, round(op,3)+0.0 AS op, round(ni,3)+0.0 AS ni FROM qd")
+@query("w11_cumulative_to_quarterly", FIN_SQL + "SELECT stock_code, period, round(revenue,4)+0.0 AS revenue, round(op,4)+0.0 AS op, round(ni,4)+0.0 AS ni FROM qd")
 def _(v):
-    return out(FU.quarterly(FU.consolidated_first(v.fin)), "stock_code", "period", revenue=2, op=3, ni=3)
+    return out(FU.quarterly(FU.consolidated_first(v.fin)), "stock_code", "period", revenue=4, op=4, ni=4)
 
 
 def quarters(v):
     return FU.quarterly(FU.consolidated_first(v.fin))
 
 
-@query("w12_known_fundamentals", FIN_SQL + "SELECT stock_code, period, rcept_dt, round(ni_ttm,3)+0.0 AS ni_ttm, round(equity,2) AS equity, round(avg_eq,3) AS avg_eq FROM kf")
+@query("w12_known_fundamentals", FIN_SQL + "SELECT stock_code, period, rcept_dt, round(ni_ttm,4)+0.0 AS ni_ttm, round(equity,4) AS equity, round(avg_eq,5) AS avg_eq FROM kf")
 def _(v):
-    return out(FU.known_fundamentals(quarters(v)), "stock_code", "period", "rcept_dt", ni_ttm=3, equity=2, avg_eq=3)
+    return out(FU.known_fundamentals(quarters(v)), "stock_code", "period", "rcept_dt", ni_ttm=4, equity=4, avg_eq=5)
 
 
 STEP_SQL = FIN_SQL + """, kp0 AS (SELECT stock_code AS code, period, ni_ttm, equity, avg_eq, (SELECT min(pos) FROM cal WHERE date > rcept_dt) AS kpos FROM kf),
@@ -491,9 +491,9 @@ def stepped(v, values=("close", "cap")):
     return FU.step_panels(g, FU.known_fundamentals(quarters(v)), v.cal)
 
 
-@query("j07_step_panels", STEP_SQL + "SELECT date, code, round(ni_ttm,3)+0.0 AS ni_ttm, round(equity,2) AS equity, round(avg_eq,3) AS avg_eq FROM sp")
+@query("j07_step_panels", STEP_SQL + "SELECT date, code, round(ni_ttm,4)+0.0 AS ni_ttm, round(equity,4) AS equity, round(avg_eq,5) AS avg_eq FROM sp")
 def _(v):
-    return out(K.with_date(stepped(v), v.cal), "date", "code", ni_ttm=3, equity=2, avg_eq=3)
+    return out(K.with_date(stepped(v), v.cal), "date", "code", ni_ttm=4, equity=4, avg_eq=5)
 
 
 QV_SQL = STEP_SQL + """, ff AS (SELECT date, pos, code, CASE WHEN equity>0 THEN equity END/CASE WHEN cap>0 THEN cap END AS bp, ni_ttm/CASE WHEN cap>0 THEN cap END AS ep, ni_ttm/CASE WHEN avg_eq>0 THEN avg_eq END AS roe FROM sp),
@@ -567,9 +567,9 @@ def cap_facts(v):
     return FU.caps_with_fundamentals(v.bars.select("date", "code", "market", (F.col("cap") / 1000).alias("cap")), facts)
 
 
-@query("j10_caps_with_fundamentals", MV_SQL + "SELECT date, code, market, round(cap,2) AS cap, round(ni,3)+0.0 AS ni, round(eq,2) AS eq FROM cf")
+@query("j10_caps_with_fundamentals", MV_SQL + "SELECT date, code, market, round(cap,4) AS cap, round(ni,4)+0.0 AS ni, round(eq,4) AS eq FROM cf")
 def _(v):
-    return out(cap_facts(v), "date", "code", "market", cap=2, ni=3, eq=2)
+    return out(cap_facts(v), "date", "code", "market", cap=4, ni=4, eq=4)
 
 
 @query("a21_market_valuation", MV_SQL + """, b AS (SELECT date, market, coalesce(sum(ni) FILTER (ni IS NOT NULL AND eq IS NOT NULL),0) AS e, coalesce(sum(eq) FILTER (ni IS NOT NULL AND eq IS NOT NULL),0) AS b, coalesce(sum(cap) FILTER (ni IS NOT NULL AND eq IS NOT NULL),0) AS m, sum(cap) AS al,
@@ -594,10 +594,10 @@ def season_pairs(v):
     return FU.yoy_pairs(q, last_caps(v), FU.season_period(q, 5).scalar())
 
 
-@query("j09_yoy_pairs", YOY_SQL + """SELECT code, round(revenue,2)+0.0 AS revenue, round(op,3)+0.0 AS op, round(CASE WHEN revenue_p>0 THEN revenue/revenue_p-1 END,6)+0.0 AS rev_yoy, round(CASE WHEN op_p>0 THEN op/op_p-1 END,6)+0.0 AS op_yoy,
+@query("j09_yoy_pairs", YOY_SQL + """SELECT code, round(revenue,4)+0.0 AS revenue, round(op,4)+0.0 AS op, round(CASE WHEN revenue_p>0 THEN revenue/revenue_p-1 END,6)+0.0 AS rev_yoy, round(CASE WHEN op_p>0 THEN op/op_p-1 END,6)+0.0 AS op_yoy,
  CASE WHEN op_p<=0 AND op>0 THEN '흑자전환' WHEN op_p>0 AND op<=0 THEN '적자전환' WHEN op_p<=0 AND op<=0 THEN '적자지속' ELSE '' END AS turn FROM yy""")
 def _(v):
-    return out(season_pairs(v), "code", "turn", revenue=2, op=3, rev_yoy=6, op_yoy=6)
+    return out(season_pairs(v), "code", "turn", revenue=4, op=4, rev_yoy=6, op_yoy=6)
 
 
 @query("a23_season_summary", YOY_SQL.replace("LEFT JOIN lc ON", "JOIN lc ON") + """SELECT market, count(*) AS n, round(avg(CASE WHEN op>op_p THEN 1.0 ELSE 0.0 END),6)+0.0 AS up, round(sum(op),3)+0.0 AS op, round(sum(op_p),3)+0.0 AS op_p, round(CASE WHEN sum(op_p)>0 THEN sum(op)/sum(op_p)-1 END,6)+0.0 AS op_sum_yoy
