@@ -357,7 +357,7 @@ def _(v):
 PAPER_SQL = """, pd AS (SELECT market AS name, code, (1+CAST(code AS INT)%3)::DOUBLE AS weight, DATE '1996-01-15' AS start, 0.0005::DOUBLE AS buy, 0.001::DOUBLE AS sell FROM listing QUALIFY row_number() OVER (PARTITION BY market ORDER BY code) <= 3),
 pw AS (SELECT *, weight/sum(weight) OVER (PARTITION BY name) AS w FROM pd),
 px0 AS (SELECT p.*, d.date FROM pw p JOIN (SELECT DISTINCT p.name, b.date FROM pw p JOIN bars b USING (code) WHERE b.date > p.start) d USING (name)),
-px1 AS (SELECT x.*, last_value(b.close IGNORE NULLS) OVER (PARTITION BY x.name, x.code ORDER BY x.date) AS close FROM px0 x LEFT JOIN bars b ON b.code=x.code AND b.date=x.date),
+px1 AS (SELECT x.*, last_value(b.close/1000+100 IGNORE NULLS) OVER (PARTITION BY x.name, x.code ORDER BY x.date) AS close FROM px0 x LEFT JOIN bars b ON b.code=x.code AND b.date=x.date),
 px2 AS (SELECT *, coalesce(close/lag(close) OVER k-1,0) AS r, coalesce(date_trunc('month',date) <> date_trunc('month', lag(date) OVER k), true) AS isnew FROM px1 WINDOW k AS (PARTITION BY name, code ORDER BY date)),
 pl AS (SELECT name, list(DISTINCT date ORDER BY date) AS ds FROM px2 GROUP BY name),
 pa AS MATERIALIZED (SELECT name, date, bool_or(isnew) AS isnew, list({'w': w, 'r': r, 'b': buy, 's': sell} ORDER BY code) AS a, row_number() OVER (PARTITION BY name ORDER BY date) AS i FROM px2 GROUP BY name, date),
@@ -370,6 +370,11 @@ pnav AS MATERIALIZED (SELECT name, date, nav, nav/prev-1 AS ret, cost FROM sim W
 """
 
 
+def paper_closes(v):
+    """Closes pulled towards a level, so that compounding over the years stays in a comparable range."""
+    return v.bars.select("code", "date", (F.col("close") / 1000 + 100).alias("close"))
+
+
 def paper_defs(v):
     d = ranks.top_k(v.listing, ["market"], [F.col("code")], 3)
     return d.select(F.col("market").alias("name"), "code", (F.col("code").cast("int") % 3 + 1).cast("double").alias("weight"), F.lit("1996-01-15").cast("date").alias("start"),
@@ -378,7 +383,7 @@ def paper_defs(v):
 
 @query("q04_paper_nav", PAPER_SQL + "SELECT name, date, round(nav,6) AS nav, round(ret,6)+0.0 AS ret, round(cost,8)+0.0 AS cost FROM pnav")
 def _(v):
-    return out(B.paper_nav(paper_defs(v), v.bars), "name", "date", nav=6, ret=6, cost=8)
+    return out(B.paper_nav(paper_defs(v), paper_closes(v)), "name", "date", nav=6, ret=6, cost=8)
 
 
 BA_SQL = ", ba AS (SELECT name, p.date, CASE WHEN row_number() OVER (PARTITION BY name ORDER BY p.date)=1 THEN 0 ELSE coalesce(bench_ret,0) END AS bench_ret FROM pnav p LEFT JOIN mkr USING (date))"
@@ -386,7 +391,7 @@ BA_SQL = ", ba AS (SELECT name, p.date, CASE WHEN row_number() OVER (PARTITION B
 
 @query("a48_benchmark_returns_aligned", PAPER_SQL + BENCH_SQL + BA_SQL + "SELECT name, date, round(bench_ret,6)+0.0 AS bench_ret FROM ba")
 def _(v):
-    nav = B.paper_nav(paper_defs(v), v.bars)
+    nav = B.paper_nav(paper_defs(v), paper_closes(v))
     return out(B.benchmark_returns_aligned(nav.select("name", "date"), bench_returns(v)), "name", "date", bench_ret=6)
 
 
@@ -395,7 +400,7 @@ ser AS (SELECT name, date_trunc('month', date) AS o, product(1+ret)-product(1+be
 SELECT name, nw.n AS months_complete, round(c,6)+0.0 AS cum_return, round(b,6)+0.0 AS bench_cum_return, round(nw_t,6)+0.0 AS monthly_excess_t, nw.n >= 6 AND c > b AND coalesce(nw_t >= 1.96,false) AS passed
 FROM (SELECT name, product(1+ret)-1 AS c, product(1+bench_ret)-1 AS b FROM pnav JOIN ba USING (name, date) GROUP BY name) JOIN nw USING (name)""")
 def _(v):
-    nav = B.paper_nav(paper_defs(v), v.bars)
+    nav = B.paper_nav(paper_defs(v), paper_closes(v))
     g = B.promotion_gate(nav, B.benchmark_returns_aligned(nav.select("name", "date"), bench_returns(v)))
     return out(g, "name", "months_complete", "passed", cum_return=6, bench_cum_return=6, monthly_excess_t=6)
 
