@@ -29,14 +29,12 @@ def rankings(last: DataFrame, top: int = 30) -> DataFrame:
 
 def study_ledger(tests: DataFrame, t_in: float) -> DataFrame:
     """One row per study: best in-sample test as text, pass/fail, whether the hold-out was used."""
-    from quantloom.operators import stats as S
-
-    ins = tests.where("phase = 'insample'")
-    best = S.best_test(ins)
-    use = tests.groupBy("study").agg(F.bool_or(F.col("phase") == "holdout").alias("holdout_used"))
-    hit = ins.groupBy("study").agg(F.coalesce(F.bool_or(F.abs("nw_t") >= t_in), F.lit(False)).alias("_hit"))
-    text = F.format_string("best %s h%d t %.2f", "feature", "h", "nw_t")
-    return best.join(use, "study").join(hit, "study").select("study", text.alias("metric"), F.when(F.col("_hit"), "pass").otherwise("fail").alias("status"), "holdout_used")
+    ins = F.col("phase") == "insample"
+    size = F.when(ins, F.struct(F.abs(F.coalesce("nw_t", F.lit(0.0))), F.col("feature"), F.col("h")))
+    g = tests.groupBy("study").agg(F.max_by(F.struct("feature", "h", "nw_t"), size).alias("_b"), F.bool_or(F.col("phase") == "holdout").alias("holdout_used"),
+                                   F.coalesce(F.bool_or(ins & (F.abs("nw_t") >= t_in)), F.lit(False)).alias("_hit"))
+    text = F.format_string("best %s h%d t %.2f", F.col("_b.feature"), F.col("_b.h"), F.col("_b.nw_t"))
+    return g.select("study", text.alias("metric"), F.when(F.col("_hit"), "pass").otherwise("fail").alias("status"), "holdout_used")
 
 
 def from_end(df: DataFrame, keys=("code",), order: str = "date", out: str = "back") -> DataFrame:

@@ -7,6 +7,8 @@ A day's cross-section is one window task as long as the inputs are small. Beyond
 built from a histogram of distinct values in three levels: equal values collapse in a map-side combined
 aggregate, each (group, leading digits of the value) is ranked on its own, and the running total of the buckets
 in front is added. No task then holds a whole group, and a value shared by a third of the rows is one histogram row.
+The input is read by two branches, so it is checkpointed first: chained ranks read each other's result, not each
+other's whole history.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions import cols as C
+from quantloom.session import cut_lineage
 
 ONE_TASK_BYTES = 128 << 20
 
@@ -72,7 +74,9 @@ def average_rank(df: DataFrame, group, value: str, out: str, pct: bool = False,
                  one_task: bool | None = None) -> DataFrame:
     group = list(group)
     small = fits_one_task(df) if one_task is None else one_task
-    return (_window_rank if small else _histogram_rank)(df, group, value, out, pct, descending)
+    if small:
+        return _window_rank(df, group, value, out, pct, descending)
+    return _histogram_rank(cut_lineage(df), group, value, out, pct, descending)
 
 
 def top_k(df: DataFrame, group, order, k: int, out: str = "rn") -> DataFrame:
@@ -86,6 +90,7 @@ def group_total(df: DataFrame, group, value, out: str, one_task: bool | None = N
     group = list(group)
     if fits_one_task(df) if one_task is None else one_task:
         return df.withColumn(out, F.sum(value).over(Window.partitionBy(*group)))
+    df = cut_lineage(df)
     return df.join(df.groupBy(*group).agg(F.sum(value).alias(out)), group)
 
 
@@ -98,8 +103,8 @@ def ordinal(df: DataFrame, group, value: str, tie: str, out: str, one_task: bool
     group = list(group)
     if fits_one_task(df) if one_task is None else one_task:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(F.col(value).desc(), F.col(tie))))
-    d = _histogram_rank(df, group, value, "_avg", pct=False, descending=True)
-    d = d.withColumn("_pre", F.substring(tie, 1, 4))
+    d = _histogram_rank(cut_lineage(df), group, value, "_avg", pct=False, descending=True)
+    d = cut_lineage(d.withColumn("_pre", F.substring(tie, 1, 4)))
     same = [*group, value]
     packs = d.groupBy(*same, "_pre").agg(F.count("*").alias("_pc"))
     front = Window.partitionBy(*same).orderBy("_pre").rowsBetween(Window.unboundedPreceding, -1)
