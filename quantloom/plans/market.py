@@ -120,8 +120,7 @@ def _(v):
     return out(P.size(v.bars), "date", "code", size=6)
 
 
-FLOWN_SQL = """, fg AS (SELECT g.date, g.pos, g.code, g.value, f.who, f.net FROM (SELECT grid.*, w.who FROM grid, (VALUES ('frgn'),('inst')) w(who)) g LEFT JOIN flows f ON f.code=g.code AND f.date=g.date AND f.who=g.who),
-fg2 AS (SELECT g.date, g.pos, g.code, g.who0 AS who, g.value, f.net FROM (SELECT date,pos,code,value, unnest(['frgn','inst']) AS who0 FROM grid) g LEFT JOIN flows f ON f.code=g.code AND f.date=g.date AND f.who=g.who0),
+FLOWN_SQL = """, fg2 AS (SELECT g.date, g.pos, g.code, g.who0 AS who, g.value, f.net FROM (SELECT date,pos,code,value, unnest(['frgn','inst']) AS who0 FROM grid) g LEFT JOIN flows f ON f.code=g.code AND f.date=g.date AND f.who=g.who0),
 fn AS (SELECT *, lag(net) OVER w / CASE WHEN count(value) OVER m >= 10 THEN CASE WHEN quantile_cont(value,0.5) OVER m > 0 THEN quantile_cont(value,0.5) OVER m END END AS norm
   FROM fg2 WINDOW w AS (PARTITION BY code, who ORDER BY pos), m AS (PARTITION BY code, who ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
 fs AS (SELECT date, pos, code, who, norm, CASE WHEN count(norm) OVER w >= 10 THEN sum(norm) OVER w END AS flow_20 FROM fn WINDOW w AS (PARTITION BY code, who ORDER BY pos ROWS 19 PRECEDING))
