@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from quantloom.llm.jaccard import op1_jaccard
 from quantloom.llm.mixing import OP4_SQL, op4_mix
 from quantloom.llm.quality import op6_quality
+from quantloom.llm.repeats import op3_repeats
 from quantloom.llm.url_rules import op10_url_rules
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
+    "op3_repeats": op3_repeats,
     "op4_mix": op4_mix,
     "op6_quality": op6_quality,
     "op10_url_rules": op10_url_rules,
