@@ -4,98 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm import arrays, store
+from quantloom.llm import arrays, seeds, store
 
-OUT = "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _hashes(data: np.ndarray, offsets: np.ndarray, seed: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all `seed`-grams and of all `length`-windows of words by first word, first word of each document, chosen anchors."""
-    words, first = arrays.word_hashes(data, offsets)
-    pre = arrays.prefix(words)
-    grams, windows = arrays.grams(pre, seed), arrays.grams(pre, length)
-    n = np.diff(first)
-    many = np.maximum(n - seed + 1, 0)
-    inside = arrays.ragged(first[:-1], many)
-    starts = np.concatenate([[0], np.cumsum(many)])
-    chosen = inside[arrays.winnowed(grams[inside], starts, length - seed + 1)]
-    return grams, windows, first, chosen
-
-
-def _anchor_places(docs: DataFrame, seed: int, length: int) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, _, data, offsets in arrays.chunks(batch.column(1)):
-                grams, _, first, chosen = _hashes(data, offsets, seed, length)
-                doc = np.searchsorted(first, chosen, side="right") - 1
-                ids = batch.column(0).take(pa.array(doc + lo))
-                yield pa.RecordBatch.from_arrays([ids, pa.array((chosen - first[doc]).astype(np.int32)), pa.array(grams[chosen].view(np.int64))], ["doc_id", "pos", "anchor"])
-
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, pos int, anchor long")
-
-
-def _windows(seeded: DataFrame, seed: int, length: int) -> DataFrame:
-    """Every window that holds a seed: (window, doc_id, pos). Input: doc_id, text, seeds (places of shared anchors)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
-                words, first = arrays.word_hashes(data, offsets)
-                windows = arrays.grams(arrays.prefix(words), length)
-                seeds = batch.column(2).slice(lo, hi - lo)
-                doc = np.repeat(np.arange(hi - lo), seeds.value_lengths().to_numpy(zero_copy_only=False))
-                at = seeds.flatten().to_numpy(zero_copy_only=False) + first[doc]
-                low, high = np.maximum(at - (length - seed), first[doc]), np.minimum(at, first[doc + 1] - length)
-                place = np.unique(arrays.ragged(low, np.maximum(high - low + 1, 0)))
-                doc = np.searchsorted(first, place, side="right") - 1
-                ids = batch.column(0).take(pa.array(doc + lo))
-                yield pa.RecordBatch.from_arrays([pa.array(windows[place].view(np.int64)), ids, pa.array((place - first[doc]).astype(np.int32))], ["window", "doc_id", "pos"])
-
-    return seeded.select("doc_id", "text", "seeds").mapInArrow(work, "window long, doc_id long, pos int")
-
-
-def _cut(placed: DataFrame, length: int) -> DataFrame:
-    """Removes what the windows of `found` cover. Input: doc_id, text, found (starts of repeated windows; null: none), copy (an earlier equal text exists)."""
-
+def _cut(placed: DataFrame, seed: int, length: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, settled, copy = seeds.items(batch.column(2)), seeds.items(batch.column(3)), batch.column(4).to_pylist()
             for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
                 starts, ends, first = arrays.word_bounds(data, offsets)
                 rows = []
-                for i, (found, copy) in enumerate(zip(batch.column(2).slice(lo, hi - lo), batch.column(3).slice(lo, hi - lo), strict=True)):
-                    a, b = first[i], first[i + 1]
-                    n = int(b - a)
-                    mark = np.zeros(n + 1, dtype=np.int64)
-                    if copy.as_py() and n >= length:
-                        mark[0], mark[n] = 1, -1
-                    elif found.is_valid and len(found):
-                        at = np.unique(found.values.to_numpy(zero_copy_only=False))
-                        np.add.at(mark, at, 1)
-                        np.add.at(mark, at + length, -1)
-                    gone = np.cumsum(mark[:n]) > 0
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                    left = np.flatnonzero(~gone) + a
-                    kept = b" ".join(data[s:e].tobytes() for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True)).decode()
-                    rows.append((n, int(gone.sum()), [{"start": int(s), "end": int(e)} for s, e in edge.reshape(-1, 2)], kept))
-                cols = list(zip(*rows, strict=True))
-                spans = pa.array(cols[2], type=pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), spans, pa.array(cols[3], pa.string())],
+                for i in range(hi - lo):
+                    n = int(first[i + 1] - first[i])
+                    gone = seeds.covered(n, length, seed, found[lo + i], settled[lo + i], copy[lo + i])
+                    left = (~gone).nonzero()[0] + first[i]
+                    kept = b" ".join(data[s:e].tobytes() for s, e in zip(starts[left].tolist(), ends[left].tolist(), strict=True))
+                    rows.append((n, int(gone.sum()), [{"start": s, "end": e} for s, e in seeds.runs(gone).tolist()], kept.decode()))
+                n, removed, spans, kept = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, SPANS), pa.array(kept, pa.string())],
                                                  ["doc_id", "n_words", "n_removed", "removed", "kept"])
 
-    return placed.select("doc_id", "text", "found", "copy").mapInArrow(work, OUT)
-
-
-def first_texts(docs: DataFrame) -> DataFrame:
-    """Adds `copy`: whether an equal text stands under a smaller id. Texts are compared by a 128-bit digest; a hot text is combined before the shuffle."""
-    named = docs.withColumn("name", F.md5(F.coalesce("text", F.lit(""))))
-    first = named.groupBy("name").agg(F.count(F.lit(1)).alias("many"), F.min("doc_id").alias("least")).filter("many > 1").select("name", "least")
-    ids = named.select("doc_id", "name").join(first, "name").filter(F.col("doc_id") > F.col("least")).select("doc_id", "name").distinct()
-    return named.join(ids.withColumn("copy", F.lit(True)), ["doc_id", "name"], "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    return placed.select("doc_id", "text", "found", "settled", "copy").mapInArrow(work, "doc_id long, n_words long, n_removed long, removed array<struct<start: long, end: long>>, kept string")
 
 
 def cut_repeats(docs: DataFrame, length: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,24 +38,17 @@ def cut_repeats(docs: DataFrame, length: int = 20, seed: int = 10, id_col: str =
 
     A word goes when a window of `length` consecutive words that covers it also starts earlier: in a smaller doc_id, or sooner in the same document.
     Seed: winnowing picks, in every window of `length` words, the `seed`-word anchor of least hash, so equal windows share an anchor at the same offset; a join
-    on the anchors tells which stand twice. Extend: around each shared anchor the match is carried to both sides, window by window, as far as `length` words hold
-    the anchor; windows are grouped by hash and all but the first fall. Overlapping ones join to maximal runs. No pairs are formed, so a passage that
-    a third of the documents hold costs its own length in each.
+    on the anchors tells which stand twice. Extend: around each shared anchor the match is carried to both sides, first by all that windows over it can hold, and
+    where that is new, window by window; all but the first occurrence fall. Overlapping ones join to maximal runs. No pairs are formed, so a passage that a
+    third of the documents hold costs its own length in each.
 
     A text equal to one with a smaller id repeats as a whole and is not searched. Null or empty text: no words, kept is ''. Null id: compared as -1. Rows that
     share id and text repeat each other's cut. An empty table gives an empty table. Extra columns are ignored.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marked = store.stored(first_texts(docs), "marked")
-    fresh = marked.filter("not copy")
-    places = store.stored(_anchor_places(fresh, seed, length), "anchors")
-    shared = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor")
-    seeds = places.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("seeds"))
-    windows = store.stored(_windows(fresh.join(seeds, "doc_id"), seed, length), "windows")
-    first = windows.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "pos")).alias("first")).filter("many > 1").select("window", "first")
-    later = windows.join(first, "window").filter(F.struct("doc_id", "pos") > F.col("first"))
-    found = later.groupBy("doc_id").agg(F.collect_set("pos").alias("found"))
-    return _cut(marked.join(found, "doc_id", "left"), length)
+    marked = store.stored(seeds.first_texts(docs), "marked")
+    found = seeds.repeated(marked.filter("not copy"), arrays.word_hashes, seed, length, ("doc_id", "pos"), store.stored)
+    return _cut(marked.join(found, "doc_id", "left"), seed, length)
 
 
 def op3_repeats(spark, sf_dir: str) -> DataFrame:
