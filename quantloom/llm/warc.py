@@ -58,7 +58,7 @@ class _Bundle:
         self.uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
         self.files, self.path = _store(self.uri)
         self.files.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out = self.files.open_output_stream(self.path)
+        self.out = self.files.open_output_stream(self.path, compression=None)
         self.table, self.at, self.rows, self.open, self.size = [], 0, [], [], 0
 
     def add(self, page_id, raw: bytes) -> None:
