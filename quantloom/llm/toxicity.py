@@ -176,7 +176,8 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 5) -> tup
             top = highest(doc, logits, len(texts), -9.0)
             use = np.flatnonzero((y == 0) | (logits >= top[doc] - 1.0))
         balance = np.where(y == 1, (y[use] == 0).sum() / max(1, (y[use] == 1).sum()), 1.0).clip(0.2, 5)
-        for rows in np.array_split(r.permutation(use), max(1, len(use) // BATCH)):
+        size_of_batch = int(np.clip(len(use) // 40, 16, BATCH))  # few windows: smaller batches, so that there are enough steps
+        for rows in np.array_split(r.permutation(use), max(1, len(use) // size_of_batch)):
             index, mask = grid(which, start[rows], size[rows])
             seen, local = np.unique(index, return_inverse=True)
             many = begin[seen + 1] - begin[seen]
