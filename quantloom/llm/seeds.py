@@ -106,12 +106,13 @@ def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tupl
     """
     at = F.struct(*place)
     marks = keep(anchors(fresh, units, seed, length), "anchors")
-    shared = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor")
+    # tables that are joined back are written first: a join between plain shuffles lets Spark split a hot key, one on top of an aggregate does not
+    shared = keep(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "repeated")
     marks = keep(marks.join(shared, "anchor", "left_semi").select("doc_id", "pos", "around"), "shared")
-    first = marks.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first")
+    first = keep(marks.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first"), "first-around")
     ranked = marks.join(first, "around", "left").select("doc_id", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
     split = keep(ranked.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")
     made = keep(windows(fresh.join(split.filter(F.size("seeds") > 0).select("doc_id", "seeds"), "doc_id"), units, seed, length), "windows")
-    first = made.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("window", "first")
+    first = keep(made.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("window", "first"), "first-windows")
     found = made.join(first, "window").filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("found"))
     return split.select("doc_id", "settled").join(found, "doc_id", "left").select("doc_id", "found", "settled")
