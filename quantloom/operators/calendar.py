@@ -52,7 +52,7 @@ def next_trading_day(df: DataFrame, day: str, cal: DataFrame, strict: bool, out:
     """Adds the first trading day >= day (strict: > day), NULL past the end of the calendar.
 
     The interval [previous trading day, this trading day) of each calendar row is expanded to its days,
-    so the as-of match is an equi-join; a day before the calendar starts maps to its first day.
+    so the as-of match is an equi-join; a day before the calendar starts maps to its first day. A NULL day has no trading day.
     """
     w = Window.orderBy("pos")
     prev = F.lag("date").over(w)
@@ -61,7 +61,7 @@ def next_trading_day(df: DataFrame, day: str, cal: DataFrame, strict: bool, out:
     spans = cal.select(F.col("date").alias(out), F.date_add(F.coalesce(prev, F.date_sub("date", 1)), shift).alias("_from"))
     spans = spans.select(out, F.explode(F.sequence("_from", F.date_sub(out, 1 - shift))).alias("_day"))
     early = F.date_sub(first.scalar(), 0 if not strict else 1)
-    return (df.withColumn("_day", F.greatest(F.col(day), early))
+    return (df.withColumn("_day", F.when(F.col(day).isNotNull(), F.greatest(F.col(day), early)))
             .join(spans, "_day", "left").drop("_day"))
 
 
@@ -92,6 +92,7 @@ def grid(panel: DataFrame, cal: DataFrame, values, keys=("code",)) -> DataFrame:
     w = C.by_code(*keys)
     p = panel.join(cal, "date").select(*keys, "pos", *values)
     p = p.withColumn("_upto", F.coalesce(F.lead("pos").over(w) - 1, end))
+    p = p.where(F.col("_upto") >= F.col("pos"))  # of rows that share key and day, the last of the window stays
     p = p.withColumn("_p", F.explode(F.sequence(F.col("pos"), F.col("_upto"))))
     here = F.col("_p") == F.col("pos")
     return p.select(*keys, F.col("_p").alias("pos"), *[F.when(here, F.col(v)).alias(v) for v in values], here.alias("traded"))

@@ -13,7 +13,7 @@ RELIST_GAP_DAYS = 60
 def dedupe_last(df: DataFrame, keys, seq: str) -> DataFrame:
     """Newest row per key. max_by on the whole row combines on the map side, so a hot key costs one row per task."""
     rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.col(seq)).alias("_r")
+    newest = F.max_by(F.struct(*rest), F.struct(F.col(seq).isNotNull(), F.col(seq))).alias("_r")  # a row without seq is the oldest
     return df.groupBy(*keys).agg(newest).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

@@ -133,3 +133,14 @@ def test_flow_uses_lagged_publication(spark):
     f = lambda k: {r["pos"]: r["norm_frgn"] for r in FL.flow_features(FL.flow_grid(bars, mk(k), cal)).where("code = '000000'").collect()}
     a, b = f(10.0), f(999.0)
     assert a[31] == b[31] and a[32] != b[32]
+
+
+def test_null_day_has_no_trading_day_and_double_rows_make_no_days(spark):
+    days = business_days("2020-01-06", 6)
+    cal = calendar(spark, days)
+    got = K.next_trading_day(spark.createDataFrame([(None,), (days[2],)], "d date"), "d", cal, strict=False)
+    assert {(r["d"], r["trade_date"]) for r in got.collect()} == {(None, None), (days[2], days[2])}
+    panel = spark.createDataFrame([("a", days[1], 1.0), ("a", days[1], 2.0), ("a", days[3], 3.0)], "code string, date date, close double")
+    assert [r["pos"] for r in rows(K.grid(panel, cal, ["close"]), "pos")] == [2, 3, 4, 5, 6]
+    one = spark.createDataFrame([("a", None, 1.0)], "code string, seq int, v double")
+    assert [r["v"] for r in P.dedupe_last(one, ["code"], "seq").collect()] == [1.0]
