@@ -47,7 +47,7 @@ def cut_repeats(docs: DataFrame, length: int = 20, seed: int = 10, id_col: str =
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = store.stored(seeds.first_texts(docs), "marked")
-    found = seeds.repeated(marked.filter("not copy"), arrays.word_hashes, seed, length, ("doc_id", "pos"), store.stored)
+    found = seeds.repeated(marked.filter("not copy"), arrays.word_hashes, seed, length, ("doc_id", "pos"))
     return _cut(marked.join(found, "doc_id", "left"), seed, length)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm import arrays
+from quantloom.llm import arrays, store
 
 #: units(data, offsets) -> (one 64-bit symbol per unit, index of each document's first unit)
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -45,25 +45,53 @@ def anchors(docs: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, pos int, anchor long, around long")
 
 
+def _places(lists: pa.Array, lo: int, hi: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row in the chunk, unit in the chunk) of every place in the lists of rows lo to hi."""
+    part = lists.slice(lo, hi - lo)
+    doc = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
+    return doc, part.flatten().to_numpy(zero_copy_only=False) + first[doc]
+
+
+def halves(seeded: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
+    """(half, doc_id, pos, ahead) for every seed: each window over a seed holds the units up to `cut` before it, or (`ahead`) those that follow it. Input: doc_id, text, seeds."""
+    cut = (length - seed + 1) // 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
+                symbols, first = units(data, offsets)
+                pre = arrays.prefix(symbols)
+                doc, at = _places(batch.column(2), lo, hi, first)
+                for ahead, ok, low, high in ((False, at - cut >= first[doc], at - cut, at + seed), (True, at + length - cut < first[doc + 1], at, at + length - cut + 1)):
+                    name, own = arrays.spans(pre, low[ok], high[ok]), doc[ok]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(name.view(np.int64)), batch.column(0).take(pa.array(own + lo)), pa.array((at[ok] - first[own]).astype(np.int32)), pa.array(np.full(len(own), ahead))],
+                        ["half", "doc_id", "pos", "ahead"],
+                    )
+
+    return seeded.select("doc_id", "text", "seeds").mapInArrow(work, "half long, doc_id long, pos int, ahead boolean")
+
+
 def windows(seeded: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
-    """Every window over a seed, as (window, doc_id, pos). Input: doc_id, text, seeds (anchor places). The window's name pairs those of its halves."""
-    half = length // 2
+    """Every window over a seed on its repeated side, as (window, doc_id, pos). Input: doc_id, text, before, ahead (places of seeds). The window's name pairs those of its halves."""
+    half, cut = length // 2, (length - seed + 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
                 symbols, first = units(data, offsets)
                 names = arrays.grams(arrays.prefix(symbols), half)
-                seeds = batch.column(2).slice(lo, hi - lo)
-                doc = np.repeat(np.arange(hi - lo), seeds.value_lengths().to_numpy(zero_copy_only=False))
-                at = seeds.flatten().to_numpy(zero_copy_only=False) + first[doc]
-                low, high = np.maximum(at - (length - seed), first[doc]), np.minimum(at, first[doc + 1] - length)
-                place = np.unique(arrays.ragged(low, np.maximum(high - low + 1, 0)))
+                starts = []
+                for column, back, upto in ((2, length - seed, cut), (3, cut - 1, 0)):
+                    doc, at = _places(batch.column(column), lo, hi, first)
+                    low, high = np.maximum(at - back, first[doc]), np.minimum(at - upto, first[doc + 1] - length)
+                    starts.append(arrays.ragged(low, np.maximum(high - low + 1, 0)))
+                place = np.unique(np.concatenate(starts))
                 doc = np.searchsorted(first, place, side="right") - 1
                 pair = arrays.mix(names[place] * np.uint64(0x9E3779B97F4A7C15) + names[place + length - half])
                 yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), batch.column(0).take(pa.array(doc + lo)), pa.array((place - first[doc]).astype(np.int32))], ["window", "doc_id", "pos"])
 
-    return seeded.select("doc_id", "text", "seeds").mapInArrow(work, "window long, doc_id long, pos int")
+    return seeded.select("doc_id", "text", "before", "ahead").mapInArrow(work, "window long, doc_id long, pos int")
 
 
 def covered(n: int, length: int, seed: int, found, settled, whole: bool) -> np.ndarray:
@@ -97,22 +125,31 @@ def first_texts(docs: DataFrame) -> DataFrame:
     return named.join(first, "name", "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
 
 
-def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tuple[str, ...], keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tuple[str, ...]) -> DataFrame:
     """(doc_id, found, settled): starts of windows, and anchors, whose content stands earlier; `place` orders occurrences.
 
     1. Anchors are grouped by name; an anchor that stands once ends there. 2. The rest are grouped by all that surrounds them: where that stands earlier, the
-    anchor is settled, and no window near it is looked at. 3. The windows over the others are grouped by name. The first occurrence of a window never has a
-    settled anchor (all around it would stand earlier still), so the windows made in step 3 include every first occurrence.
+    anchor is settled, and no window near it is looked at. 3. The others are carried on by half a window to either side, and grouped by what they then hold.
+    4. The windows on a side that two of them share are grouped by name. The first occurrence of a window never has a settled anchor (all around it would stand
+    earlier still), so steps 3 and 4 see every first occurrence, and a later one that is not settled shares a half with it.
     """
     at = F.struct(*place)
-    marks = keep(anchors(fresh, units, seed, length), "anchors")
+    marks = store.stored(anchors(fresh, units, seed, length), "anchors")
     # tables that are joined back are written first: a join between plain shuffles lets Spark split a hot key, one on top of an aggregate does not
-    shared = keep(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "repeated")
-    marks = keep(marks.join(shared, "anchor", "left_semi").select("doc_id", "pos", "around"), "shared")
-    first = keep(marks.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first"), "first-around")
-    ranked = marks.join(first, "around", "left").select("doc_id", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
-    split = keep(ranked.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")
-    made = keep(windows(fresh.join(split.filter(F.size("seeds") > 0).select("doc_id", "seeds"), "doc_id"), units, seed, length), "windows")
-    first = keep(made.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("window", "first"), "first-windows")
-    found = made.join(first, "window").filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("found"))
+    shared = store.stored(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "repeated")
+    kept = store.stored(marks.join(shared, "anchor", "left_semi").select("doc_id", "pos", "around"), "shared")
+    store.drop(marks, shared)
+    first = store.stored(kept.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first"), "first-around")
+    ranked = kept.join(first, "around", "left").select("doc_id", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
+    split = store.stored(ranked.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")
+    store.drop(kept, first)
+    made = store.stored(halves(fresh.join(split.filter(F.size("seeds") > 0).select("doc_id", "seeds"), "doc_id"), units, seed, length), "halves")
+    twice = store.stored(made.groupBy("half").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").select("half"), "twice")
+    sides = made.join(twice, "half", "left_semi").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("ahead"), F.col("pos"))).alias("before"), F.collect_set(F.when(F.col("ahead"), F.col("pos"))).alias("ahead"))
+    sides = store.stored(sides, "sides")
+    store.drop(made, twice)
+    made = store.stored(windows(fresh.join(sides, "doc_id"), units, seed, length), "windows")
+    first = store.stored(made.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("window", "first"), "first-windows")
+    found = store.stored(made.join(first, "window").filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("found")), "found")
+    store.drop(made, first)
     return split.select("doc_id", "settled").join(found, "doc_id", "left").select("doc_id", "found", "settled")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -29,9 +31,22 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it: computed once, cuts the lineage, outlives executors."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffles of the job go once its table stands, else they stay on disk as long as the driver likes
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes stored tables that no later step reads."""
+    for table in tables:
+        for path in {x.rpartition("/")[0] for x in table.inputFiles()}:
+            files, local = fs.FileSystem.from_uri(path)
+            files.delete_dir(local)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

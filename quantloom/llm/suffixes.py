@@ -38,14 +38,15 @@ def cut_suffixes(docs: DataFrame, length: int = 50, start: int = 16, id_col: str
     Prefix doubling with names for ranks (equal strings, equal names): inside a task, positions are named up to half the threshold, where no
     shuffle is needed; Spark then sorts positions by name at growing lengths and drops what became unique. Round one sorts the names of `start` bytes at
     positions that winnowing keeps (each string of `length` bytes holds one); round two those of everything around a position, which settles the ones
-    already past the threshold; round three the pairs of names half a threshold apart, at every position that is still open.
+    already past the threshold; round three those of about two thirds of the threshold to either side; round four the pairs of names half a threshold apart, at
+    every position that is still open.
 
     A text equal to one with a smaller id repeats as a whole and is not searched. Null text counts as empty. Null id: compared as -1. Rows that share an id are
     one document: they don't repeat each other. An empty table gives an empty table. Extra columns are ignored.
     """
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     marked = store.stored(seeds.first_texts(docs), "marked")
-    found = seeds.repeated(marked.filter("not copy"), seeds.byte_units, start, length, ("doc_id",), store.stored)
+    found = seeds.repeated(marked.filter("not copy"), seeds.byte_units, start, length, ("doc_id",))
     return _cut(marked.join(found, "doc_id", "left"), start, length)
 
 
