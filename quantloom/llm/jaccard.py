@@ -125,8 +125,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     left for probing; the n - T + 1 rarest are the short lists. Short lists are merged by Spark's sort (the shuffle on the shingle takes the heap's place),
     the long ones are probed by binary search. Rarity comes from a count sketch of fixed size over all documents; any order gives the same links.
 
-    Equal sets are one node. A first round tries each node against the least node of each of its lists; the second tries all pairs of a list that the first
-    did not connect. So a list of many near copies costs one try a member, and no link between different components is lost.
+    Equal sets are one node. A first round tries each node against the least node of each of its lists; the second counts, for all pairs of a list that the first
+    did not connect, the lists they share, and tries those that share enough. So a list of many near copies costs one try a member, and no link between different components is lost.
 
     Null or empty text, or text without words: 0 shingles, its own component. Null id: component of the others, null when alone. Repeated rows are equal
     sets. A repeated id with different texts: a node per text. An empty table gives an empty table. Extra columns are ignored.
@@ -155,7 +155,10 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     facing = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & near).select(F.col("x.shingle").alias("shingle"), F.col("x.root").alias("r"), F.col("y.root").alias("s"))
     a = placed.select("shingle", F.col("root").alias("r"), F.col("node").alias("a"), F.col("n").alias("na"))
     b = placed.select("shingle", F.col("root").alias("s"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = facing.join(a, ["shingle", "r"]).join(b, ["shingle", "s"]).filter(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    rest = facing.join(a, ["shingle", "r"]).join(b, ["shingle", "s"]).filter(fits(F.col("na"), F.col("nb")))
+    # a partner of the needed overlap stands in at least overlap + 1 - T of the merged lists, T being that of the larger set
+    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} + 1 - ({percent} * greatest(na, nb) + 99) div 100")
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= least).select("a", "b")
     second = store.stored(_linked(rest, sets, percent), "pairs")
 
     roots = components(first.union(second))
