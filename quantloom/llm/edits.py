@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import store
 
 LANES, PERIOD, KINDS = 128, 8192, 65536
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 8_000_000
 _rng = np.random.default_rng(77)
 _MOVES = _rng.integers(0, 2, (PERIOD, 256)).astype(np.int64)
 _STEP = _rng.integers(0, 1 << 40, PERIOD, dtype=np.uint64)
@@ -45,12 +45,15 @@ def _walk(codes: list[np.ndarray]) -> np.ndarray:
             live = int(going[-1]) + 1 if len(going) else 0
             if not live:
                 break
+            at, end = head[:live], last[:live]
         k = j % PERIOD
-        c = tape[head[:live]]
-        value = (_KIND[c] ^ _STEP[k]) ^ np.uint64((j // PERIOD * int(_LAP)) & ((1 << 40) - 1))
-        row = least[_LANE[k]]
-        np.minimum(row[:live], value, out=row[:live])
-        head[:live] = np.minimum(head[:live] + _MOVES[k][c & 255], last[:live])
+        c = tape.take(at)
+        value = _KIND.take(c)
+        value ^= _STEP[k] ^ np.uint64((j // PERIOD * int(_LAP)) & ((1 << 40) - 1))
+        row = least[_LANE[k], :live]
+        np.minimum(row, value, out=row)
+        at += _MOVES[k].take(c & 255)
+        np.minimum(at, end, out=at)
         j += 1
     kept = least.T
     out = ((kept * _LAP >> np.uint64(40)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
@@ -87,9 +90,7 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - q] + following[:q]
 
 
-def _judged(texts: list[str], following: list[str], codes: np.ndarray, next_codes: np.ndarray) -> dict:
-    changed = [edited(a, b) for a, b in zip(texts, following, strict=True)]
-    e = embed(changed)
+def _judged(texts: list[str], changed: list[str], codes: np.ndarray, next_codes: np.ndarray, e: np.ndarray) -> dict:
     return {
         "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
         "fingerprint": [x.tobytes().hex() for x in codes], "edited_fingerprint": [x.tobytes().hex() for x in e],
@@ -119,11 +120,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for f in frames:
             for lo in range(0, len(f), 2048):
                 ids, texts = f["doc_id"].astype(object).where(f["doc_id"].notna(), None).tolist()[lo:lo + 2048], f["text"].tolist()[lo:lo + 2048]
-                codes = embed(texts)
+                new = len(texts)
                 if held is not None:
-                    ids, texts, codes = [held[0], *ids], [held[1], *texts], np.concatenate([held[2], codes])
+                    ids, texts = [held[0], *ids], [held[1], *texts]
+                changed = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
+                codes = embed(texts[-new:] + changed)  # one walk for both
+                codes, e = codes[:new], codes[new:]
+                if held is not None:
+                    codes = np.concatenate([held[2], codes])
                 if len(texts) > 1:
-                    out = pd.DataFrame({"part": part, "head": False, "tail": False, "doc_id": pd.array(ids[:-1], dtype="Int64"), "text": None, **_judged(texts[:-1], texts[1:], codes[:-1], codes[1:])})
+                    out = pd.DataFrame({"part": part, "head": False, "tail": False, "doc_id": pd.array(ids[:-1], dtype="Int64"), "text": None, **_judged(texts[:-1], changed, codes[:-1], codes[1:], e)})
                     if first:
                         out.loc[0, "head"], out.loc[0, "text"], first = True, texts[0], False
                     yield out
@@ -141,7 +147,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             codes, after = (np.array([np.frombuffer(bytes.fromhex(x), dtype=np.uint8) for x in f[c]]).reshape(-1, LANES) for c in ("fingerprint", "next_fingerprint"))
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), **_judged(f["text"].tolist(), f["next_text"].tolist(), codes, after)})
+            texts, changed = f["text"].tolist(), [edited(a, b) for a, b in zip(f["text"], f["next_text"], strict=True)]
+            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), **_judged(texts, changed, codes, after, embed(changed))})
 
     done = open_rows.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInPandas(finish, f"doc_id long, {RESULT}")
     return made.filter("not tail").select("doc_id", *COLUMNS).union(done)
