@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import store
+from quantloom.llm.components import components
 
 LANES, PERIOD, KINDS = 128, 8192, 65536
 GROUP_CHARS = 8_000_000
+CELL, LOT = 1024, 20_000
 _rng = np.random.default_rng(77)
 _MOVES = _rng.integers(0, 2, (PERIOD, 256)).astype(np.int64)
 _STEP = _rng.integers(0, 1 << 40, PERIOD, dtype=np.uint64)
@@ -78,8 +80,8 @@ def embed(texts: list[str]) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of equal steps of two fingerprints, 0 to 1. A lane agrees with the Jaccard share of the steps it sampled from; 1 for two empty texts."""
-    used = ((a > 0) | (b > 0)).sum(axis=1)
-    share = ((a == b) & (a > 0)).sum(axis=1) / np.maximum(used, 1)
+    used = ((a > 0) | (b > 0)).sum(axis=-1)
+    share = ((a == b) & (a > 0)).sum(axis=-1) / np.maximum(used, 1)
     share = np.clip((share - 1 / 255) / (1 - 1 / 255), 0, 1)
     return np.where(used == 0, 1.0, 2 * share / (1 + share))
 
@@ -154,26 +156,114 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return made.filter("not tail").select("doc_id", *COLUMNS).union(done)
 
 
-def near_pairs(prints: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
-    """(a, b, near): documents linked to the least id of some bucket, with likeness at least `threshold`. Input: doc_id, fingerprint.
+def _codes(column) -> np.ndarray:
+    return np.array([np.frombuffer(bytes.fromhex(v), dtype=np.uint8) for v in column], dtype=np.uint8).reshape(-1, LANES)
+
+
+def _nodes(prints: DataFrame) -> DataFrame:
+    """(node, fingerprint, least_id): equal fingerprints are one node."""
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
+    return store.stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def across(x: pd.DataFrame, y: pd.DataFrame | None, threshold: float) -> list[tuple[int, int, float]]:
+    """Links between rows of x and y (of x with itself if y is None) that join different roots: all pairs are tried, and a forest of the near ones is returned. Columns: node, root, fingerprint."""
+    a, na, ra = _codes(x["fingerprint"]), x["node"].tolist(), x["root"].to_numpy(dtype=np.int64).copy()
+    b, nb, rb = (a, na, ra) if y is None else (_codes(y["fingerprint"]), y["node"].tolist(), y["root"].to_numpy(dtype=np.int64).copy())
+    out, step = [], max(1, (1 << 15) // max(len(b), 1))
+    for lo in range(0, len(a), step):
+        near = likeness(a[lo:lo + step, None, :], b[None, :, :])
+        for i, j in np.argwhere((near >= threshold) & (ra[lo:lo + step, None] != rb[None, :])).tolist():
+            if (old := rb[j]) != (new := ra[lo + i]):
+                out.append((na[lo + i], nb[j], float(near[i, j])))
+                ra[ra == old] = new
+                rb[rb == old] = new
+    return out
+
+
+def _links(nodes: DataFrame, threshold: float, bands: int) -> DataFrame:
+    """(a, b, near) between nodes: their components are those of all near pairs that share a bucket.
 
-    A band samples LANES / bands lanes; documents equal in a band share a bucket. Members are tried against the bucket's least id only, so a bucket
-    with a third of the rows gives one pair a member. Empty fingerprints (all 00) link with each other.
+    Round one tries each member of a bucket against the bucket's least node. In a bucket that still holds several components, round two tries all pairs
+    across them. There, a component with CELL members or more is dealt into cells of its own, the small ones are dealt together, and a task gets pairs of
+    cells; cells of one component don't meet. A task returns a forest, so the links grow with the members, though the tries in a bucket of far
+    documents grow with its square.
     """
     width = 2 * LANES // bands
-    sliced = prints.select("doc_id", "fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", 1 + width * i, width) for i in range(bands)])).alias("band", "bucket"))
-    lead = sliced.groupBy("band", "bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most")).filter("a < most").select("band", "bucket", "a")
-    pairs = sliced.join(lead, ["band", "bucket"]).filter("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
-    sides = [prints.groupBy(F.col("doc_id").alias(k)).agg(F.first("fingerprint").alias(f"f{k}")) for k in ("a", "b")]
+    key = ["band", "bucket"]
+    sliced = store.stored(nodes.select("node", F.posexplode(F.array(*[F.substring("fingerprint", 1 + width * i, width) for i in range(bands)])).alias(*key)), "bands")
+    lead = store.stored(sliced.groupBy(*key).agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select(*key, "a"), "leads")
+    lists = store.stored(sliced.join(lead, key), "buckets")
+    store.drop(sliced, lead)
+    tries = store.stored(lists.filter("node > a").select("a", F.col("node").alias("b")).distinct(), "tries")
+    codes = nodes.select("node", "fingerprint")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            x, y = (np.array([np.frombuffer(bytes.fromhex(v), dtype=np.uint8) for v in f[c]]).reshape(-1, LANES) for c in ("fa", "fb"))
-            near = likeness(x, y)
+            near = likeness(_codes(f["fa"]), _codes(f["fb"]))
             yield f[["a", "b"]].assign(near=near)[near >= threshold]
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "fa", "fb").mapInPandas(verify, "a long, b long, near double")
+    tries = tries.join(codes.toDF("a", "fa"), "a").join(codes.toDF("b", "fb"), "b")
+    first = store.stored(tries.select("a", "b", "fa", "fb").mapInPandas(verify, "a long, b long, near double"), "near")
+
+    placed = store.stored(lists.join(components(first), "node", "left").select(*key, "node", F.coalesce("root", "node").alias("root")), "placed")
+    several = store.stored(placed.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*key), "several")
+    left = store.stored(placed.join(several, key, "left_semi"), "open")
+    store.drop(lists, placed, several)
+    heads = store.stored(left.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("own")), "heads")
+    small = store.stored(heads.filter(F.col("own") < CELL).groupBy(*key).agg(F.sum("own").alias("rest")), "small")
+    large = F.col("own") >= CELL
+    cells = left.join(heads, [*key, "root"]).join(small, key, "left").select(
+        *key, "node", "root", F.when(large, F.col("root")).otherwise(F.lit(-1)).alias("part"),
+        F.pmod(F.when(large, F.xxhash64("node")).otherwise(F.xxhash64("root")), F.ceil(F.when(large, F.col("own")).otherwise(F.col("rest")) / CELL)).alias("salt"))
+    cells = store.stored(cells, "cells")
+    store.drop(left, heads, small)
+    names = store.stored(cells.select(*key, "part", "salt").distinct(), "names")
+    x, y = names.toDF(*key, "xp", "xs"), names.toDF(*key, "yp", "ys")
+    meet = store.stored(x.join(y, key).filter("xp < yp or xp = -1 and yp = -1 and xs <= ys"), "meet")
+    pair = [*key, "xp", "xs", "yp", "ys"]
+    one = meet.join(cells.toDF(*key, "node", "root", "xp", "xs"), [*key, "xp", "xs"]).select(*pair, "node", "root", F.lit(False).alias("other"))
+    two = meet.filter("xp != yp or xs != ys").join(cells.toDF(*key, "node", "root", "yp", "ys"), [*key, "yp", "ys"]).select(*pair, "node", "root", F.lit(True).alias("other"))
+    sides = store.stored(one.union(two), "sides")
+    lots = sides.count() // LOT + 1
+
+    def settle(f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in f.groupby(pair, sort=False):
+            y = g[g["other"]]
+            out += across(g[~g["other"]], y if len(y) else None, threshold)
+        return pd.DataFrame(out, columns=["a", "b", "near"])
+
+    dealt = sides.join(codes, "node").withColumn("lot", F.pmod(F.xxhash64(*pair), F.lit(lots)))
+    second = store.stored(dealt.groupBy("lot").applyInPandas(settle, "a long, b long, near double"), "near")
+    store.drop(cells, names, meet, sides)
+    return first.union(second)
+
+
+def near_pairs(prints: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
+    """(a, b, near), a < b: links with likeness at least `threshold` whose components are those of all such pairs that share a bucket. Input: doc_id, fingerprint.
+
+    A band samples LANES / bands lanes; documents equal in a band share a bucket. No pair of a bucket is left out unless other links already connect it, so
+    not every near pair is a row. Documents with equal fingerprints (also empty ones, all 00) link to the least id among them, which stands for them.
+    Null ids have no row; `near_groups` places them.
+    """
+    prints = store.stored(prints.select("doc_id", "fingerprint"), "prints")
+    nodes = _nodes(prints)
+    ids = nodes.select("node", "least_id")
+    named = _links(nodes, threshold, bands).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").filter("x != y")
+    copies = prints.join(nodes, "fingerprint").filter("doc_id > least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("near")).distinct()
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "near").union(copies)
+
+
+def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
+    """The rows of `prints` with near_group: the least doc_id of the row's component of near documents (see `near_pairs`); null where all ids of it are null."""
+    prints = store.stored(prints, "prints")
+    nodes = _nodes(prints)
+    roots = components(_links(nodes, threshold, bands))
+    named = store.stored(nodes.join(roots, "node", "left").select("fingerprint", "least_id", F.coalesce("root", "node").alias("root")), "named")
+    least = named.groupBy("root").agg(F.min("least_id").alias("near_group"))
+    return prints.join(store.stored(named.join(least, "root").select("fingerprint", "near_group"), "groups"), "fingerprint").select(*prints.columns, "near_group")
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:
-    return fingerprints(store.read(spark, sf_dir, "documents"))
+    return near_groups(fingerprints(store.read(spark, sf_dir, "documents")))

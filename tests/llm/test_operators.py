@@ -220,6 +220,41 @@ def test_fingerprints_survive_edits_and_pair_up(spark):
     assert {(p["a"], p["b"]) for p in edits.near_pairs(prints).collect()} == {(i, 10 + i) for i in range(6)}
 
 
+def test_near_documents_behind_leaders_that_are_not_near(spark, monkeypatch):
+    """Each bucket that two near documents share is led by a smaller id that is near to neither; groups against all pairs of a bucket."""
+    r = np.random.default_rng(5)
+    make = lambda: r.integers(1, 256, edits.LANES).astype(np.uint8)
+    b = make()
+    c = b.copy()
+    c[-8:] = make()[-8:]
+    codes = []
+    for k in range(32):
+        x = make()
+        x[4 * k:4 * k + 4] = b[4 * k:4 * k + 4]
+        codes.append(x)
+    codes += [b, c, c]
+    base = make()
+    for _ in range(60):  # a family on both sides of the threshold
+        x = base.copy()
+        at = r.choice(edits.LANES, r.integers(10, 50), replace=False)
+        x[at] = make()[at]
+        codes.append(x)
+    codes = np.array(codes)
+    prints = spark.createDataFrame([(i, x.tobytes().hex()) for i, x in enumerate(codes)] + [(None, b.tobytes().hex())], "doc_id long, fingerprint string")
+    label = list(range(len(codes)))
+    for i in range(len(codes)):
+        for j in range(i):
+            if label[i] != label[j] and (codes[i] == codes[j]).reshape(32, 4).all(axis=1).any() and edits.likeness(codes[i:i + 1], codes[j:j + 1])[0] >= 0.8:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    assert label[33] == label[34] == 32 and len(set(label[35:])) > 1
+    for cell in (edits.CELL, 4):
+        monkeypatch.setattr(edits, "CELL", cell)
+        assert {(x["doc_id"], x["near_group"]) for x in edits.near_groups(prints).collect()} == {*enumerate(label), (None, 32)}
+    pairs = {(x["a"], x["b"]) for x in edits.near_pairs(prints).collect()}
+    assert {(32, 33), (33, 34)} <= pairs
+
+
 def test_network_learns_a_phrase():
     texts = [" ".join(["good", "day", "word", "other"][(i + j) % 4] for j in range(40)) for i in range(60)]
     toxic = np.array([i % 2 for i in range(60)])
