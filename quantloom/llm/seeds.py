@@ -1,5 +1,7 @@
 """Shared anchors and windows of long equal runs, for units of words or bytes. Used by the two substring operators.
 
+`row` is a unique key of a row of the input: places are gathered and joined back by it. `doc_id` may be shared and only orders places.
+
 A window is `length` consecutive units of one document. Winnowing picks anchors of `seed` units so that equal windows hold an anchor at the same offset.
 """
 
@@ -23,11 +25,11 @@ def byte_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def anchors(docs: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
-    """(doc_id, pos, anchor, around): `around` names all units that some window over the anchor can hold, cut at the document's ends."""
+    """(row, doc_id, pos, anchor, around): `around` names all units that some window over the anchor can hold, cut at the document's ends."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, _, data, offsets in arrays.chunks(batch.column(1)):
+            for lo, _, data, offsets in arrays.chunks(batch.column(2)):
                 symbols, first = units(data, offsets)
                 pre = arrays.prefix(symbols)
                 many = np.maximum(np.diff(first) - seed + 1, 0)
@@ -38,11 +40,11 @@ def anchors(docs: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
                 low, high = np.maximum(chosen - (length - seed), first[doc]), np.minimum(chosen + length, first[doc + 1])
                 around = arrays.mix(arrays.spans(pre, low, high) + (chosen - low).astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc + lo)), pa.array((chosen - first[doc]).astype(np.int32)), pa.array(grams[chosen].view(np.int64)), pa.array(around.view(np.int64))],
-                    ["doc_id", "pos", "anchor", "around"],
+                    [batch.column(0).take(pa.array(doc + lo)), batch.column(1).take(pa.array(doc + lo)), pa.array((chosen - first[doc]).astype(np.int32)), pa.array(grams[chosen].view(np.int64)), pa.array(around.view(np.int64))],
+                    ["row", "doc_id", "pos", "anchor", "around"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, pos int, anchor long, around long")
+    return docs.select("row", "doc_id", "text").mapInArrow(work, "row long, doc_id long, pos int, anchor long, around long")
 
 
 def _places(lists: pa.Array, lo: int, hi: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,45 +55,45 @@ def _places(lists: pa.Array, lo: int, hi: int, first: np.ndarray) -> tuple[np.nd
 
 
 def halves(seeded: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
-    """(half, doc_id, pos, ahead) for every seed: each window over a seed holds the units up to `cut` before it, or (`ahead`) those that follow it. Input: doc_id, text, seeds."""
+    """(half, row, doc_id, pos, ahead) for every seed: each window over a seed holds the units up to `cut` before it, or (`ahead`) those that follow it. Input: row, doc_id, text, seeds."""
     cut = (length - seed + 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
+            for lo, hi, data, offsets in arrays.chunks(batch.column(2)):
                 symbols, first = units(data, offsets)
                 pre = arrays.prefix(symbols)
-                doc, at = _places(batch.column(2), lo, hi, first)
+                doc, at = _places(batch.column(3), lo, hi, first)
                 for ahead, ok, low, high in ((False, at - cut >= first[doc], at - cut, at + seed), (True, at + length - cut < first[doc + 1], at, at + length - cut + 1)):
                     name, own = arrays.spans(pre, low[ok], high[ok]), doc[ok]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(name.view(np.int64)), batch.column(0).take(pa.array(own + lo)), pa.array((at[ok] - first[own]).astype(np.int32)), pa.array(np.full(len(own), ahead))],
-                        ["half", "doc_id", "pos", "ahead"],
+                        [pa.array(name.view(np.int64)), batch.column(0).take(pa.array(own + lo)), batch.column(1).take(pa.array(own + lo)), pa.array((at[ok] - first[own]).astype(np.int32)), pa.array(np.full(len(own), ahead))],
+                        ["half", "row", "doc_id", "pos", "ahead"],
                     )
 
-    return seeded.select("doc_id", "text", "seeds").mapInArrow(work, "half long, doc_id long, pos int, ahead boolean")
+    return seeded.select("row", "doc_id", "text", "seeds").mapInArrow(work, "half long, row long, doc_id long, pos int, ahead boolean")
 
 
 def windows(seeded: DataFrame, units: Units, seed: int, length: int) -> DataFrame:
-    """Every window over a seed on its repeated side, as (window, doc_id, pos). Input: doc_id, text, before, ahead (places of seeds). The window's name pairs those of its halves."""
+    """Every window over a seed on its repeated side, as (window, row, doc_id, pos). Input: row, doc_id, text, before, ahead (places of seeds). The window's name pairs those of its halves."""
     half, cut = length // 2, (length - seed + 1) // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
+            for lo, hi, data, offsets in arrays.chunks(batch.column(2)):
                 symbols, first = units(data, offsets)
                 names = arrays.grams(arrays.prefix(symbols), half)
                 starts = []
-                for column, back, upto in ((2, length - seed, cut), (3, cut - 1, 0)):
+                for column, back, upto in ((3, length - seed, cut), (4, cut - 1, 0)):
                     doc, at = _places(batch.column(column), lo, hi, first)
                     low, high = np.maximum(at - back, first[doc]), np.minimum(at - upto, first[doc + 1] - length)
                     starts.append(arrays.ragged(low, np.maximum(high - low + 1, 0)))
                 place = np.unique(np.concatenate(starts))
                 doc = np.searchsorted(first, place, side="right") - 1
                 pair = arrays.mix(names[place] * np.uint64(0x9E3779B97F4A7C15) + names[place + length - half])
-                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), batch.column(0).take(pa.array(doc + lo)), pa.array((place - first[doc]).astype(np.int32))], ["window", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), batch.column(0).take(pa.array(doc + lo)), batch.column(1).take(pa.array(doc + lo)), pa.array((place - first[doc]).astype(np.int32))], ["window", "row", "doc_id", "pos"])
 
-    return seeded.select("doc_id", "text", "before", "ahead").mapInArrow(work, "window long, doc_id long, pos int")
+    return seeded.select("row", "doc_id", "text", "before", "ahead").mapInArrow(work, "window long, row long, doc_id long, pos int")
 
 
 def covered(n: int, length: int, seed: int, found, settled, whole: bool) -> np.ndarray:
@@ -118,15 +120,18 @@ def items(array: pa.Array) -> list:
     return [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else None for x in array]
 
 
-def first_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, copy): whether an equal text stands under a smaller id. Texts are compared by a 128-bit digest; a hot text is combined before the shuffle."""
+def first_texts(docs: DataFrame, row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, text, copy), stored: whether an equal text stands under a smaller id. Texts are compared by a 128-bit digest; a hot text is combined before the shuffle.
+
+    `row` is `row_col`, or else a number that is given when the table is written."""
     named = docs.withColumn("name", F.md5("text"))
     first = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("name", "least")
-    return named.join(first, "name", "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    return store.stored(named.join(first, "name", "left").select(row.alias("row"), "doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "marked")
 
 
 def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tuple[str, ...]) -> DataFrame:
-    """(doc_id, found, settled): starts of windows, and anchors, whose content stands earlier; `place` orders occurrences.
+    """(row, found, settled): starts of windows, and anchors, whose content stands earlier; `place` orders occurrences.
 
     1. Anchors are grouped by name; an anchor that stands once ends there. 2. The rest are grouped by all that surrounds them: where that stands earlier, the
     anchor is settled, and no window near it is looked at. 3. The others are carried on by half a window to either side, and grouped by what they then hold.
@@ -137,19 +142,19 @@ def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tupl
     marks = store.stored(anchors(fresh, units, seed, length), "anchors")
     # tables that are joined back are written first: a join between plain shuffles lets Spark split a hot key, one on top of an aggregate does not
     shared = store.stored(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "repeated")
-    kept = store.stored(marks.join(shared, "anchor", "left_semi").select("doc_id", "pos", "around"), "shared")
+    kept = store.stored(marks.join(shared, "anchor", "left_semi").select("row", "doc_id", "pos", "around"), "shared")
     store.drop(marks, shared)
     first = store.stored(kept.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first"), "first-around")
-    ranked = kept.join(first, "around", "left").select("doc_id", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
-    split = store.stored(ranked.groupBy("doc_id").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")
+    ranked = kept.join(first, "around", "left").select("row", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
+    split = store.stored(ranked.groupBy("row").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")
     store.drop(kept, first)
-    made = store.stored(halves(fresh.join(split.filter(F.size("seeds") > 0).select("doc_id", "seeds"), "doc_id"), units, seed, length), "halves")
+    made = store.stored(halves(fresh.join(split.filter(F.size("seeds") > 0).select("row", "seeds"), "row"), units, seed, length), "halves")
     twice = store.stored(made.groupBy("half").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first < last").select("half"), "twice")
-    sides = made.join(twice, "half", "left_semi").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("ahead"), F.col("pos"))).alias("before"), F.collect_set(F.when(F.col("ahead"), F.col("pos"))).alias("ahead"))
+    sides = made.join(twice, "half", "left_semi").groupBy("row").agg(F.collect_set(F.when(~F.col("ahead"), F.col("pos"))).alias("before"), F.collect_set(F.when(F.col("ahead"), F.col("pos"))).alias("ahead"))
     sides = store.stored(sides, "sides")
     store.drop(made, twice)
-    made = store.stored(windows(fresh.join(sides, "doc_id"), units, seed, length), "windows")
+    made = store.stored(windows(fresh.join(sides, "row"), units, seed, length), "windows")
     first = store.stored(made.groupBy("window").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("window", "first"), "first-windows")
-    found = store.stored(made.join(first, "window").filter(at > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("found")), "found")
+    found = store.stored(made.join(first, "window").filter(at > F.col("first")).groupBy("row").agg(F.collect_set("pos").alias("found")), "found")
     store.drop(made, first)
-    return split.select("doc_id", "settled").join(found, "doc_id", "left").select("doc_id", "found", "settled")
+    return split.select("row", "settled").join(found, "row", "left").select("row", "found", "settled")

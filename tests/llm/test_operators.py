@@ -110,6 +110,36 @@ def test_byte_repeats_equal_brute_force(docs, rows):
     assert {(r["doc_id"], r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in got} == want
 
 
+def test_repeats_under_null_and_shared_ids(spark):
+    """Different long texts under one id or none, of unequal length, that share a passage with each other and with other ids."""
+    r = random.Random(8)
+    fresh = lambda n: " ".join(f"q{r.randrange(10**9)}" for _ in range(n))
+    shared, late = fresh(40), fresh(30)
+    data = [(None, fresh(300) + " " + shared), (None, shared + " " + fresh(5)), (None, fresh(25)), (4, fresh(10) + " " + shared + " " + fresh(200) + " " + late), (4, late + " " + fresh(3)),
+            (4, late + " " + fresh(3)), (4, fresh(60)), (9, fresh(50) + " " + late), (9, late), (None, fresh(2))]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    for k, length, cut, units in ((0, 20, repeats.cut_repeats, lambda t: t.split()), (1, 50, suffixes.cut_suffixes, lambda t: list(t.encode()))):
+        first, want = {}, []
+        place = lambda d, i: (-1 if d is None else d, 0 if k else i)
+        for d, t in data:
+            u = units(t)
+            for i in range(len(u) - length + 1):
+                w = tuple(u[i:i + length])
+                first[w] = min(first.get(w, place(d, i)), place(d, i))
+        for d, t in data:
+            u = units(t)
+            gone = set()
+            for i in range(len(u) - length + 1):
+                if place(d, i) > first[tuple(u[i:i + length])]:
+                    gone.update(range(i, i + length))
+            left = [x for i, x in enumerate(u) if i not in gone]
+            want.append((-1 if d is None else d, len(u), len(gone), bytes(left) if k else " ".join(left)))
+        got = [(x["doc_id"], x[1], x["n_removed"], bytes(x["kept"]) if k else x["kept"]) for x in cut(docs).collect()]
+        assert sorted(got) == sorted(want)
+        keyed = cut(docs.withColumn("key", repeats.F.xxhash64("text", "doc_id")), row_col="key")
+        assert keyed.columns[:2] == ["key", "doc_id"]
+
+
 def test_best_fit_against_plain_search():
     r = random.Random(4)
     lengths = np.array([r.randint(1, 64) for _ in range(500)])
