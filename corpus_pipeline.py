@@ -6,29 +6,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import store
-from quantloom.llm.jaccard import link_documents
+from quantloom.llm.jaccard import linked
 from quantloom.llm.mixing import mix
 from quantloom.llm.packing import pack
 from quantloom.llm.quality import assess
 from quantloom.llm.repeats import cut_repeats
 
 
+ROW = "__row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key of their own, stored: ids may be null or repeated, so stages pick rows by this key."""
+    return store.stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    kept = assess(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Rows that the quality rules keep. Each row is judged by its own text, whatever its id."""
+    rows = keyed(docs)
+    return rows.join(assess(rows, keep=(ROW,)).filter("kept").select(ROW), ROW, "left_semi").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8): the smallest id."""
-    first = link_documents(docs, k=5, percent=80).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each group of near duplicates (five words, similarity 0.8): the least by (id, text), null ids last. Rows without words are in no group and stay."""
+    rows = keyed(docs)
+    grouped = store.stored(linked(rows, k=5, percent=80, keep=(ROW,)).select(ROW, "node_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("at")), "grouped")
+    least = store.stored(grouped.filter("node_group is not null").groupBy("node_group").agg(F.min("at").alias("least")), "least")
+    first = store.stored(grouped.join(least, "node_group").filter(F.col("at").eqNullSafe(F.col("least"))).select(ROW, "node_group"), "first")
+    tied = store.stored(first.groupBy("node_group").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("node_group"), "tied")
+    texts = first.join(tied, "node_group").join(rows.select(ROW, "text"), ROW)
+    chosen = texts.groupBy("node_group").agg(F.min(F.struct("text", ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    keep = first.join(tied, "node_group", "left_anti").select(ROW).union(chosen).union(grouped.filter("node_group is null").select(ROW))
+    return rows.join(keep, ROW, "left_semi").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages of 20 words or more that stand earlier; texts that lose nothing stay as they are, texts that lose all go."""
-    cut = cut_repeats(docs).filter("n_removed > 0").select("doc_id", F.col("kept").alias("__kept"))
-    out = docs.join(cut, "doc_id", "left").filter("__kept is null or __kept != ''").withColumn("text", F.coalesce("__kept", "text"))
+    """Rows without passages of 20 words or more that stand earlier; texts that lose nothing stay as they are, texts that lose all go.
+
+    Rows with null id come first (as -1); for rows that share an id see `cut_repeats`."""
+    rows = keyed(docs)
+    cut = cut_repeats(rows, row_col=ROW).filter("n_removed > 0").select(ROW, F.col("kept").alias("__kept"))
+    out = rows.join(cut, ROW, "left").filter("__kept is null or __kept != ''").withColumn("text", F.coalesce("__kept", "text"))
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
 
 

@@ -68,7 +68,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def _summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _summaries(docs: DataFrame, k: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n, node, short): `short` are the shingles whose lists are merged, the rarest n - T + 1, with T the least overlap of any link."""
     often = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
@@ -83,11 +83,12 @@ def _summaries(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
                 chosen = values[order][arrays.ragged(first[:-1], take)]
                 ends = np.concatenate([[0], np.cumsum(take)])
+                kept = [batch.column(2 + i).slice(lo, hi - lo) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(node_of(values, first), mask=n == 0), _list_array(chosen, ends)], ["doc_id", "n", "node", "short"]
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(node_of(values, first), mask=n == 0), _list_array(chosen, ends), *kept], ["doc_id", "n", "node", "short", *keep]
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, n long, node long, short array<long>")
+    return docs.select("doc_id", "text", *keep).mapInArrow(work, ", ".join(["doc_id long, n long, node long, short array<long>", *[f"{c} {dict(docs.dtypes)[c]}" for c in keep]]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -131,8 +132,13 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     Null or empty text, or text without words: 0 shingles, its own component. Null id: component of the others, null when alone. Repeated rows are equal
     sets. A repeated id with different texts: a node per text. An empty table gives an empty table. Extra columns are ignored.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    summary = store.stored(_summaries(docs, k, percent), "sets")
+    return linked(docs, k, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def linked(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`link_documents` with the columns `keep` and node_group: the component itself, which ids can't tell where they are null or repeated; null without words."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
+    summary = store.stored(_summaries(docs, k, percent, keep), "sets")
     nodes = summary.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.min("doc_id").alias("least_id"))
     posted = nodes.select(F.explode("short").alias("shingle"), "node", "n")
     leaders = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("lead")).filter("many > 1")
@@ -164,7 +170,8 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     roots = components(first.union(second))
     named = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return summary.join(named.join(least, "root").select("node", "component_id"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.join(least, "root").select("node", "component_id", F.col("root").alias("node_group"))
+    return summary.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node_group", *keep)
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -40,18 +40,18 @@ def repeated_words(words: Column) -> Column:
     return F.coalesce(_let(windows, covered), F.lit(0)).cast("bigint")
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts per document that the rules read, over whole texts; a null text counts as empty.
 
     n_words, word_chars (code points in words), n_symbols, n_dup_lines, n_repeat_words, and n_lines (lines with a word), n_upper, n_letters, n_stops (sentence ends),
-    n_marks (exclamation marks). Long values. Other columns are dropped.
+    n_marks (exclamation marks). Long values. Other columns are dropped, except those named in `keep`.
     """
     text = F.col("__text")
     words = F.regexp_extract_all(text, F.lit(store.WORD), F.lit(0))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(store.WORD)))
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("bigint")
     return (
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"), *keep)
         .withColumn("__words", words)
         .withColumn("__lines", lines)
         .select(
@@ -66,6 +66,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             count(r"\p{L}").alias("n_letters"),
             count(r"[.!?\x{3002}]").alias("n_stops"),
             count("!").alias("n_marks"),
+            *keep,
         )
     )
 
@@ -145,13 +146,13 @@ def judged(measured: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: measures, base_failed, posterior (probability of good) and kept.
 
     Measures are written to the shared folder once and read for the fit and for the result. Null or empty text: zero counts, base_failed, not kept. Repeated
-    rows are judged each. An empty table gives an empty table. Extra columns are ignored.
+    rows are judged each. An empty table gives an empty table. Extra columns are ignored, except those named in `keep`.
     """
-    return judged(store.stored(measures(docs, id_col, text_col), "quality"), threshold)
+    return judged(store.stored(measures(docs, id_col, text_col, keep), "quality"), threshold)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:

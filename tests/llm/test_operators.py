@@ -338,3 +338,24 @@ def test_pipeline_stages(spark, docs, rows):
     for r in repeats.cut_repeats(docs).collect():
         source = dict((d, t) for d, t, *_ in rows)[r["doc_id"]]
         assert cut.get(r["doc_id"]) == (source if not r["n_removed"] else r["kept"] or None)
+
+
+def test_pipeline_rows_with_null_and_repeated_ids(spark):
+    r = random.Random(6)
+    fresh = lambda n, k=10**6: " ".join(f"word{r.randrange(k)}" for _ in range(n))
+    a, b, c, shared = fresh(80), fresh(80), fresh(80), fresh(30)
+    stages = dict(corpus_pipeline.STAGES)
+    frame = lambda data: spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in data], SCHEMA).repartition(3)
+    got = lambda stage, data: sorted(((x["doc_id"], x["text"]) for x in stages[stage](spark, frame(data), "").collect()), key=str)
+    good = ". ".join(" ".join(f"plain{r.randrange(10**6)}" for _ in range(9)) for _ in range(20)) + ".\nNext line, as plain as that."
+    data = [(None, good), (1, good + " More."), (1, "x"), (1, good + " More."), (None, None)]
+    judged = {x["text"]: x["kept"] for x in quality.assess(frame(data), keep=("text",)).collect()}
+    assert judged[good] and not judged["x"]
+    assert got("quality", data) == sorted([x for x in data if judged[x[1]]], key=str)
+    data = [(None, a), (None, a + " tail"), (None, b), (5, b + " tail"), (5, c), (7, c), (7, c + " tail"), (8, ""), (8, ""), (None, None)]
+    assert got("near_duplicates", data) == sorted([(None, a), (5, b + " tail"), (5, c), (8, ""), (8, ""), (None, None)], key=str)
+    near = [(6, a + " tail"), (6, a), (6, b)]
+    assert got("near_duplicates", near) == sorted([(6, a), (6, b)], key=str)
+    head, end = fresh(4), fresh(3)
+    data = [(None, shared + " " + head), (None, end + " " + shared), (3, b + " " + shared), (3, b + " " + shared), (3, c), (4, shared)]
+    assert got("passages", data) == sorted([(None, shared + " " + head), (None, end), (3, b), (3, b), (3, c)], key=str)
