@@ -74,7 +74,6 @@ def tokenized(docs: DataFrame, window: int, tokenizer: str, end_id: int, with_id
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
-        model.encode_special_tokens = True
         for batch in batches:
             keys = batch.column(0)
             for lo in range(0, batch.num_rows, 64):

@@ -176,6 +176,18 @@ def test_packing_keeps_every_id(docs, rows):
         assert at <= 128
 
 
+def test_packing_of_special_strings_is_the_plain_call(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    text = "one <|startoftext|> two <|endoftext|>three"
+    want = [*model.encode(text, add_special_tokens=False).ids, 2]
+    model.encode_special_tokens = True
+    assert want != [*model.encode(text, add_special_tokens=False).ids, 2]
+    assert [r["ids"] for r in packing.pack(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()] == [want]
+
+
 def test_mix_meets_targets_and_is_stable(docs):
     out = mixing.with_copies(docs).collect()
     per = {}
