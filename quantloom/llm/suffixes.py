@@ -1,4 +1,4 @@
-"""Suffix-array dedup: byte strings past a threshold that stand in an earlier document are cut out."""
+"""Substring dedup over bytes, by seed and extend: byte strings past a threshold that stand in an earlier document are cut out."""
 
 from __future__ import annotations
 
@@ -35,11 +35,9 @@ def cut_suffixes(docs: DataFrame, length: int = 50, start: int = 16, id_col: str
     """One row per input row: doc_id, n_bytes, n_removed, removed (maximal runs, [start, end) in bytes), kept (remaining bytes).
 
     A byte goes when a string of `length` bytes that covers it also starts in a document with a smaller id; matches never cross documents.
-    Prefix doubling with names for ranks (equal strings, equal names): inside a task, positions are named up to half the threshold, where no
-    shuffle is needed; Spark then sorts positions by name at growing lengths and drops what became unique. Round one sorts the names of `start` bytes at
-    positions that winnowing keeps (each string of `length` bytes holds one); round two those of everything around a position, which settles the ones
-    already past the threshold; round three those of about two thirds of the threshold to either side; round four the pairs of names half a threshold apart, at
-    every position that is still open.
+    Seed and extend, as in `cut_repeats`, over bytes: no suffix array, no ranks and no doubling. Winnowing picks the `start`-byte anchors, so that each string of
+    `length` bytes holds one; anchors that stand twice are grouped by hashes of everything around them, which settles those that repeat as a whole; the others
+    by hashes of about two thirds of the threshold to either side; and every position that is still open by its `length` bytes.
 
     A text equal to one with a smaller id repeats as a whole and is not searched. Null text counts as empty. Null id: compared as -1. Rows that share an id are
     one document: they don't repeat each other. `row_col`: a unique key of the rows, handed on as a first column. An empty table gives an empty table. Extra columns are ignored.
