@@ -62,7 +62,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("passages", passages), ("mixed", mixed), ("packed", packed)]
 
-#: Shingle links, byte-pair tokens and best fit have no SQL; the tests hold a brute-force version against run().
+#: Shingle links, byte-pair tokens and best fit have no SQL. Tests hold stages of their own; none holds run() as a whole.
 ORACLE_SQL = None
 
 
