@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quantloom.llm.bpe import op11_bpe
 from quantloom.llm.edits import op9_fingerprints
 from quantloom.llm.jaccard import op1_jaccard
 from quantloom.llm.mixing import OP4_SQL, op4_mix
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_url_rules": op10_url_rules,
+    "op11_bpe": op11_bpe,
 }
 ORACLES = {"op4_mix": OP4_SQL, "op5_warc": OP5_SQL}
