@@ -12,6 +12,7 @@ from quantloom.llm.repeats import op3_repeats
 from quantloom.llm.suffixes import op7_suffixes
 from quantloom.llm.toxicity import op8_toxicity
 from quantloom.llm.url_rules import op10_url_rules
+from quantloom.llm.vector_codes import op12_vector_codes
 from quantloom.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_fingerprints": op9_fingerprints,
     "op10_url_rules": op10_url_rules,
     "op11_bpe": op11_bpe,
+    "op12_vector_codes": op12_vector_codes,
 }
 ORACLES = {"op4_mix": OP4_SQL, "op5_warc": OP5_SQL}
