@@ -9,6 +9,7 @@ from quantloom.llm.mixing import OP4_SQL, op4_mix
 from quantloom.llm.packing import op2_pack
 from quantloom.llm.quality import op6_quality
 from quantloom.llm.repeats import op3_repeats
+from quantloom.llm.runs import op13_runs
 from quantloom.llm.suffixes import op7_suffixes
 from quantloom.llm.toxicity import op8_toxicity
 from quantloom.llm.url_rules import op10_url_rules
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_url_rules": op10_url_rules,
     "op11_bpe": op11_bpe,
     "op12_vector_codes": op12_vector_codes,
+    "op13_runs": op13_runs,
 }
 ORACLES = {"op4_mix": OP4_SQL, "op5_warc": OP5_SQL}
