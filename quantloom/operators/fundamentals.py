@@ -96,10 +96,8 @@ def rank_average(df: DataFrame, features, group=("pos",), out: str = "score", ok
     cond = F.col(ok) if ok else F.lit(True)
     if jointly:
         cond = reduce(lambda a, b: a & b, [F.col(f).isNotNull() for f in features], cond)
-    d = df
-    for i, f in enumerate(features):
-        d = d.withColumn(f"_x{i}", F.when(cond, F.col(f)))
-        d = ranks.average_rank(d, group, f"_x{i}", f"_p{i}", pct=True)
+    d = df.withColumns({f"_x{i}": F.when(cond, F.col(f)) for i, f in enumerate(features)})
+    d = ranks.average_ranks(d, group, {f"_x{i}": f"_p{i}" for i in range(len(features))}, pct=True)
     total = reduce(lambda a, b: a + b, [F.col(f"_p{i}") for i in range(len(features))])
     return d.withColumn(out, total / len(features)).select(*df.columns, out)
 

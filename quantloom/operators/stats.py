@@ -18,7 +18,7 @@ EULER_GAMMA = 0.5772156649015329
 def cross_sectional_ic(df: DataFrame, feature: str, target: str, min_names: int = 5, group=("pos",)) -> DataFrame:
     """Per group: rank correlation over rows where both values exist; groups below min_names or without variance drop out."""
     d = df.where(F.col(feature).isNotNull() & F.col(target).isNotNull()).select(*group, F.col(feature).alias("_f"), F.col(target).alias("_t"))
-    d = ranks.average_rank(ranks.average_rank(d, group, "_f", "_rf"), group, "_t", "_rt")
+    d = ranks.average_ranks(d, group, {"_f": "_rf", "_t": "_rt"})
     g = d.groupBy(*group).agg(F.count("*").alias("n"), F.covar_pop("_rf", "_rt").alias("_cov"), F.var_pop("_rf").alias("_vf"), F.var_pop("_rt").alias("_vt"))
     g = g.where((F.col("n") >= min_names) & (F.col("_vf") > 0) & (F.col("_vt") > 0))
     return g.select(*group, "n", C.div("_cov", F.sqrt(F.col("_vf") * F.col("_vt"))).alias("ic"))
@@ -84,8 +84,7 @@ def residual_rank(df: DataFrame, feature: str, controls, min_names: int = 30, gr
     cols = [feature, *controls]
     d = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
     names = [f"_r{i}" for i in range(len(cols))]
-    for c, r in zip(cols, names):
-        d = ranks.average_rank(d, group, c, r)
+    d = ranks.average_ranks(d, group, dict(zip(cols, names)))
     y, xs = names[0], names[1:]
     mom = [F.count("*").alias("_n")] + [F.avg(c).alias(f"_m{c}") for c in names]
     mom += [F.covar_pop(a, b).alias(f"_c{a}{b}") for i, a in enumerate(names) for b in names[i:]]

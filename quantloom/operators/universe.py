@@ -9,6 +9,7 @@ from quantloom.functions import cols as C
 from quantloom.functions import rules as R
 from quantloom.operators import calendar as K
 from quantloom.operators import ranks
+from quantloom.session import kept
 
 
 def is_common_stock(code, name) -> Column:
@@ -90,10 +91,11 @@ def restrict_universe(df: DataFrame, drop: float = 0.2, min_names: int = 30, dv:
     d = df.withColumn("_base", base).withColumn("_dvb", F.when(base, F.col(dv)))
     if drop <= 0:
         return d.withColumn(out, F.col("_base")).drop("_base", "_dvb")
-    d = ranks.average_rank(d, ["pos"], "_dvb", "_pct", pct=True)
-    d = d.withColumn("_keep", F.coalesce(F.col("_base") & (F.col("_pct") > drop), F.lit(False)))
-    d = ranks.group_total(d, ["pos"], F.col("_keep").cast("int"), "_kept")
-    return d.withColumn(out, F.when(F.col("_kept") < min_names, F.col("_base")).otherwise(F.col("_keep"))).drop("_base", "_dvb", "_pct", "_keep", "_kept")
+    d = kept(d, "liquidity")
+    table = ranks.rank_table(d, ["pos"], ["_dvb"]).withColumn("_in", ranks.average(pct=True) > drop)
+    survivors = table.groupBy("pos").agg(F.sum(F.when(F.col("_in"), F.col("_cnt")).otherwise(0)).alias("_kept"))
+    table = table.join(survivors, "pos").withColumn("_in", F.col("_in") | (F.col("_kept") < min_names))
+    return ranks.look_up(d, table, ["pos"], "_dvb", {out: F.col("_in")}).withColumn(out, F.coalesce(out, F.lit(False))).drop("_base", "_dvb")
 
 
 def eligible(grid: DataFrame, universe: str = "in_universe", min_days: int = 252, out: str = "ok") -> DataFrame:

@@ -43,29 +43,44 @@ def test_newey_west(spark):
         assert got[k]["n"] == len(xs) and near(got[k]["nw_t"], None if w is None else float(w), 1e-9)
 
 
-def test_histogram_rank_equals_window_rank(spark):
+def test_rank_equals_pandas_with_a_value_that_a_third_shares(spark):
     rng = np.random.default_rng(2)
-    vals = np.concatenate([np.zeros(150), rng.normal(size=200), rng.normal(size=100) * 1e6, [1e-300, -1e-300, 1000.0, 999.9999]])
-    data = [(int(i % 3), f"{i:06d}", float(v)) for i, v in enumerate(vals)] + [(0, "nul", None)]
-    df = spark.createDataFrame(data, "g int, code string, v double")
+    vals = np.concatenate([np.zeros(150), [-0.0] * 5, rng.normal(size=200), rng.normal(size=100) * 1e6, [1e-300, -1e-300, 1000.0, 999.9999]])
+    other = np.where(rng.random(len(vals)) < 0.2, np.nan, rng.integers(0, 9, len(vals)))
+    data = [(int(i % 3), f"{i:06d}", float(v), None if np.isnan(o) else float(o)) for i, (v, o) in enumerate(zip(vals, other))] + [(0, "nul", None, 1.0)]
+    df = spark.createDataFrame(data, "g int, code string, v double, o double").repartition(5)
+    pdf = pd.DataFrame(data, columns=["g", "code", "v", "o"])
     for pct in (False, True):
         for desc in (False, True):
-            a = ranks.average_rank(df, ["g"], "v", "r", pct, desc, one_task=True)
-            b = ranks.average_rank(df, ["g"], "v", "r", pct, desc, one_task=False)
-            assert a.select("code", F.round("r", 9)).exceptAll(b.select("code", F.round("r", 9))).count() == 0
-    pdf = pd.DataFrame(data, columns=["g", "code", "v"])
-    want = pdf.groupby("g")["v"].rank(pct=True)
-    got = {r["code"]: r["r"] for r in ranks.average_rank(df, ["g"], "v", "r", True, one_task=False).collect()}
-    assert all(near(got[c], None if np.isnan(w) else float(w)) for c, w in zip(pdf["code"], want))
+            got = {r["code"]: (r["rv"], r["ro"]) for r in ranks.average_ranks(df, ["g"], {"v": "rv", "o": "ro"}, pct, desc).collect()}
+            want = pdf.groupby("g")[["v", "o"]].rank(pct=pct, ascending=not desc)
+            assert len(got) == len(data)
+            for code, v, o in zip(pdf["code"], want["v"], want["o"]):
+                assert near(got[code][0], None if np.isnan(v) else float(v)) and near(got[code][1], None if np.isnan(o) else float(o))
 
 
-def test_ordinal_paths_agree(spark):
+def test_rank_buckets_stay_small(spark):
+    df = spark.range(20000).selectExpr("1 as g", "case when id % 3 = 0 then 7.0D else 1 + id * 1e-9D end as v")
+    table = ranks.rank_table(df, ["g"], ["v"])
+    assert table.count() == 13334 and table.agg(F.sum("_cnt")).first()[0] == 20000
+    got = table.orderBy("_v").select("_above").collect()
+    assert [r[0] for r in got] == list(range(13333)) + [13333]
+
+
+def test_ordinal_breaks_ties_by_the_whole_string(spark):
     rng = np.random.default_rng(7)
-    data = [(int(i % 2), f"{i * 37 % 1000:06d}", float(v)) for i, v in enumerate(np.round(rng.normal(size=300), 1))]
-    df = spark.createDataFrame(data, "g int, code string, v double")
-    a = ranks.ordinal(df, ["g"], "v", "code", "r", one_task=True).select("code", "r")
-    b = ranks.ordinal(df, ["g"], "v", "code", "r", one_task=False).select("code", "r")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    data = [(int(i % 2), f"{'same-start-' if i % 5 else 'é'}{i * 37 % 1000:06d}", float(v)) for i, v in enumerate(np.round(rng.normal(size=300), 1))]
+    data += [(0, f"x{i:07d}", 0.5) for i in range(150)]
+    got = {r["code"]: r["r"] for r in ranks.ordinal(spark.createDataFrame(data, "g int, code string, v double").repartition(4), ["g"], "v", "code", "r").collect()}
+    for g in (0, 1):
+        order = sorted((r for r in data if r[0] == g), key=lambda r: (-r[2], r[1].encode()))
+        assert [got[c] for _, c, _ in order] == list(range(1, len(order) + 1))
+
+
+def test_group_total_keeps_all_rows(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, None), (2, 3.0), (None, 4.0)], "g int, x double")
+    got = sorted((r["g"] or 0, r["x"] or 0.0, r["t"]) for r in ranks.group_total(df, ["g"], F.col("x"), "t").collect())
+    assert got == [(0, 4.0, None), (1, 0.0, 2.0), (1, 2.0, 2.0), (2, 3.0, 3.0)]
 
 
 def test_ic_matches_spearman(spark):
