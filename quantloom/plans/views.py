@@ -146,9 +146,9 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """(id, dt, code, title): event times; titles glue a lexicon phrase to the first line of a document."""
+        """(id, dt, code, title): event times; titles glue a lexicon phrase to the whole text of a document, its lines joined by blanks."""
         n_docs = self.table("documents").agg(F.count("*").alias("n")).scalar()
-        docs = self.table("documents").select("doc_id", F.substring(F.split("text", "\n")[0], 1, 60).alias("line"))
+        docs = self.table("documents").select("doc_id", F.translate("text", "\n", " ").alias("line"))
         e = self.table("events").select(F.col("event_id").alias("id"), F.col("ts").alias("dt"),
                                         F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), "event_type",
                                         (F.col("event_id") % n_docs).alias("doc_id"))
@@ -219,7 +219,7 @@ filings AS (SELECT lpad(CAST(o_orderkey AS VARCHAR),14,'0') AS rcept_no, CAST(o_
 daily AS (SELECT CAST(ts AS DATE) AS date, lpad(CAST(user_id AS VARCHAR),6,'0') AS code, round(avg(value)+1e-9,4) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events GROUP BY ts::DATE, user_id),
 dcal AS (SELECT date, CAST(row_number() OVER (ORDER BY date) AS INT) AS pos FROM (SELECT DISTINCT CAST(ts AS DATE) AS date FROM events)),
-articles AS (SELECT id, dt, code, {PHRASE_CASE} || '  ' || substring(string_split(text, chr(10))[1],1,60) AS title
+articles AS (SELECT id, dt, code, {PHRASE_CASE} || '  ' || replace(text, chr(10), ' ') AS title
   FROM (SELECT event_id AS id, ts AS dt, lpad(CAST(user_id AS VARCHAR),6,'0') AS code, event_type, event_id % (SELECT count(*) FROM documents) AS doc_id FROM events)
   JOIN documents USING (doc_id)),
 month_caps AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR),6,'0') AS code,
