@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions import cols as C
 
 RELIST_GAP_DAYS = 60
+DECAY = 60.0  # natural logarithm of the fading within a block of the exponential scan
 
 
 def dedupe_last(df: DataFrame, keys, seq: str) -> DataFrame:
@@ -152,30 +155,31 @@ def beta(df: DataFrame, bench: DataFrame, window: int | None = None, ramp: int =
 def ewm_std(df: DataFrame, value: str, beta: float, out: str = "ewm", keys=("code",), order: str = "pos") -> DataFrame:
     """Exponentially weighted standard deviation (weights (1-b)b^i, bias-corrected), NULLs carry the last value.
 
-    Closed form over one running window: with i the number of values so far, sums of x b^-i scale to the recursive mean.
-    The scale b^-i overflows after some thousand rows, so each code's history is folded as one array bounded by the calendar.
+    Every observation is an affine step m -> r m + (1 - r) x, with r from the number of rows since the last one (a missing
+    observation still ages the old weights). The steps are scanned in blocks: -ln r is summed up, and a block holds the rows
+    within DECAY of that sum, so weights relative to the block's start neither overflow nor vanish. A block's running sums and
+    the whole sums of the block before it give the mean; what lies further back weighs less than e^-DECAY.
     """
-    item = F.struct(F.col(order).alias("o"), F.col(value).alias("x"))
-    series = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_s"))
-    b, a = F.lit(beta), F.lit(1.0 - beta)
-    start = F.struct(F.lit(None).cast("double").alias("m"), F.lit(None).cast("double").alias("q"), F.lit(None).cast("double").alias("s2"),
-                     F.lit(0.0).alias("gap"), F.array().cast("array<struct<o:int,v:double>>").alias("out"))
-
-    def step(acc, e):
-        x, first, skip = e["x"], acc["m"].isNull(), e["x"].isNull()
-        # a missing observation still ages the old weights (adjust=False, ignore_na=False)
-        old = b * F.pow(b, acc["gap"])
-        wn = old + a
-        m = F.when(skip, acc["m"]).when(first, x).otherwise((old * acc["m"] + a * x) / wn)
-        q = F.when(skip, acc["q"]).when(first, x * x).otherwise((old * acc["q"] + a * x * x) / wn)
-        s2 = F.when(skip, acc["s2"]).when(first, 1.0).otherwise((old * old * acc["s2"] + a * a) / (wn * wn))
-        gap = F.when(skip & ~first, acc["gap"] + 1).otherwise(0.0)
-        v = F.when(s2 < 1, F.sqrt(F.greatest((q - m * m) / (1 - s2), F.lit(0.0))))
-        cell = F.array(F.struct(e["o"].cast("int").alias("o"), v.alias("v")))
-        return F.struct(m.alias("m"), q.alias("q"), s2.alias("s2"), gap.alias("gap"), F.concat(acc["out"], cell).alias("out"))
-
-    res = series.select(*keys, F.explode(F.aggregate("_s", start, step)["out"]).alias("_e"))
-    return df.join(res.select(*keys, F.col("_e.o").alias(order), F.col("_e.v").alias(out)), [*keys, order], "left")
+    x, has = F.col(value), F.col(value).isNotNull()
+    w = Window.partitionBy(*keys).orderBy(order)
+    d = df.withColumn("_i", F.row_number().over(w))
+    seen = F.last(F.when(has, F.col("_i")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("_age", F.when(has, F.col("_i") - seen)).withColumn("_old", F.pow(F.lit(beta), F.col("_age")))
+    fresh = F.lit(1.0 - beta)
+    fade = F.coalesce(F.log(F.col("_old") + fresh) - F.col("_age") * math.log(beta), F.lit(0.0))
+    d = d.withColumn("_f", F.sum(fade).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_block", F.floor(F.col("_f") / DECAY))
+    d = d.withColumn("_e", F.exp(F.col("_block") * DECAY - F.col("_f"))).withColumn("_w", F.when(has, F.coalesce(fresh / (F.col("_old") + fresh), F.lit(1.0)) / F.col("_e")))
+    block = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+
+    def total(term, power):
+        past = F.coalesce(F.sum(term).over(before), F.lit(0.0)) * math.exp(-DECAY * power)
+        return F.pow("_e", F.lit(float(power))) * (F.coalesce(F.sum(term).over(block), F.lit(0.0)) + past)
+
+    d = d.withColumns({"_m": total(F.col("_w") * x, 1), "_q": total(F.col("_w") * x * x, 1), "_s2": total(F.col("_w") * F.col("_w"), 2)})
+    # one observation, or one after a gap that leaves nothing of those before it, has no deviation
+    v = F.when(F.col("_s2").between(1e-300, 1 - 1e-14), F.sqrt(F.greatest((F.col("_q") - F.col("_m") * F.col("_m")) / (1 - F.col("_s2")), F.lit(0.0))))
+    return d.withColumn(out, v).select(*df.columns, out)
 
 
 def move_threshold(df: DataFrame, k: float = 2.0, floor: float = 0.025, cap: float = 0.15, min_obs: int = 60, beta: float = 0.94) -> DataFrame:

@@ -28,11 +28,11 @@ def raw_bars(v):
                          text("chg", 8).alias("CMPPREVDD_PRC"), text("value", 2).alias("ACC_TRDVAL"), text("cap", 0).alias("MKTCAP"), F.when(F.col("volume") == 0, "").otherwise(text("shares", 0)).alias("LIST_SHRS"))
 
 
-@query("s01_scan_snapshots", "SELECT strftime(date,'%Y%m%d') AS day, count(*) AS n FROM bars WHERE date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31' GROUP BY date")
+@query("s01_scan_snapshots", "SELECT strftime(date,'%Y%m%d') AS day, count(*) AS n FROM bars GROUP BY date")
 def _(v):
     path = J.work_path(v.spark, "snapshots")
-    L.land_snapshots(raw_bars(v).where("BAS_DD like '1997%' or BAS_DD like '1998%'"), path)
-    s = L.scan_snapshots(v.spark, path, "19970101", "19971231", L.PARTITIONED_SCHEMA, "parquet")
+    L.land_snapshots(raw_bars(v), path, "csv")
+    s = L.scan_snapshots(v.spark, path, schema=L.PARTITIONED_SCHEMA)
     return s.groupBy(F.col("BAS_DD").alias("day")).agg(F.count("*").alias("n"))
 
 

@@ -78,11 +78,11 @@ def _(v):
     return out(d, "feature", "h", "year", "n", ic=6)
 
 
-@query("a43_ic_by_year_unpivot", IC_SQL + "SELECT feature, h, CAST(year(date) AS VARCHAR) AS year, round(avg(ic),6)+0.0 AS ic FROM ics JOIN cal USING (pos) WHERE year(date) IN (1997,1998,1999) GROUP BY ALL")
+@query("a43_ic_by_year_unpivot", IC_SQL + "SELECT feature, h, CAST(year(date) AS VARCHAR) AS year, round(avg(ic),6)+0.0 AS ic FROM ics JOIN cal USING (pos) GROUP BY ALL")
 def _(v):
     ic = K.with_date(all_ics(v), v.cal).withColumn("y", F.year("date"))
-    wide = ic.groupBy("feature", "h").pivot("y", [1997, 1998, 1999]).agg(F.avg("ic"))
-    return out(wide.unpivot(["feature", "h"], ["1997", "1998", "1999"], "year", "ic").where("ic is not null"), "feature", "h", "year", ic=6)
+    wide = ic.groupBy("feature", "h").pivot("y").agg(F.avg("ic"))
+    return out(wide.unpivot(["feature", "h"], wide.columns[2:], "year", "ic").where("ic is not null"), "feature", "h", "year", ic=6)
 
 
 @query("a03_label_cutoff", "SELECT code, pos FROM grid WHERE pos <= (SELECT max(pos) FROM cal) - 20 AND close IS NOT NULL")

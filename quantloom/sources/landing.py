@@ -33,9 +33,10 @@ def scan_snapshots(spark: SparkSession, path: str, start=None, end=None, schema:
     return df if end is None else df.where(F.col(day) <= end)
 
 
-def land_snapshots(raw: DataFrame, path: str) -> None:
-    """Stores raw strings as Parquet partitioned by day (ds_day), replacing only the days present in `raw`."""
-    raw.withColumn("ds_day", F.col("BAS_DD")).repartition("ds_day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ds_day").parquet(path)
+def land_snapshots(raw: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Stores raw strings partitioned by day (ds_day), replacing only the days present in `raw`."""
+    days = raw.withColumn("ds_day", F.col("BAS_DD")).repartition("ds_day")
+    days.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true").partitionBy("ds_day").format(fmt).save(path)
 
 
 def _typed(raw: DataFrame, fields: dict[str, str]) -> list[Column]:

@@ -144,3 +144,16 @@ def test_null_day_has_no_trading_day_and_double_rows_make_no_days(spark):
     assert [r["pos"] for r in rows(K.grid(panel, cal, ["close"]), "pos")] == [2, 3, 4, 5, 6]
     one = spark.createDataFrame([("a", None, 1.0)], "code string, seq int, v double")
     assert [r["v"] for r in P.dedupe_last(one, ["code"], "seq").collect()] == [1.0]
+
+
+def test_ewm_scan_over_many_blocks_and_long_gaps(spark):
+    rng = np.random.default_rng(8)
+    for beta in (0.94, 0.5, 0.05):
+        x = rng.normal(size=1500) * np.where(np.arange(1500) < 700, 1.0, 1e-4)
+        x[rng.random(1500) < 0.1] = np.nan
+        x[:5], x[400:900] = np.nan, np.nan
+        want = pd.Series(x).ewm(alpha=1 - beta, adjust=False).std(bias=False)
+        df = spark.createDataFrame([("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("B", 0, 1.0), ("B", 1, None)], "code string, pos int, ret double")
+        got = {(r["code"], r["pos"]): r["ewm"] for r in P.ewm_std(df, "ret", beta).collect()}
+        assert len(got) == 1502 and got["B", 0] is None and got["B", 1] is None
+        assert all(near(got["A", i], None if np.isnan(v) else float(v), 1e-9) for i, v in enumerate(want)), beta
