@@ -152,7 +152,18 @@ def test_ewm_scan_over_many_blocks_and_long_gaps(spark):
         x = rng.normal(size=1500) * np.where(np.arange(1500) < 700, 1.0, 1e-4)
         x[rng.random(1500) < 0.1] = np.nan
         x[:5], x[400:900] = np.nan, np.nan
-        want = pd.Series(x).ewm(alpha=1 - beta, adjust=False).std(bias=False)
+        m = q = s2 = None
+        gap, want = 0, []
+        for v in x:  # the recursion; pandas itself underflows on the longest gap
+            if np.isnan(v):
+                gap += 1
+            elif m is None:
+                m, q, s2, gap = v, v * v, 1.0, 0
+            else:
+                old = beta ** (gap + 1)
+                r, gap = old / (old + 1 - beta), 0
+                m, q, s2 = r * m + (1 - r) * v, r * q + (1 - r) * v * v, r * r * s2 + (1 - r) ** 2
+            want.append(np.sqrt(max((q - m * m) / (1 - s2), 0.0)) if m is not None and s2 < 1 else np.nan)
         df = spark.createDataFrame([("A", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("B", 0, 1.0), ("B", 1, None)], "code string, pos int, ret double")
         got = {(r["code"], r["pos"]): r["ewm"] for r in P.ewm_std(df, "ret", beta).collect()}
         assert len(got) == 1502 and got["B", 0] is None and got["B", 1] is None
