@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import rules as R
 from quantloom.operators import calendar as K
+from quantloom.operators import events as EV
 from quantloom.plans.events import DEDUP_SQL, NEWS_SQL
 from quantloom.plans.market import out
 from quantloom.plans.registry import query
 from quantloom.sources import landing as L
 from quantloom.streaming import jobs as J
+from quantloom.streaming import store as ST
 
 
 def text(c, d: int = 4):
@@ -272,51 +274,57 @@ def _(v):
 
 # ---- streaming ----
 
-def stream_of(v, name):
-    return v.spark.readStream.schema(v.table(name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(v.dir)
-
-
-@query("r01_news_stream", NEWS_SQL + ", ea AS (SELECT event_id AS id, ts AS dt, user_id, CASE WHEN event_type='purchase' THEN '특징주 급등' ELSE event_type END AS title FROM events), eb AS (SELECT *, (SELECT min(date) FROM dcal WHERE date >= CAST(dt AS DATE) + CASE WHEN hour(dt)*60+minute(dt) >= 930 THEN 1 ELSE 0 END) AS tday FROM ea WHERE title<>'특징주 급등') SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS code, tday, count(*) AS n FROM eb WHERE tday IS NOT NULL GROUP BY ALL")
-def _(v):
-    raw = stream_of(v, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("dt"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"),
-                                        F.when(F.col("event_type") == "purchase", "특징주 급등").otherwise(F.col("event_type")).alias("title"))
+def thirds(v, df, order, run):
+    """Lands a table in three parts by `order` (a date), and runs the stream over what is there after each: three batches, two restarts."""
+    src = J.work_path(v.spark, "landing")
+    cut = df.select(F.percentile_approx(F.unix_seconds(F.col(order).cast("timestamp")), [1 / 3, 2 / 3])).first()[0]
+    at = F.unix_seconds(F.col(order).cast("timestamp"))
+    for i in range(3):
+        part = df.where((at > cut[i - 1] if i else F.lit(True)) & (at <= cut[i] if i < 2 else F.lit(True)))
+        part.write.parquet(f"{src}/part={i}")
+        run(v.spark.readStream.schema(df.schema).option("basePath", src).parquet(f"{src}/part=*").drop("part"))
+
+
+@query("r01_news_stream", NEWS_SQL + """, ea AS (SELECT event_id AS id, ts AS dt, user_id, CASE WHEN event_type='purchase' THEN '특징주 급등' ELSE event_type || ' ' || event_id % 7 END AS title FROM events),
+eb AS (SELECT *, (SELECT min(date) FROM dcal WHERE date >= CAST(dt AS DATE) + CASE WHEN hour(dt)*60+minute(dt) >= 930 THEN 1 ELSE 0 END) AS tday FROM ea WHERE title<>'특징주 급등'),
+ec AS (SELECT user_id, tday, title, min(dt) AS dt FROM eb WHERE tday IS NOT NULL GROUP BY ALL)
+SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS code, tday, count(*) AS n FROM ec
+WHERE CAST(CAST(dt AS DATE) AS TIMESTAMP) + INTERVAL 930 MINUTE + CASE WHEN hour(dt)*60+minute(dt) >= 930 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END <= (SELECT max(ts) FROM events) - INTERVAL 4 DAY GROUP BY ALL""")
+def _(v):
+    title = F.when(F.col("event_type") == "purchase", "특징주 급등").otherwise(F.concat_ws(" ", "event_type", F.col("event_id") % 7))
+    raw = v.table("events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("dt"), F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), title.alias("title"))
     path = J.work_path(v.spark, "news")
-    J.run_available(J.news_stream(raw, v.daily_cal), path, J.news_counts)
+    thirds(v, raw, "dt", lambda s: J.run_available(J.news_stream(s, v.daily_cal), path))
     return J.read_news_counts(v.spark, path)
 
 
 @query("r02_event_dedupe_stream", DEDUP_SQL + "SELECT event, code, rcept_no, rcept_dt FROM evk")
 def _(v):
-    from quantloom.plans.views import TITLE_CASE
-
-    n = v.table("supplier").count()
-    o = stream_of(v, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 14, "0").alias("rcept_no"), F.col("o_orderdate").cast("date").alias("rcept_dt"),
-                                      F.lpad((F.col("o_custkey") % n).cast("string"), 6, "0").alias("code"), R.event_type(F.expr(TITLE_CASE)).alias("event")).where("event is not null")
+    e = EV.extract_events(v.filings, None).select("event", "code", "rcept_dt", "rcept_no")
     m = K.day_map(v.cal, pad_before=30, pad_after=30).select(F.col("day").alias("rcept_dt"), F.coalesce("next_pos", v.cal.agg(F.max("pos")).scalar() + 1).alias("tpos"))
     path = J.work_path(v.spark, "events")
-    J.run_available(J.dedupe_event_stream(o.join(m, "rcept_dt")), path)
+    thirds(v, e, "rcept_dt", lambda s: J.run_available(J.dedupe_event_stream(s.join(m, "rcept_dt"), v.cal), path, J.event_writer(path)))
     return J.read_batches(v.spark, path).select("event", "code", "rcept_no", "rcept_dt")
 
 
 @query("r03_snapshot_upsert_stream", "SELECT lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS code, CAST(l_shipdate AS DATE) AS date, max(l_orderkey) AS seq, round(max_by(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)),2) AS value FROM lineitem GROUP BY ALL")
 def _(v):
-    s = stream_of(v, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("date"),
-                                        F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"), F.col("l_extendedprice").alias("value"))
-    path = J.work_path(v.spark, "upsert")
-    J.upsert_stream(s, path, ["code", "date"], "seq")
-    r = J.read_latest(v.spark, path, ["code", "date"], "seq")
-    return out(r.withColumn("seq", F.col("seq.l_orderkey")), "code", "date", "seq", value=2)
+    rows = v.table("lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("code"), F.col("l_shipdate").cast("date").alias("date"),
+                                      F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("seq"), F.col("l_extendedprice").alias("value"), F.timestamp_seconds("l_orderkey").alias("arrived"))
+    path, keys = J.work_path(v.spark, "upsert"), ["code", "date"]
+    thirds(v, rows, "arrived", lambda s: J.upsert_stream(s.drop("arrived"), path, keys, "seq", F.year("date"), every=2))
+    return out(ST.read(v.spark, path, keys, "seq").withColumn("seq", F.col("seq.l_orderkey")), "code", "date", "seq", value=2)
 
 
-@query("r04_move_alerts", """, th AS (SELECT code, lead(date) OVER w AS date, close AS prev_close, least(greatest(2*stddev_samp(close) OVER (PARTITION BY code)/avg(close) OVER (PARTITION BY code),0.025::DOUBLE),0.15::DOUBLE) AS threshold FROM daily WINDOW w AS (PARTITION BY code ORDER BY date))
-SELECT e.event_id, CASE WHEN e.value/prev_close-1 > threshold THEN 'surge' ELSE 'plunge' END AS side FROM events e JOIN th ON th.code=lpad(CAST(e.user_id AS VARCHAR),6,'0') AND th.date=CAST(e.ts AS DATE) WHERE abs(e.value/prev_close-1) > threshold""")
+@query("r04_move_alerts", """, tk AS (SELECT event_id, lpad(CAST(user_id AS VARCHAR),6,'0') AS code, CAST(ts AS DATE) AS date, value FROM events),
+cl AS (SELECT code, date, avg(value) AS close FROM tk GROUP BY ALL),
+cr AS (SELECT code, date, lag(close) OVER w AS prev, close/lag(close) OVER w - 1 AS ret, row_number() OVER w AS i FROM cl WINDOW w AS (PARTITION BY code ORDER BY date)),
+st(code, i, m, q, s2) AS (SELECT code, 2, ret, ret*ret, 1.0::DOUBLE FROM cr WHERE i=2 UNION ALL
+ SELECT s.code, s.i+1, 0.94::DOUBLE*m+0.06::DOUBLE*ret, 0.94::DOUBLE*q+0.06::DOUBLE*ret*ret, 0.94::DOUBLE*0.94::DOUBLE*s2+0.06::DOUBLE*0.06::DOUBLE FROM st s JOIN cr ON cr.code=s.code AND cr.i=s.i+1),
+lim AS (SELECT cr.code, cr.date, cr.prev, least(greatest(2*sqrt(greatest((q-m*m)/(1-s2),0)),0.025::DOUBLE),0.15::DOUBLE) AS threshold FROM cr JOIN st ON st.code=cr.code AND st.i=cr.i-1 WHERE st.i-1 >= 5 AND s2 < 1)
+SELECT event_id, CASE WHEN value/prev-1 > threshold THEN 'surge' ELSE 'plunge' END AS side, round(threshold,6) AS threshold FROM tk JOIN lim USING (code, date) WHERE abs(value/prev-1) > threshold""")
 def _(v):
-    from pyspark.sql import Window
-
-    w, whole_ = Window.partitionBy("code").orderBy("date"), Window.partitionBy("code")
-    thr = F.least(F.greatest(2 * F.stddev_samp("close").over(whole_) / F.avg("close").over(whole_), F.lit(0.025)), F.lit(0.15))
-    th = v.daily.select("code", F.lead("date").over(w).alias("date"), F.col("close").alias("prev_close"), thr.alias("threshold"))
-    ticks = stream_of(v, "events").select("event_id", F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("date").alias("date"), F.col("value").alias("price"))
+    ticks = v.table("events").select("event_id", F.lpad(F.col("user_id").cast("string"), 6, "0").alias("code"), F.col("ts").cast("date").alias("date"), F.col("value").cast("double").alias("price"))
     path = J.work_path(v.spark, "alerts")
-    J.run_available(J.move_alerts(ticks, th), path)
-    return J.read_batches(v.spark, path).select("event_id", "side")
+    thirds(v, ticks, "date", lambda s: J.run_available(J.move_alerts(s, min_obs=5), path))
+    return out(J.read_batches(v.spark, path).where("side <> 'late'"), "event_id", "side", threshold=6)

@@ -1,24 +1,28 @@
-"""Structured Streaming jobs: news intake, event dedupe with state, snapshot upsert, move alerts.
+"""Structured Streaming jobs: news windows, event dedupe with state, snapshot upsert, move alerts with state.
 
 Sinks are append-only batch partitions that a replay of the same batch overwrites, so a lost executor or a restarted
-driver cannot duplicate rows; readers take the newest row per key.
+driver cannot duplicate rows. Keyed state lives in Spark's state store (RocksDB) under the query's checkpoint.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quantloom.functions import cols as C
 from quantloom.functions import rules as R
 from quantloom.operators import news as N
-from quantloom.operators.prices import dedupe_last
-from quantloom.session import checkpoint_dir
+from quantloom.session import scratch
+from quantloom.streaming import store
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] | None = None) -> Callable:
@@ -29,36 +33,41 @@ def batch_writer(path: str, shape: Callable[[DataFrame], DataFrame] | None = Non
     return write
 
 
-def run_available(stream: DataFrame, path: str, shape=None, mode: str = "append") -> None:
-    """Drains what is available into batch partitions under `path` and stops."""
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
-         .foreachBatch(batch_writer(path, shape)).start())
-    q.awaitTermination()
+def run_available(stream: DataFrame, path: str, write: Callable | None = None, mode: str = "append") -> None:
+    """Drains what is available into batch partitions under `path` (or through `write`) and stops."""
+    spark = stream.sparkSession
+    before = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True)
+             .foreachBatch(write or batch_writer(path)).start())
+        q.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE[0], before)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
 
 
-def read_latest(spark: SparkSession, path: str, keys, seq: str) -> DataFrame:
-    """The upserted table: newest row per key over all batches."""
-    return dedupe_last(read_batches(spark, path).drop("batch"), list(keys), seq)
-
-
 # ---- R1 news intake ----
 
-def news_stream(raw: DataFrame, cal: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Each article id once, automatic headlines out, trading day assigned (stream-static equi-join). raw: (id, dt, code, title)."""
-    d = raw.withWatermark("dt", delay).dropDuplicatesWithinWatermark(["id"]).where(~R.is_market_auto("title"))
-    return N.assign_trade_date(d, cal).where("tday is not null")
-
+def news_stream(raw: DataFrame, cal: DataFrame, delay: str = "4 days") -> DataFrame:
+    """(code, tday, closed, n): articles per code and event-time window from 15:30 to 15:30, once the watermark has passed the window. raw: (id, dt, code, title).
 
-def news_counts(df: DataFrame) -> DataFrame:
-    return df.groupBy("code", "tday").agg(F.count("*").alias("n"))
+    Each article id counts once; automatic headlines are left out; repeats of a normalised title per code and trading day count once, as in
+    `news.daily_news_table`. `delay` bounds how late a row may come and how far repeats may lie apart: it must cover the longest trading day (a weekend).
+    Rows behind the watermark are dropped. A trading day after a holiday has several windows; `read_news_counts` adds them up.
+    """
+    d = raw.withWatermark("dt", delay).dropDuplicatesWithinWatermark(["id"]).where(~R.is_market_auto("title"))
+    d = N.assign_trade_date(d, cal).where("tday is not null").withColumn("title", C.squeeze("title"))
+    d = d.dropDuplicatesWithinWatermark(["code", "tday", "title"])
+    span = F.window("dt", "1 day", startTime="15 hours 30 minutes")
+    return d.groupBy(span.alias("w"), "code", "tday").agg(F.count("*").alias("n")).select("code", "tday", F.col("w.end").alias("closed"), "n")
 
 
 def read_news_counts(spark: SparkSession, path: str) -> DataFrame:
@@ -67,51 +76,162 @@ def read_news_counts(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- R2 event dedupe with per-key state ----
 
-def dedupe_event_stream(events: DataFrame, quiet: int = 20) -> DataFrame:
-    """events: (event, code, tpos, rcept_dt, rcept_no) arriving in date order across batches.
-
-    State per key is the position of the last kept event. Batches of one key are reduced to the first event per position
-    while they are read, so memory is bounded by the number of trading days, not by the key's rows.
+def _frame(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    parts = list(frames)
+    return pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+
+
+class QuietPeriod(StatefulProcessor):
+    """State of a key: position of the last kept event, newest position seen, and when the quiet period ends (ms, -1: past the calendar)."""
+
+    columns = ["event", "code", "tpos", "rcept_dt", "rcept_no", "late"]
+
+    def __init__(self, quiet: int):
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "last int, seen int, until bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        # the first row of each position is all that can count; frames are reduced as they come
+        first, late = None, []
+        last, seen, until = self.state.get() if self.state.exists() else (None, None, -1)
+        for f in rows:
+            if seen is not None:
+                late.append(f[f["tpos"] < seen])
+                f = f[f["tpos"] >= seen]
+            first = f if first is None else pd.concat([first, f], ignore_index=True)
+            first = first.sort_values(["tpos", "rcept_dt", "rcept_no"]).drop_duplicates("tpos")
+        pos = first["tpos"].to_numpy()
+        kept, at = [], 0
+        while True:  # one step per kept event
+            if last is not None:
+                at = int(np.searchsorted(pos, last + self.quiet))
+            if at >= len(pos):
+                break
+            kept.append(at)
+            last = int(pos[at])
+        if kept:
+            until = int(first["until"].iloc[kept[-1]])
+            if until >= 0:
+                self.handle.registerTimer(until)
+        if len(pos):
+            self.state.update((last, int(pos[-1]), until))
+        out = [first.iloc[kept].assign(late=False)] + [f.assign(late=True) for f in late if len(f)]
+        yield pd.concat(out, ignore_index=True)[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        """Rows that can still come lie behind the quiet period: the next is kept whatever the state says."""
+        if self.state.exists() and 0 <= self.state.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe_event_stream(events: DataFrame, cal: DataFrame, quiet: int = 20, delay: str = "3 days") -> DataFrame:
+    """(event, code, tpos, rcept_dt, rcept_no, late). events: (event, code, tpos, rcept_dt, rcept_no) arriving in date order for each key across batches.
+
+    Within a batch any order will do. A row before the newest position its key has seen comes too late to be judged and is put out with late = true;
+    rows more than `delay` behind the newest receipt of the stream are dropped by the watermark. State is cleared by a timer when the watermark passes
+    the day on which the quiet period ends.
     """
+    ends = cal.select((F.col("pos") - quiet).alias("tpos"), F.col("date").alias("_end"))
+    d = events.select("event", "code", "tpos", "rcept_dt", "rcept_no", F.col("rcept_dt").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    d = d.join(ends, "tpos", "left").withColumn("until", F.coalesce(F.unix_millis(F.col("_end").cast("timestamp")), F.lit(-1))).drop("_end")
+    return d.groupBy("event", "code").transformWithStateInPandas(
+        QuietPeriod(quiet), "event string, code string, tpos int, rcept_dt date, rcept_no string, late boolean", "append", "eventTime")
 
-    def keep(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first: dict[int, tuple] = {}
-        for pdf in frames:
-            for tpos, dt, no in zip(pdf["tpos"], pdf["rcept_dt"], pdf["rcept_no"]):
-                cand = (dt, no)
-                if tpos not in first or cand < first[tpos]:
-                    first[tpos] = cand
-        last = state.get[0] if state.exists else None
-        rows = []
-        for tpos in sorted(first):
-            if last is None or tpos - last >= quiet:
-                last = int(tpos)
-                rows.append((*key, int(tpos), *first[tpos]))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(rows, columns=["event", "code", "tpos", "rcept_dt", "rcept_no"])
-
-    return events.groupBy("event", "code").applyInPandasWithState(
-        keep, "event string, code string, tpos int, rcept_dt date, rcept_no string", "last int", "append", GroupStateTimeout.NoTimeout)
+
+def event_writer(path: str) -> Callable:
+    """Kept events under path/batch=…, rows that came too late under path-late/batch=…."""
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        df = df.persist()  # a replay of the state step for the second sink would read the same state again
+        try:
+            batch_writer(path, lambda d: d.where("not late").drop("late"))(df, batch_id)
+            batch_writer(f"{path}-late", lambda d: d.where("late").drop("late"))(df, batch_id)
+        finally:
+            df.unpersist()
+
+    return write
 
 
 # ---- R3 snapshot upsert ----
 
-def upsert_stream(stream: DataFrame, path: str, keys, seq: str) -> None:
-    """Late or restated rows replace old ones: each batch keeps its newest row per key, readers resolve across batches."""
-    run_available(stream, path, lambda df: dedupe_last(df, list(keys), seq))
+def upsert_stream(stream: DataFrame, path: str, keys, seq: str, part: Column, every: int = 8) -> None:
+    """Late or restated rows replace old ones: each batch keeps its newest row per key; every `every` open batches are taken into the table (see `store`)."""
 
+    def write(df: DataFrame, batch_id: int) -> None:
+        store.append(df, path, batch_id, keys, seq)
+        now = store.manifest(df.sparkSession, path)
+        if len(store.open_batches(df.sparkSession, path, now["through"])) >= every:
+            store.compact(df.sparkSession, path, keys, seq, part)
 
-def compact(spark: SparkSession, path: str, keys, seq: str, out: str) -> None:
-    """Rewrites the resolved table to a new location; readers switch when it is complete."""
-    read_latest(spark, path, keys, seq).write.mode("overwrite").parquet(out)
+    run_available(stream, path, write)
 
 
 # ---- R4 move alerts ----
 
-def move_alerts(ticks: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """ticks: stream (code, date, price, …); thresholds: (code, date, prev_close, threshold) known since yesterday's close."""
-    d = ticks.join(thresholds, ["code", "date"])
-    d = d.withColumn("ret", F.col("price") / C.positive("prev_close") - 1)
-    side = F.when(F.col("ret") > F.col("threshold"), "surge").when(F.col("ret") < -F.col("threshold"), "plunge")
-    return d.withColumn("side", side).where("side is not null")
+class MoveAlerts(StatefulProcessor):
+    """State of a code: the open day with sum and number of its prices, the close before it, the number of returns, and the EWMA of return, square and weight."""
+
+    def __init__(self, k: float, floor: float, cap: float, min_obs: int, beta: float):
+        self.k, self.floor, self.cap, self.min_obs, self.beta = k, floor, cap, min_obs, beta
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("days", "day int, total double, n bigint, prev double, seen int, m double, q double, s2 double")
+
+    def close_day(self, s: tuple, day: int) -> tuple:
+        """The state when `day` opens: the open day's mean price becomes the close, its return enters the averages."""
+        _, total, n, prev, seen, m, q, s2 = s
+        close = total / n
+        if prev:
+            ret, b = close / prev - 1, self.beta
+            m, q, s2 = (ret, ret * ret, 1.0) if not seen else (b * m + (1 - b) * ret, b * q + (1 - b) * ret * ret, b * b * s2 + (1 - b) ** 2)
+            seen += 1
+        return day, 0.0, 0, close, seen, m, q, s2
+
+    def threshold(self, s: tuple) -> float | None:
+        _, _, _, _, seen, m, q, s2 = s
+        if seen < self.min_obs or s2 >= 1:
+            return None
+        return min(max(self.k * math.sqrt(max((q - m * m) / (1 - s2), 0.0)), self.floor), self.cap)
+
+    def handleInputRows(self, key, rows, timerValues):
+        f = _frame(rows)
+        f["day"] = (pd.to_datetime(f["date"]) - pd.Timestamp(0)).dt.days
+        s = tuple(self.state.get()) if self.state.exists() else None
+        out = []
+        for day, g in f.groupby("day", sort=True):
+            if s is not None and day < s[0]:
+                out.append(g.assign(ret=np.nan, threshold=np.nan, side="late"))
+                continue
+            if s is None:
+                s = (int(day), 0.0, 0, None, 0, 0.0, 0.0, 0.0)
+            elif day > s[0]:
+                s = self.close_day(s, int(day))
+            prev, limit = s[3], self.threshold(s)
+            s = (s[0], s[1] + float(g["price"].sum()), s[2] + len(g), *s[3:])
+            if prev and limit is not None:
+                ret = g["price"] / prev - 1
+                out.append(g.assign(ret=ret, threshold=limit, side=np.where(ret > limit, "surge", "plunge"))[ret.abs() > limit])
+        self.state.update(s)
+        if out:
+            yield pd.concat(out, ignore_index=True)[["event_id", "code", "date", "price", "ret", "threshold", "side"]]
+
+    def close(self) -> None:
+        pass
+
+
+def move_alerts(ticks: DataFrame, k: float = 2.0, floor: float = 0.025, cap: float = 0.15, min_obs: int = 60, beta: float = 0.94) -> DataFrame:
+    """(event_id, code, date, price, ret, threshold, side): ticks that move more than the threshold of the evening before. ticks: stream (event_id, code, date, price).
+
+    The threshold is that of `prices.move_threshold` on the codes' own days, with the mean price of a day as its close: k times the EWMA deviation of the
+    returns up to yesterday, within floor and cap. It is carried from day to day as state, so nothing of a day or of the future enters it. Days of one code
+    must arrive in order across batches; ticks of a closed day get side 'late' and change nothing.
+    """
+    return ticks.groupBy("code").transformWithStateInPandas(
+        MoveAlerts(k, floor, cap, min_obs, beta), "event_id long, code string, date date, price double, ret double, threshold double, side string", "append", "None")

@@ -1,14 +1,20 @@
+import glob
 import json
 import tempfile
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quantloom.functions import text as T
+from quantloom.operators import prices as P
 from quantloom.operators import textops as TX
 from quantloom.sources import landing as L
 from quantloom.sources import sinks
 from quantloom.streaming import jobs as J
-from tests.conftest import D, rows
+from quantloom.streaming import store as ST
+from tests.conftest import D, business_days, calendar, near, rows
 
 
 def work():
@@ -116,48 +122,122 @@ def news_file(path, name, items):
             f.write(json.dumps({"id": i, "dt": ts, "code": "A", "title": title}) + "\n")
 
 
-def test_news_stream_drops_repeated_ids_across_batches(spark):
+def test_news_stream_three_batches_with_a_late_row(spark):
     src, out = work(), work() + "/news"
-    cal = spark.createDataFrame([(D("2024-01-05"), 1), (D("2024-01-08"), 2)], "date date, pos int")
-    stream = lambda: spark.readStream.schema("id string, dt timestamp, code string, title string").json(src)
-    news_file(src, "a", [("1", "2024-01-05T09:00:00Z", "호조"), ("2", "2024-01-05T15:30:00Z", "호조")])
-    J.run_available(J.news_stream(stream(), cal), out, J.news_counts)
-    news_file(src, "b", [("1", "2024-01-05T09:00:00Z", "호조"), ("3", "2024-01-05T10:00:00Z", "특징주"), ("4", "2024-01-05T11:00:00Z", "전망")])
-    J.run_available(J.news_stream(stream(), cal), out, J.news_counts)
-    assert {str(r["tday"]): r["n"] for r in J.read_news_counts(spark, out).collect()} == {"2024-01-05": 2, "2024-01-08": 1}
+    days = [D(f"2024-01-{d:02d}") for d in (5, 8, 9, 10, 11, 12, 15, 16, 17, 18, 19, 22)]
+    cal = spark.createDataFrame([(d, i + 1) for i, d in enumerate(days)], "date date, pos int")
 
+    def batch(name, items):
+        news_file(src, name, items)
+        J.run_available(J.news_stream(spark.readStream.schema("id string, dt timestamp, code string, title string").json(src), cal), out)
+        return {(str(r["tday"]), r["n"]) for r in J.read_news_counts(spark, out).collect()} if glob.glob(f"{out}/batch=*/*.parquet") else set()
 
-def test_event_dedupe_keeps_state_between_batches(spark):
+    first = batch("a", [("1", "2024-01-05T09:00:00Z", "호조"), ("2", "2024-01-05T15:30:00Z", "호조"), ("3", "2024-01-05T09:01:00Z", "특징주"), ("4", "2024-01-05T10:00:00Z", " 호조 ")])
+    assert first == set()  # no window is closed yet
+    # id 1 comes again; title 호조 is new for the next trading day only; 5 is another title of the first day
+    second = batch("b", [("1", "2024-01-05T09:00:00Z", "호조"), ("5", "2024-01-05T11:00:00Z", "전망"), ("6", "2024-01-08T09:00:00Z", "호조"), ("7", "2024-01-12T09:00:00Z", "실적")])
+    assert second == {("2024-01-05", 2), ("2024-01-08", 1)}
+    # 8 lies behind the watermark of the second batch: dropped, the closed day stays as it was
+    third = batch("c", [("8", "2024-01-05T12:00:00Z", "늦음"), ("9", "2024-01-22T09:00:00Z", "끝")])
+    assert third == {("2024-01-05", 2), ("2024-01-08", 1), ("2024-01-12", 1)}
+
+
+def test_event_dedupe_three_batches_late_row_and_expiry(spark):
     src, out = work(), work() + "/ev"
     schema = "event string, code string, tpos int, rcept_dt date, rcept_no string"
+    days = business_days("2024-01-02", 120)
+    cal = calendar(spark, days)
 
-    def put(name, items):
+    def batch(name, items):
         with open(f"{src}/{name}.json", "w") as f:
-            for tpos, no in items:
-                f.write(json.dumps({"event": "E", "code": "A", "tpos": tpos, "rcept_dt": "2024-01-02", "rcept_no": no}) + "\n")
-
-    run = lambda: J.run_available(J.dedupe_event_stream(spark.readStream.schema(schema).json(src)), out)
-    put("a", [(1, "a"), (7, "b"), (1, "c")])
-    run()
-    put("b", [(20, "d"), (21, "e"), (45, "f")])
-    run()
-    assert {r["rcept_no"] for r in J.read_batches(spark, out).collect()} == {"a", "e", "f"}
-
-
-def test_upsert_stream_takes_restated_rows(spark):
+            for code, tpos, no in items:
+                f.write(json.dumps({"event": "E", "code": code, "tpos": tpos, "rcept_dt": str(days[tpos - 1]), "rcept_no": no}) + "\n")
+        J.run_available(J.dedupe_event_stream(spark.readStream.schema(schema).json(src), cal, delay="30 days"), out, J.event_writer(out))
+
+    batch("a", [("A", 1, "a"), ("A", 7, "b"), ("A", 1, "c"), ("B", 5, "x")])
+    batch("b", [("A", 20, "d"), ("A", 21, "e"), ("B", 12, "y"), ("A", 45, "f")])
+    batch("c", [("A", 30, "late"), ("A", 64, "g"), ("A", 65, "h"), ("B", 100, "z")])
+    assert {r["rcept_no"] for r in J.read_batches(spark, out).collect()} == {"a", "e", "f", "h", "x", "z"}
+    assert {r["rcept_no"] for r in J.read_batches(spark, out + "-late").collect()} == {"late"}
+    batch("d", [("C", 119, "w")])
+    state = spark.read.format("statestore").option("stateVarName", "last").load(out + "-checkpoint")
+    held = {r["key"]["code"]: r["value"]["last"] for r in state.collect()}
+    assert held == {"B": 100, "C": 119}  # A's quiet period lies behind the watermark
+
+
+def test_upsert_table_three_batches_crash_and_restart(spark, monkeypatch):
     src, out = work(), work() + "/up"
-    schema = "code string, date date, value double, seq int"
+    schema, keys, part = "code string, date date, value double, seq int", ["code", "date"], F.date_format("date", "yyyy-MM")
 
     def put(name, items):
         with open(f"{src}/{name}.json", "w") as f:
             for d, v, s in items:
                 f.write(json.dumps({"code": "A", "date": d, "value": v, "seq": s}) + "\n")
 
-    run = lambda: J.upsert_stream(spark.readStream.schema(schema).json(src), out, ["code", "date"], "seq")
-    put("a", [("2024-01-02", 1.0, 1), ("2024-01-03", 2.0, 1), ("2024-01-03", 2.2, 2)])
+    run = lambda: J.upsert_stream(spark.readStream.schema(schema).json(src), out, keys, "seq", part, every=2)
+    table = lambda: {str(r["date"]): r["value"] for r in ST.read(spark, out, keys, "seq").collect()}
+    put("a", [("2024-01-02", 1.0, 1), ("2024-01-03", 2.0, 1), ("2024-01-03", 2.2, 2), ("2024-02-01", 5.0, 1)])
     run()
+    assert ST.manifest(spark, out)["number"] == 0 and table() == {"2024-01-02": 1.0, "2024-01-03": 2.2, "2024-02-01": 5.0}
+
+    def crash(*a):
+        raise RuntimeError("lost before the manifest")
+
     put("b", [("2024-01-02", 9.0, 3)])
+    with monkeypatch.context() as m:
+        m.setattr(ST, "_publish", crash)
+        with pytest.raises(Exception, match="lost before"):
+            run()
+    # the parts are written, the manifest is not: readers see version 0 and both batches
+    want = {"2024-01-02": 9.0, "2024-01-03": 2.2, "2024-02-01": 5.0}
+    assert ST.manifest(spark, out)["number"] == 0 and table() == want
+    run()  # the restart replays the batch
+    now = ST.manifest(spark, out)
+    assert now["number"] == 1 and now["through"] == 1 and set(now["parts"]) == {"2024-01", "2024-02"} and table() == want
+    assert ST.open_batches(spark, out, now["through"]) == []
+    put("c", [("2024-02-01", 4.0, 0), ("2024-02-02", 7.0, 1)])  # an older restatement loses
     run()
-    assert [r["value"] for r in rows(J.read_latest(spark, out, ["code", "date"], "seq"), "date")] == [9.0, 2.2]
-    J.compact(spark, out, ["code", "date"], "seq", out + "-c")
-    assert spark.read.parquet(out + "-c").count() == 2
+    want["2024-02-02"] = 7.0
+    assert table() == want
+    assert ST.compact(spark, out, keys, "seq", part) == 2
+    later = ST.manifest(spark, out)
+    assert later["parts"]["2024-01"] == now["parts"]["2024-01"] and later["parts"]["2024-02"] != now["parts"]["2024-02"] and table() == want
+    ST.vacuum(spark, out)
+    assert table() == want
+    with pytest.raises(RuntimeError):  # another writer took the number
+        ST._publish(spark, out, 2, {})
+
+
+def test_move_alerts_use_yesterdays_threshold(spark):
+    rng = np.random.default_rng(3)
+    days = business_days("2024-01-02", 40)
+    ticks = [(i * 10 + j, "A", d, float(p)) for i, d in enumerate(days) for j, p in enumerate(100 * np.exp(rng.normal(0, 0.03, 3)))]
+    ticks += [(9000 + i, "B", d, 50.0) for i, d in enumerate(days[:4])]
+
+    def run(cuts, data):
+        src, out = work(), work() + "/al"
+        for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            with open(f"{src}/{n}.json", "w") as f:
+                for i, c, d, p in data:
+                    if a <= days.index(d) < b:
+                        f.write(json.dumps({"event_id": i, "code": c, "date": str(d), "price": p}) + "\n")
+            J.run_available(J.move_alerts(spark.readStream.schema("event_id long, code string, date date, price double").json(src), min_obs=5), out)
+        return {r["event_id"]: (r["side"], r["threshold"]) for r in J.read_batches(spark, out).collect()}
+
+    # the batch operator on the days' mean prices
+    close = pd.Series({d: np.mean([p for _, c, x, p in ticks if c == "A" and x == d]) for d in days})
+    bars = spark.createDataFrame([("A", i + 1, float(c)) for i, c in enumerate(close)], "code string, pos int, close double")
+    limit = {r["pos"]: r["threshold"] for r in P.move_threshold(bars, min_obs=5).collect()}
+    want = {}
+    for i, c, d, p in ticks:
+        at = days.index(d)
+        if c == "A" and at and limit[at + 1] is not None and abs(p / close.iloc[at - 1] - 1) > limit[at + 1]:
+            want[i] = ("surge" if p > close.iloc[at - 1] else "plunge", limit[at + 1])
+    got = run([0, 13, 27, 40], ticks)
+    assert got.keys() == want.keys() and len(want) > 5
+    assert all(got[i][0] == want[i][0] and near(got[i][1], want[i][1]) for i in want)
+    # another future changes nothing of the past
+    other = [(i, c, d, p * (3 if days.index(d) >= 30 else 1)) for i, c, d, p in ticks]
+    again = run([0, 13, 27, 40], other)
+    past = lambda x: {i: v for i, v in x.items() if i < 300}
+    assert past(again) == past(got) and again != got
