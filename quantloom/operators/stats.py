@@ -127,14 +127,37 @@ def _residual_general(d, names, group, min_names, out, keep):
     return d.withColumn(out, F.col(names[0]) - fit).select(*keep, out)
 
 
+PRIME = 2147483647  # modulus of the integer draws; products of two numbers below it fit a long
+
+
+def draw(seed: int, boot, block) -> Column:
+    """A number below PRIME from (seed, boot, block), by integer arithmetic alone: two linear steps around a square, all modulo PRIME."""
+    x = (F.lit(seed * 1000003 + 12345) + C.col(boot) * 7919 + C.col(block) * 104729).cast("long") % PRIME
+    x = x * 48271 % PRIME
+    return (x * x % PRIME * 69621 + C.col(boot)) % PRIME
+
+
 def block_bootstrap_means(df: DataFrame, keys, order: str, value: str, h: int, n_boot: int = 2000, seed: int = 0) -> DataFrame:
-    """Circular block bootstrap of the mean, block = h. Draws are hashed from (seed, boot, block), so reruns agree."""
-    a = series_arrays(df, keys, order, value).where(F.size("xs") > 0)
-    n, block = F.size("xs"), max(1, int(h))
-    a = a.select(*keys, "xs", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    start = lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("boot"), F.floor(i / block)), n.cast("long"))
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + F.element_at("xs", (F.pmod(start(i) + i % block, n.cast("long")) + 1).cast("int")))
-    return a.select(*keys, "boot", (total / n).alias("mean"))
+    """(keys, boot, mean): circular block bootstrap of the mean, block = h (the last block is cut to the series' length).
+
+    The series is read once, as prefix sums. A drawn block is the difference of two of them, so a resample costs two look-ups a block instead of a copy
+    of the series: signed look-ups (series, place) meet the prefix sums in one equi-join and are added up.
+    """
+    keys, size = list(keys), max(1, int(h))
+    run = Window.partitionBy(*keys).orderBy(order)
+    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(run)).withColumn("_p", F.sum(value).over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.select(*keys, F.col("_i").cast("long").alias("_i"), F.col("_p").cast("double").alias("_p"))
+    whole = d.groupBy(*keys).agg(F.max("_i").alias("_n"), F.max_by("_p", "_i").alias("_all"))
+    cuts = whole.select(*keys, "_n", "_all", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
+    cuts = cuts.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / size))).alias("_b"))
+    start = draw(seed, "boot", "_b") % F.col("_n")
+    cuts = cuts.withColumn("_s", start).withColumn("_e", F.col("_s") + F.least(F.lit(size), F.col("_n") - F.col("_b") * size))
+    past = F.col("_e") > F.col("_n")
+    ends = F.array(F.struct(F.col("_s").alias("_i"), F.lit(-1.0).alias("sign")), F.struct(F.when(past, F.col("_e") - F.col("_n")).otherwise(F.col("_e")).alias("_i"), F.lit(1.0).alias("sign")))
+    rounds = cuts.groupBy(*keys, "boot").agg(F.sum(F.when(past, F.col("_all")).otherwise(0.0)).alias("_round"), F.max("_n").alias("_n"))
+    looked = cuts.select(*keys, "boot", F.explode(ends).alias("_x")).groupBy(*keys, "boot", F.col("_x._i").alias("_i")).agg(F.sum("_x.sign").alias("_sign"))
+    sums = looked.join(d, [*keys, "_i"]).groupBy(*keys, "boot").agg(F.sum(F.col("_sign") * F.col("_p")).alias("_sum"))  # place 0 has no row: its sum is 0
+    return rounds.join(sums, [*keys, "boot"], "left").select(*keys, "boot", ((F.coalesce("_sum", F.lit(0.0)) + F.col("_round")) / F.col("_n")).alias("mean"))
 
 
 def perf_stats(rets: DataFrame, keys=("series",), order: str = "date", ret: str = "ret") -> DataFrame:

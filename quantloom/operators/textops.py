@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.functions import rules as R
 from quantloom.operators import ranks
@@ -35,29 +42,63 @@ def select_sources(cands: DataFrame, titles: DataFrame, n: int = 10, min_videos:
     return d.withColumn("status", F.when(beyond, "not_checked").otherwise(F.col("status")))
 
 
+NAMES_AT_ONCE = 200_000
+WORD_BEFORE = re.compile("[가-힣A-Za-z0-9]")
+
+
 def mention_counts(docs: DataFrame, names: DataFrame, top: int = 6, doc: str = "doc_id") -> DataFrame:
     """(doc, code, n): six-digit known codes plus names of 3+ letters that do not continue a word, top-k per document.
 
-    Text is cut at every word start; the first three letters of a start are the equi-join key to the dictionary, so no
-    document meets every name. Only starts with a matching key are compared in full.
+    Names are found by an automaton of whole names, which reads a text once, whatever its length and the number of names. A dictionary of more than
+    NAMES_AT_ONCE names is cut by a hash into parts of about that size, one pass over the texts each, so tasks and driver hold one part. Equal names of
+    several codes count for each. NULL texts have no mentions.
     """
-    dic = names.where("length(name) >= 3").select("code", "name", F.substring("name", 1, 3).alias("_k"))
-    longest = dic.agg(F.max(F.length("name"))).scalar()
-    pieces = starts(docs, doc, longest)
-    hits = pieces.withColumn("_k", F.substring("_t", 1, 3)).join(dic, "_k").where(F.col("_t").startswith(F.col("name"))).select(doc, "code")
+    dic = names.where("length(name) >= 3").groupBy("name").agg(F.collect_set("code").alias("codes"))
+    parts = dic.count() // NAMES_AT_ONCE + 1
+    part = F.pmod(F.xxhash64("name"), F.lit(parts))
+    kind = docs.select(doc).schema[0]
+    hits = [docs.select(doc, "text").mapInArrow(_finder([(r["name"], list(r["codes"])) for r in dic.where(part == i).collect()], doc), T.StructType([kind, T.StructField("code", T.StringType()), T.StructField("n", T.LongType())]))
+            for i in range(parts)]
     codes = docs.select(doc, F.explode(F.regexp_extract_all("text", F.lit(r"(?<!\d)(\d{6})(?!\d)"), 1)).alias("code")).join(names.select("code").distinct(), "code", "left_semi")
-    n = hits.unionByName(codes.select(doc, "code")).groupBy(doc, "code").agg(F.count("*").alias("n"))
+    n = reduce(DataFrame.unionByName, [*hits, codes.select(doc, "code", F.lit(1).cast("long").alias("n"))]).groupBy(doc, "code").agg(F.sum("n").alias("n"))
     return ranks.top_k(n, [doc], [F.col("n").desc(), F.col("code")], top).drop("rn")
 
 
-def starts(docs: DataFrame, doc: str, longest) -> DataFrame:
-    """(doc, _t): the text from each word start, as long as the longest name (linear in the text)."""
-    p = docs.select(doc, F.split("text", "(?<![가-힣A-Za-z0-9])").alias("_ps"), longest.alias("_len"))
-    at = F.transform(F.sequence(F.lit(1), F.size("_ps")), lambda i: F.array_join(F.slice("_ps", i, F.col("_len")), "").substr(F.lit(1), F.col("_len")))
-    return p.select(doc, F.explode(at).alias("_t"))
+def _finder(entries: list[tuple[str, list[str]]], doc: str):
+    """Arrow step: (doc, text) to (doc, code, n)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for name, codes in entries:
+            found.add_word(name, (len(name), codes))
+        if entries:
+            found.make_automaton()
+        for batch in batches:
+            at, code, n = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist() if entries else ()):
+                counts: Counter[str] = Counter()
+                for end, (length, codes) in found.iter(text or ""):
+                    begin = end + 1 - length
+                    if not begin or not WORD_BEFORE.match(text[begin - 1]):
+                        counts.update(codes)
+                at += [i] * len(counts)
+                code += counts.keys()
+                n += counts.values()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(code, pa.string()), pa.array(n, pa.int64())], [doc, "code", "n"])
+
+    return work
 
 
 def anonymous_labels(ids: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Labels A, B, C … in an order hashed from the seed. `ids` is the short list of picked sources."""
     w = Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return ids.select(key, F.chr(F.row_number().over(w) + 64).alias("label"))
+    return ids.select(key, _letters(F.row_number().over(w)).alias("label"))
+
+
+def _letters(n) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA, 702 -> ZZ, 703 -> AAA …, as columns of a sheet are named."""
+    digits = F.aggregate(F.array(*[F.lit(i) for i in range(6)]), F.struct(n.cast("long").alias("rest"), F.lit("").alias("text")), lambda a, _: F.when(
+        a["rest"] > 0, F.struct(F.floor((a["rest"] - 1) / 26).cast("long").alias("rest"), F.concat(F.chr((a["rest"] - 1) % 26 + 65), a["text"]).alias("text"))).otherwise(a))
+    return digits["text"]

@@ -104,11 +104,22 @@ def _(v):
     return out(g.groupBy("code").agg(F.avg("fwd").alias("m")).withColumn("ann", S.annualize_overlapping("m", 20)), "code", ann=6)
 
 
-@query("a06_block_bootstrap")
+BOOT_SQL = """, b0 AS (SELECT code, date, close/lag(close) OVER (PARTITION BY code ORDER BY date)-1 AS x FROM bars),
+b1 AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY date) AS i, sum(x) OVER (PARTITION BY code ORDER BY date) AS p FROM b0 WHERE x IS NOT NULL),
+b2 AS (SELECT code, i, p FROM b1 UNION ALL SELECT DISTINCT code, 0, 0.0 FROM b1), b3 AS (SELECT code, max(i) AS n, arg_max(p, i) AS total FROM b1 GROUP BY code),
+b4 AS (SELECT code, n, total, boot, unnest(range((n+19)//20)) AS b FROM b3, range(100) AS t(boot)),
+b5 AS (SELECT *, ((12345 + boot*7919 + b*104729) % 2147483647) * 48271 % 2147483647 AS z FROM b4),
+b6 AS (SELECT *, ((z*z % 2147483647) * 69621 + boot) % 2147483647 % n AS s, least(20, n - b*20) AS len FROM b5),
+b7 AS (SELECT b6.code, boot, sum(CASE WHEN s+len <= n THEN e.p - a.p ELSE total - a.p + e.p END) / any_value(n) AS mean FROM b6
+  JOIN b2 a ON a.code=b6.code AND a.i=s JOIN b2 e ON e.code=b6.code AND e.i = CASE WHEN s+len <= n THEN s+len ELSE s+len-n END GROUP BY ALL)
+"""
+
+
+@query("a06_block_bootstrap", BOOT_SQL + "SELECT code, round(avg(mean),6)+0.0 AS mean, round(stddev_samp(mean),6)+0.0 AS se FROM b7 GROUP BY code")
 def _(v):
     b = v.bars.withColumn("ret", C.change(F.col("close"), F.lag("close").over(Window.partitionBy("code").orderBy("date"))))
     m = S.block_bootstrap_means(b, ["code"], "date", "ret", 20, n_boot=100)
-    return m.groupBy("code").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se"))
+    return out(m.groupBy("code").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se")), "code", mean=6, se=6)
 
 
 RES_SQL = PF_SQL + ", fwd5 AS (SELECT pos, code, rev_1m, low_vol, tail FROM pf)"

@@ -1,6 +1,8 @@
 import glob
 import json
+import re
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -116,6 +118,28 @@ def test_text_columns(spark):
     assert (s["n"], s["kr"], s["fo"]) == (4, 0.5, 0.25)
 
 
+def test_mentions_in_a_long_text_by_parts_of_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(TX, "NAMES_AT_ONCE", 2)
+    words = ["한빛전자", "한빛", "ABC", "ABC Motor", "xABC", "noise", "000777", "é한빛전자"]
+    rng = np.random.default_rng(9)
+    text = " ".join(words[i] for i in rng.integers(0, len(words), 20_000))
+    names = [("000001", "한빛전자"), ("000002", "ABC"), ("000003", "ABC Motor"), ("000004", "한빛"), ("000005", "ABC"), ("000777", "noise"), ("000008", None)]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")
+    want = Counter()
+    for code, name in names:
+        if name and len(name) >= 3:
+            want[code] += sum(1 for m in re.finditer(f"(?<![가-힣A-Za-z0-9]){name}", text))
+        want[code] += len(re.findall(rf"(?<!\d){code}(?!\d)", text))
+    got = {r["code"]: r["n"] for r in TX.mention_counts(docs, spark.createDataFrame(names, "code string, name string"), 9).collect()}
+    assert got == {c: n for c, n in want.items() if n} and len(got) == 5
+    assert TX.mention_counts(docs, spark.createDataFrame([], "code string, name string")).count() == 0
+
+
+def test_labels_go_past_z(spark):
+    got = [r["label"] for r in TX.anonymous_labels(spark.range(710).select(F.col("id").cast("string").alias("c")), "c").collect()]
+    assert len(set(got)) == 710 and sorted(got, key=lambda x: (len(x), x))[24:28] == ["Y", "Z", "AA", "AB"] and {"ZZ", "AAA", "AAH"} <= set(got) and "AAI" not in got
+
+
 def news_file(path, name, items):
     with open(f"{path}/{name}.json", "w", encoding="utf-8") as f:
         for i, ts, title in items:

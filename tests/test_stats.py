@@ -116,6 +116,21 @@ def test_bootstrap_block_of_full_length_is_the_mean(spark):
     assert abs(np.mean(some) - xs.mean()) < 0.05 and 0.3 < np.std(some) / (xs.std() / math.sqrt(40)) < 2
 
 
+def test_bootstrap_equals_resampled_series(spark):
+    rng = np.random.default_rng(1)
+    data = {"a": rng.normal(size=37), "b": rng.normal(size=3), "c": np.array([2.0])}
+    rows_ = [(k, i, float(v)) for k, xs in data.items() for i, v in enumerate(xs)] + [("a", 99, None), ("d", 0, None)]
+    got = {(r["k"], r["boot"]): r["mean"] for r in S.block_bootstrap_means(spark.createDataFrame(rows_, "k string, i int, x double"), ["k"], "i", "x", 5, n_boot=30, seed=4).collect()}
+    assert len(got) == 90
+    for (k, boot), mean in got.items():
+        xs, sample = data[k], []
+        for b in range(-(-len(xs) // 5)):
+            x = (4 * 1000003 + 12345 + boot * 7919 + b * 104729) % S.PRIME * 48271 % S.PRIME
+            s = (x * x % S.PRIME * 69621 + boot) % S.PRIME % len(xs)
+            sample += [xs[(s + j) % len(xs)] for j in range(5)]
+        assert near(mean, float(np.mean(sample[: len(xs)])), 1e-9)
+
+
 def test_overfitting_statistics(spark):
     xs = np.random.default_rng(6).normal(0.05, 1, 500)
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(xs)], "series string, i int, ret double")
