@@ -1,4 +1,4 @@
-"""Rule lists as data: (label, condition) pairs compiled to one CASE expression. Korean terms are the domain's own."""
+"""Rule tables as data, compiled to one CASE expression each. Korean terms are the domain's own."""
 
 from __future__ import annotations
 
@@ -14,20 +14,36 @@ INSIDER_TITLE = "임원ㆍ주요주주특정증권등소유상황보고서"
 MARKET_AUTO = (r"[+\-−]?\d+(?:\.\d+)?\s?%|상한가|하한가|순매수\s?상위|순매도\s?상위|매수\s?상위|매도\s?상위|순매수,\s?도|순매수·순매도"
                r"|\[장중수급포착\]|<유>|특징주")
 KEY_CLASSES = ("주요사항", "자사주", "자금조달", "수주", "리스크", "M&A", "투자")
-EVENT_BUYBACK = ("주요사항보고서(자기주식취득결정)", "주요사항보고서(자기주식취득신탁계약체결결정)")
-EVENT_RIGHTS = ("주요사항보고서(유상증자결정)",)
-EVENT_SUPPLY = "단일판매ㆍ공급계약체결"
-EVENT_SUPPLY_NOT = ("자회사", "종속회사", "해지")
+# (priority, how the terms are met, terms, terms that must be absent, label)
+FILING_RULES = (
+    (1, "starts", ("[",), (), "정정공시"),
+    (2, "starts", ("주요사항보고서",), (), "주요사항"),
+    (3, "contains", ("자기주식",), (), "자사주"),
+    (4, "contains", ("유상증자", "사채", "증권발행결과", "권리락", "발행가액"), ("증권발행실적보고서",), "자금조달"),
+    (5, "contains", ("소송", "불성실공시", "거래정지", "회생", "횡령", "배임", "상장폐지", "관리종목", "감사의견"), (), "리스크"),
+    (6, "contains", ("임원ㆍ주요주주", "대량보유", "최대주주"), (), "지배구조"),
+    (7, "contains", ("단일판매ㆍ공급계약", "유동성공급계약"), (), "수주"),
+    (8, "contains", ("신규시설투자", "유형자산취득", "타법인주식및출자증권취득"), (), "투자"),
+    (9, "contains", ("합병", "분할", "영업양수", "영업양도", "주식교환"), (), "M&A"),
+    (10, "starts", ("사업보고서", "반기보고서", "분기보고서"), (), "정기보고"),
+    (11, "contains", ("감사보고서",), (), "감사"),
+)
+EVENT_RULES = (
+    (1, "starts", ("[",), (), None),
+    (2, "equals", ("주요사항보고서(자기주식취득결정)", "주요사항보고서(자기주식취득신탁계약체결결정)"), (), "E1_자사주취득"),
+    (3, "equals", ("주요사항보고서(유상증자결정)",), (), "E2_유상증자"),
+    (4, "starts", ("단일판매ㆍ공급계약체결",), ("자회사", "종속회사", "해지"), "E3_공급계약"),
+)
 ACCOUNT_ITEMS = {"매출액": "revenue", "영업이익": "op", "당기순이익(손실)": "ni", "당기순이익": "ni",
                  "자산총계": "assets", "부채총계": "liab", "자본총계": "equity"}
 REPORT_QUARTER = {"11013": 1, "11012": 2, "11014": 3, "11011": 4}
-FUND_PATTERNS = (
-    ("레버리지·인버스", r"레버리지|인버스|2X|곱버스|\(H\)?선물인버스"),
-    ("채권·금리", r"채권|국채|국고채|회사채|금리|머니마켓|MMF|CD|KOFR|단기채|통안채|은행채|크레딧|SOFR|단기자금"),
-    ("원자재", r"금현물|골드|금선물|^.*\s금\b|은선물|실버|원유|WTI|구리|농산물|원자재|천연가스"),
-    ("해외 주식", r"미국|S&P|나스닥|NASDAQ|다우|중국|차이나|홍콩|항셍|일본|니케이|인도|베트남|유로|유럽|글로벌|선진국|신흥국|"
-              r"대만|독일|MSCI|필라델피아|빅테크|테슬라|엔비디아|애플|마이크로소프트|구글|아마존|월드|해외|TOP10|라틴|브라질"),
-    ("국내 주식", r".*"),
+FUND_RULES = (
+    (1, "matches", (r"레버리지|인버스|2X|곱버스|\(H\)?선물인버스",), (), "레버리지·인버스"),
+    (2, "matches", (r"채권|국채|국고채|회사채|금리|머니마켓|MMF|CD|KOFR|단기채|통안채|은행채|크레딧|SOFR|단기자금",), (), "채권·금리"),
+    (3, "matches", (r"금현물|골드|금선물|^.*\s금\b|은선물|실버|원유|WTI|구리|농산물|원자재|천연가스",), (), "원자재"),
+    (4, "matches", (r"미국|S&P|나스닥|NASDAQ|다우|중국|차이나|홍콩|항셍|일본|니케이|인도|베트남|유로|유럽|글로벌|선진국|신흥국|"
+                    r"대만|독일|MSCI|필라델피아|빅테크|테슬라|엔비디아|애플|마이크로소프트|구글|아마존|월드|해외|TOP10|라틴|브라질",), (), "해외 주식"),
+    (5, "matches", (r".*",), (), "국내 주식"),
 )
 LEVERAGED = "레버리지·인버스"
 EXCLUDE_WORDS = ("증권", "자산운용", "투자증권", "거래소", "리딩", "유료방", "카톡방", "방송", "Biz", "경제TV", "한경", "매경", "머니투데이", "뉴스공장",
@@ -53,36 +69,47 @@ NOTE_SKIP_LINE = r"Research|Executive Summary|^주간 연결|^참고|^목차|^\d
 # ---- end of fixed values ----
 
 
-def filing_rules(title) -> list[tuple[str, Column]]:
-    """Ordered filing classes; the first true rule wins."""
-    t = F.trim(C.col(title))
-    return [
-        ("정정공시", t.startswith("[")),
-        ("주요사항", t.startswith("주요사항보고서")),
-        ("자사주", t.contains("자기주식")),
-        ("자금조달", ~t.contains("증권발행실적보고서") & C.contains_any(t, ("유상증자", "사채", "증권발행결과", "권리락", "발행가액"))),
-        ("리스크", C.contains_any(t, ("소송", "불성실공시", "거래정지", "회생", "횡령", "배임", "상장폐지", "관리종목", "감사의견"))),
-        ("지배구조", C.contains_any(t, ("임원ㆍ주요주주", "대량보유", "최대주주"))),
-        ("수주", C.contains_any(t, ("단일판매ㆍ공급계약", "유동성공급계약"))),
-        ("투자", C.contains_any(t, ("신규시설투자", "유형자산취득", "타법인주식및출자증권취득"))),
-        ("M&A", C.contains_any(t, ("합병", "분할", "영업양수", "영업양도", "주식교환"))),
-        ("정기보고", C.starts_any(t, ("사업보고서", "반기보고서", "분기보고서"))),
-        ("감사", t.contains("감사보고서")),
-    ]
+def _met(text: Column, how: str, terms) -> Column:
+    match how:
+        case "starts":
+            return C.starts_any(text, terms)
+        case "contains":
+            return C.contains_any(text, terms)
+        case "equals":
+            return text.isin(*terms)
+        case "matches":
+            return C.first_match([(True, text.rlike(f"(?iu){p}")) for p in terms], False)
+    raise ValueError(f"unknown kind of rule: {how}")
+
+
+def by_rules(text: Column, rules, default: str | None = None) -> Column:
+    """The label of the first rule, by priority, whose terms are met and whose other terms are absent: one CASE. NULL text: the default."""
+    chain = [(label, _met(text, how, terms) & ~_met(text, "contains", absent) if absent else _met(text, how, terms)) for _, how, terms, absent, label in sorted(rules, key=lambda r: r[0])]
+    return C.first_match(chain, default)
+
+
+def rules_sql(column: str, rules, default: str | None = None) -> str:
+    """The same CASE as SQL text, for checks outside Spark (not for patterns)."""
+    quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+    def met(how, terms):
+        if how == "equals":
+            return f"{column} IN ({', '.join(map(quoted, terms))})"
+        name = {"starts": "starts_with", "contains": "contains"}[how]
+        return "(" + " OR ".join(f"{name}({column}, {quoted(t)})" for t in terms) + ")"
+
+    lines = [f"WHEN {met(how, terms)}{' AND NOT ' + met('contains', absent) if absent else ''} THEN {quoted(label)}" for _, how, terms, absent, label in sorted(rules, key=lambda r: r[0])]
+    return f"CASE {' '.join(lines)} ELSE {quoted(default)} END"
 
 
-def classify_filing(title) -> Column:
-    return C.first_match(filing_rules(title), "기타")
+def classify_filing(title, rules=FILING_RULES) -> Column:
+    """Class of a filing title by the rule table; pass a longer table to add classes."""
+    return by_rules(F.trim(C.col(title)), rules, "기타")
 
 
-def event_type(title) -> Column:
+def event_type(title, rules=EVENT_RULES) -> Column:
     """Study event of a filing title, NULL for corrections and everything else."""
-    t = C.unspace(title)
-    return F.when(~t.startswith("["), C.first_match([
-        ("E1_자사주취득", t.isin(*EVENT_BUYBACK)),
-        ("E2_유상증자", t.isin(*EVENT_RIGHTS)),
-        ("E3_공급계약", t.startswith(EVENT_SUPPLY) & ~C.contains_any(t, EVENT_SUPPLY_NOT)),
-    ]))
+    return by_rules(C.unspace(title), rules)
 
 
 def is_routine(title) -> Column:
@@ -93,9 +120,8 @@ def is_market_auto(title) -> Column:
     return C.col(title).rlike(MARKET_AUTO)
 
 
-def fund_category(name, index_name) -> Column:
-    text = F.concat(F.coalesce(C.col(name), F.lit("")), F.lit(" "), F.coalesce(C.col(index_name), F.lit("")))
-    return C.first_match([(label, text.rlike(f"(?iu){pat}")) for label, pat in FUND_PATTERNS], "기타")
+def fund_category(name, index_name, rules=FUND_RULES) -> Column:
+    return by_rules(F.concat(F.coalesce(C.col(name), F.lit("")), F.lit(" "), F.coalesce(C.col(index_name), F.lit(""))), rules, "기타")
 
 
 def excluded_word(title, description=None) -> Column:

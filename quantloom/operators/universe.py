@@ -49,6 +49,11 @@ def buffered_universe(caps: DataFrame, top: int = 200, buffer: int = 220, keys=(
     return folded.select(*keys, F.col("_o.snap_date").alias("snap_date"), F.explode("_o.codes").alias("code"))
 
 
+def common_universe(caps: DataFrame, top: int = 200, buffer: int = 220, keys=()) -> DataFrame:
+    """`buffered_universe` of common shares only: other shares are dropped before the ranking, so they take no rank. caps: (…keys, snap_date, code, name, cap)."""
+    return buffered_universe(caps.where(is_common_stock("code", "name")), top, buffer, keys)
+
+
 def snapshot_of(days: DataFrame, membership: DataFrame) -> DataFrame:
     """(date, snap_date): the latest snapshot <= date for every calendar day; days before the first are dropped."""
     snaps = membership.select("snap_date").distinct()

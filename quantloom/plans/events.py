@@ -18,14 +18,9 @@ from quantloom.plans.registry import query
 from quantloom.plans.research import BENCH_SQL, bench_returns, nw_sql
 from quantloom.plans.views import r6
 
-CLASS_SQL = """CASE WHEN starts_with(t,'[') THEN '정정공시' WHEN starts_with(t,'주요사항보고서') THEN '주요사항' WHEN contains(t,'자기주식') THEN '자사주'
- WHEN NOT contains(t,'증권발행실적보고서') AND regexp_matches(t,'유상증자|사채|증권발행결과|권리락|발행가액') THEN '자금조달'
- WHEN regexp_matches(t,'소송|불성실공시|거래정지|회생|횡령|배임|상장폐지|관리종목|감사의견') THEN '리스크' WHEN regexp_matches(t,'임원ㆍ주요주주|대량보유|최대주주') THEN '지배구조'
- WHEN regexp_matches(t,'단일판매ㆍ공급계약|유동성공급계약') THEN '수주' WHEN regexp_matches(t,'신규시설투자|유형자산취득|타법인주식및출자증권취득') THEN '투자'
- WHEN regexp_matches(t,'합병|분할|영업양수|영업양도|주식교환') THEN 'M&A' WHEN regexp_matches(t,'^(사업보고서|반기보고서|분기보고서)') THEN '정기보고' WHEN contains(t,'감사보고서') THEN '감사' ELSE '기타' END"""
-EVENT_SQL = """CASE WHEN starts_with(u,'[') THEN NULL WHEN u IN ('주요사항보고서(자기주식취득결정)','주요사항보고서(자기주식취득신탁계약체결결정)') THEN 'E1_자사주취득'
- WHEN u='주요사항보고서(유상증자결정)' THEN 'E2_유상증자' WHEN starts_with(u,'단일판매ㆍ공급계약체결') AND NOT regexp_matches(u,'자회사|종속회사|해지') THEN 'E3_공급계약' END"""
-FX_SQL = f""", fx AS MATERIALIZED (SELECT *, {CLASS_SQL} AS cat, {EVENT_SQL} AS event, regexp_matches(title,'일괄신고|파생결합|투자설명서|증권신고서\\(채무증권|증권발행실적보고서|임원ㆍ주요주주특정증권등소유상황보고서') AS routine
+CLASS_SQL = R.rules_sql("t", R.FILING_RULES, "기타")
+EVENT_SQL = R.rules_sql("u", R.EVENT_RULES)
+FX_SQL = f""", fx AS MATERIALIZED (SELECT *, {CLASS_SQL} AS cat, {EVENT_SQL} AS event, regexp_matches(title,'{R.ROUTINE_TITLE}') AS routine
   FROM (SELECT *, trim(title) AS t, regexp_replace(title,'\\s+','','g') AS u FROM filings))"""
 
 

@@ -176,10 +176,10 @@ def _(v):
     return v.listing.select("code", "name", U.is_common_stock("code", "name").alias("common"))
 
 
-def universe_sql(top: str, buffer: str) -> str:
+def universe_sql(top: str, buffer: str, shares: str = "true") -> str:
     return f""", ms AS (SELECT snap_date, (SELECT max(date) FROM cal WHERE date < snap_date) AS date FROM
   (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS snap_date FROM (SELECT min(date) a, max(date) b FROM cal) t, generate_series(t.a, t.b, interval 1 day) s(d) WHERE day(d)=1)),
-mr AS (SELECT ms.snap_date, b.code, row_number() OVER (PARTITION BY ms.snap_date ORDER BY b.cap DESC, b.code) AS rk FROM bars b JOIN ms USING (date) WHERE b.cap > 0),
+mr AS (SELECT ms.snap_date, b.code, row_number() OVER (PARTITION BY ms.snap_date ORDER BY b.cap DESC, b.code) AS rk FROM bars b JOIN ms USING (date) WHERE b.cap > 0 AND {shares}),
 ml AS MATERIALIZED (SELECT snap_date, list(code ORDER BY rk) AS codes, row_number() OVER (ORDER BY snap_date) AS i FROM mr WHERE rk <= {buffer} GROUP BY snap_date),
 fold(i, chosen) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL
   SELECT ml.i, list_slice(list_concat(list_filter(codes, lambda c: list_contains(chosen, c))[1:{top}], list_filter(codes, lambda c: NOT list_contains(chosen, c))), 1, {top})
@@ -197,6 +197,12 @@ def membership(v, top=40, buffer=50):
     return U.buffered_universe(U.caps_before(v.bars.select("date", "code", "cap"), snaps, v.cal), top, buffer)
 
 
+@query("q01_common_universe", universe_sql("4", "5", "right(b.code,1)='0' AND length(b.code)=6") + "SELECT snap_date, code FROM members")
+def _(v):
+    snaps = K.month_starts(v.cal.agg(F.min("date").alias("start"), F.max("date").alias("end"))).withColumnRenamed("date", "snap_date")
+    return U.common_universe(U.caps_before(v.bars.select("date", "code", "name", "cap"), snaps, v.cal), 4, 5)
+
+
 @query("q01_buffered_universe", UNI_SQL + "SELECT snap_date, code FROM members")
 def _(v):
     return membership(v)

@@ -191,3 +191,17 @@ def test_fund_flow_and_board_rows(spark):
     b = spark.createDataFrame([("A", D("2024-01-02"), 0.0, 9.0, 9.0, 10.0, None)], "code string, date date, open double, high double, low double, close double, volume double")
     r = rows(BD.ohlcv_rows(b), "date")[0]
     assert (r["open"], r["high"], r["low"], r["volume"]) == (10.0, 10.0, 10.0, 0.0)
+
+
+def test_rule_tables_take_rules_of_the_user(spark):
+    titles = ["[기재정정]주요사항보고서", "감자결정", "감사보고서제출", "유상증자 증권발행실적보고서", "유상증자결정", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string")
+    got = lambda rules: [r["c"] for r in df.select("i", R.classify_filing("t", rules).alias("c")).orderBy("i").collect()]
+    assert got(R.FILING_RULES) == ["정정공시", "기타", "감사", "기타", "자금조달", "기타"]
+    assert got((*R.FILING_RULES, (0.5, "contains", ("감자",), ("철회",), "감자"))) == ["정정공시", "감자", "감사", "기타", "자금조달", "기타"]
+    assert got(((2, "matches", ("^감.+결정$",), (), "b"), (1, "equals", ("감자결정",), (), "a"))) == ["기타", "a", "기타", "기타", "기타", "기타"]
+    import duckdb
+
+    sql = R.rules_sql("t", R.FILING_RULES, "기타")
+    for t in titles[:-1]:
+        assert duckdb.execute(f"SELECT {sql} FROM (SELECT ? AS t)", [t]).fetchone()[0] == got(R.FILING_RULES)[titles.index(t)]

@@ -38,9 +38,18 @@ def test_caps_strictly_before_the_month(spark):
     assert rows(U.caps_before(caps, snaps, calendar(spark, days)), "code")[0]["cap"] == 1.0
 
 
-def test_common_stock(spark):
-    df = spark.createDataFrame([("005930", "전자"), ("005935", "전자우"), ("00593Z", "x"), ("088980", "맥쿼리인프라"), ("330590", "롯데리츠")], "code string, name string")
-    assert [r["code"] for r in df.where(U.is_common_stock("code", "name")).collect()] == ["005930"]
+def test_common_stock_by_code_and_every_name_pattern(spark):
+    bad_names = [f"가나 {part} 1호" for part in ("리츠", "REIT", "인프라", "스팩", "기업인수목적", "투자회사", "선박투자", "유전")]
+    rows_ = [(f"{i:05d}0", name) for i, name in enumerate(bad_names)] + [("123450", "가나다산업"), ("123455", "가나다산업우"), ("12345", "짧음"), ("1234560", "긺"), ("222220", None), (None, "x")]
+    df = spark.createDataFrame(rows_, "code string, name string")
+    assert sorted(r["code"] for r in df.where(U.is_common_stock("code", "name")).collect()) == ["123450", "222220"]
+
+
+def test_only_common_shares_are_ranked(spark):
+    caps = spark.createDataFrame([(D("2024-01-01"), c, n, v) for c, n, v in (("000015", "우선", 9.0), ("000020", "스팩 2호", 8.0), ("000030", "가", 7.0), ("000040", "나", 6.0), ("000050", "다", 5.0))],
+                                 "snap_date date, code string, name string, cap double")
+    assert sorted(r["code"] for r in U.common_universe(caps, 2, 2).collect()) == ["000030", "000040"]
+    assert sorted(r["code"] for r in U.buffered_universe(caps, 2, 2).collect()) == ["000015", "000020"]
 
 
 def test_labels_ignore_non_members(spark):
