@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm import store
+from quantloom.llm.bpe import Encoder, groups
 
 TOKENIZER = "word_bpe_49k.json"
 SHARD = 20_000
@@ -66,24 +66,22 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 
 def tokenized(docs: DataFrame, window: int, tokenizer: str, end_id: int, with_ids: bool) -> DataFrame:
-    """Pieces: every document's ids and the end id, cut into full windows from its start, and the rest."""
+    """Pieces: every document's ids (the tokenizers library's, see `bpe`) and the end id, cut into full windows from its start, and the rest."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        encoder = Encoder(public_tokenizers.path(tokenizer))
         for batch in batches:
             keys = batch.column(0)
-            for lo in range(0, batch.num_rows, 64):
-                texts = batch.column(1).slice(lo, 64).to_pylist()
+            for lo, texts in groups(batch.column(1)):
+                flat, bounds = encoder.encode(texts)
                 rows = []
-                for i, made in enumerate(model.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*made.ids, end_id], dtype="<u4")
-                    for a in range(0, len(ids), window):
-                        part = ids[a:a + window]
-                        rows.append((keys[lo + i].as_py(), a, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32) if with_ids else None))
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist())):
+                    ids = np.append(flat[a:b], end_id).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        part = ids[start:start + window]
+                        rows.append((keys[lo + i].as_py(), start, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32) if with_ids else None))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
@@ -99,6 +97,8 @@ def pack(docs: DataFrame, window: int = 4096, tokenizer: str = TOKENIZER, end_id
     sequences open, which is little padding against its thousands of pieces. Sequence ids number (shard, sequence); offsets have no gaps. Ties are packed in
     order of id, start and checksum, so reruns agree.
 
+    `tokenizer` is a file that `bpe.Encoder` takes; it gives the ids of the tokenizers library.
+
     Null or empty text: the end id alone. Null id: packed like others. Repeated rows are packed each. An empty table gives an empty table. Extra columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
