@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,5 +169,8 @@ def lexicon_score(title) -> Column:
         start = F.struct(text.alias("txt"), F.lit(0).alias("pos"), F.lit(0).alias("neg"))
         return F.aggregate(F.filter(listed, lambda e: F.contains(text, e["t"])), start, use, finish)
 
-    # a one-element transform binds the normalised title once; inlined, it would be rebuilt for every term
-    return F.element_at(F.transform(F.array(C.squeeze(title)), score), 1)
+    # words without a letter of any term cannot be part of a hit: runs of them shrink to one mark before the terms are sought
+    letters = "가-힣" + "".join(sorted({re.escape(c) for t, _ in lexicon() for c in t if not "가" <= c <= "힣" and c != " "}))
+    text = F.regexp_replace(F.regexp_replace(C.squeeze(title), f"[^{letters} ]+", "\x01"), "\x01[\x01 ]*\x01", "\x01")
+    # a one-element transform binds the shrunk title once; inlined, it would be rebuilt for every term
+    return F.element_at(F.transform(F.array(text), score), 1)
