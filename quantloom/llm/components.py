@@ -34,4 +34,5 @@ def components(links: DataFrame) -> DataFrame:
         now = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == seen or not now["n"]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen, current = now, store.stored(_small(_large(current)), "links")
+        seen, last, current = now, current, store.stored(_small(_large(current)), "links")
+        store.drop(last)

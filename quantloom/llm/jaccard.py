@@ -119,6 +119,18 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInPandas(probe, "a long, b long")
 
 
+def _probed(pairs: DataFrame, docs: DataFrame, summary: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, stored. Whole sets are made again from the texts, for the nodes of these pairs only, and go when their links stand."""
+    pairs = store.stored(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ids = summary.join(wanted, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    asked = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    sets = store.stored(_sets(asked, k).dropDuplicates(["node"]), "shingles")
+    links = store.stored(_linked(pairs, sets, percent), "links")
+    store.drop(pairs, sets)
+    return links
+
+
 def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id. Two documents link when 100 * intersection >= percent * union of their k-word shingle sets.
 
@@ -126,8 +138,9 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     left for probing; the n - T + 1 rarest are the short lists. Short lists are merged by Spark's sort (the shuffle on the shingle takes the heap's place),
     the long ones are probed by binary search. Rarity comes from a count sketch of fixed size over all documents; any order gives the same links.
 
-    Equal sets are one node. A first round tries each node against the least node of each of its lists; the second counts, for all pairs of a list that the first
-    did not connect, the lists they share, and tries those that share enough. So a list of many near copies costs one try a member, and no link between different components is lost.
+    Equal sets are one node. A first round tries each node against the least node of each of its lists; the second takes all pairs of a list that the first did
+    not connect. Both count the short lists that a pair shares and probe only those that share enough, so whole sets are made for the nodes of these pairs alone.
+    A list of many near copies costs one try a member, and no link between different components is lost.
 
     Null or empty text, or text without words: 0 shingles, its own component. Null id: component of the others, null when alone. Repeated rows are equal
     sets. A repeated id with different texts: a node per text. An empty table gives an empty table. Extra columns are ignored.
@@ -140,21 +153,25 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
     summary = store.stored(_summaries(docs, k, percent, keep), "sets")
     nodes = summary.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.min("doc_id").alias("least_id"))
+    nodes = store.stored(nodes, "nodes")
     posted = nodes.select(F.explode("short").alias("shingle"), "node", "n")
     leaders = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("lead")).filter("many > 1")
     lists = store.stored(posted.join(leaders.select("shingle", "lead"), "shingle"), "lists")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    pairs = lists.filter(fits(F.col("n"), F.col("lead.n")) & (F.col("node") != F.col("lead.node"))).select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+    # a partner of the needed overlap stands in at least overlap + 1 - T of the merged lists, T being that of the larger set
+    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} + 1 - ({percent} * greatest(na, nb) + 99) div 100")
 
-    texts = summary.join(lists.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    asked = docs.join(texts.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(texts["doc_id"]), "left_semi")
-    sets = store.stored(_sets(asked, k).dropDuplicates(["node"]), "shingles")
+    led = lists.filter(fits(F.col("n"), F.col("lead.n")) & (F.col("node") != F.col("lead.node")))
+    led = led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.first("n").alias("na"), F.first("lead.n").alias("nb"))
+    a, b = nodes.select(F.col("node").alias("a"), F.col("short").alias("x")), nodes.select(F.col("node").alias("b"), F.col("short").alias("y"))
+    met = F.size(F.array_intersect("x", "y"))
+    first = _probed(led.join(a, "a").join(b, "b").filter(met >= least).select("a", "b"), docs, summary, k, percent)
 
-    first = store.stored(_linked(pairs, sets, percent), "pairs")
     roots = components(first)
     placed = lists.join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
     open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
     placed = store.stored(placed.join(open_lists, "shingle"), "open")
+    store.drop(lists, roots)
     heads = placed.groupBy("shingle", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     x, y = heads.alias("x"), heads.alias("y")
     near = (F.col("x.root") < F.col("y.root")) & (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
@@ -162,15 +179,15 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id
     a = placed.select("shingle", F.col("root").alias("r"), F.col("node").alias("a"), F.col("n").alias("na"))
     b = placed.select("shingle", F.col("root").alias("s"), F.col("node").alias("b"), F.col("n").alias("nb"))
     rest = facing.join(a, ["shingle", "r"]).join(b, ["shingle", "s"]).filter(fits(F.col("na"), F.col("nb")))
-    # a partner of the needed overlap stands in at least overlap + 1 - T of the merged lists, T being that of the larger set
-    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} + 1 - ({percent} * greatest(na, nb) + 99) div 100")
     rest = rest.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= least).select("a", "b")
-    second = store.stored(_linked(rest, sets, percent), "pairs")
+    second = _probed(rest, docs, summary, k, percent)
+    store.drop(placed)
 
     roots = components(first.union(second))
     named = nodes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id", F.col("root").alias("node_group"))
+    smallest = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = store.stored(named.join(smallest, "root").select("node", "component_id", F.col("root").alias("node_group")), "named")
+    store.drop(first, second, roots, nodes)
     return summary.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "node_group", *keep)
 
 

@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quantloom.session import checkpoint_dir
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local master without that setting gets a folder of its own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+_scopes: list[list[str]] = []
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it: computed once, cuts the lineage, outlives executors."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
+    for made in _scopes[-1:]:
+        made.append(path)
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # the shuffles of the job go once its table stands, else they stay on disk as long as the driver likes
     try:
@@ -41,12 +36,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Folders of the tables stored inside, oldest first; those still in the list at the end are removed, so a caller takes out what has to stay."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.remove(made)
+        for path in made:
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    """Deletes a folder through Spark's own file systems, whatever their scheme. What can't be removed stays and is told."""
+    spark = SparkSession.getActiveSession()
+    try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception as failed:  # noqa: BLE001
+        warnings.warn(f"{path} was not removed: {failed}", stacklevel=2)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes stored tables that no later step reads."""
     for table in tables:
         for path in {x.rpartition("/")[0] for x in table.inputFiles()}:
-            files, local = fs.FileSystem.from_uri(path)
-            files.delete_dir(local)
+            _remove(path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
