@@ -13,41 +13,53 @@ from quantloom.llm.quality import assess
 from quantloom.llm.repeats import cut_repeats
 
 
-ROW = "__row"
+def free(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of docs is called so (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """The rows with a key of their own, stored: ids may be null or repeated, so stages pick rows by this key."""
-    return store.stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with a key of their own, stored, and its name: ids may be null or repeated, so stages pick rows by this key."""
+    row = free(docs, "row_key")
+    return store.stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep. Each row is judged by its own text, whatever its id."""
-    rows = keyed(docs)
-    return rows.join(assess(rows, keep=(ROW,)).filter("kept").select(ROW), ROW, "left_semi").select(*docs.columns)
+    row = free(docs, "whole_row")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias(row))
+    return assess(rows, keep=(row,)).filter("kept").select(f"{row}.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five words, similarity 0.8): the least by (id, text), null ids last. Rows without words are in no group and stay."""
-    rows = keyed(docs)
-    grouped = store.stored(linked(rows, k=5, percent=80, keep=(ROW,)).select(ROW, "node_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("at")), "grouped")
+    rows, row = keyed(docs)
+    links = linked(rows, k=5, percent=80, keep=(row,))
+    grouped = store.stored(links.select(row, "node_group", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("at")), "grouped")
+    store.drop(links)
     least = store.stored(grouped.filter("node_group is not null").groupBy("node_group").agg(F.min("at").alias("least")), "least")
-    first = store.stored(grouped.join(least, "node_group").filter(F.col("at").eqNullSafe(F.col("least"))).select(ROW, "node_group"), "first")
+    first = store.stored(grouped.join(least, "node_group").filter(F.col("at").eqNullSafe(F.col("least"))).select(row, "node_group"), "first")
     tied = store.stored(first.groupBy("node_group").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("node_group"), "tied")
-    texts = first.join(tied, "node_group").join(rows.select(ROW, "text"), ROW)
-    chosen = texts.groupBy("node_group").agg(F.min(F.struct("text", ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    keep = first.join(tied, "node_group", "left_anti").select(ROW).union(chosen).union(grouped.filter("node_group is null").select(ROW))
-    return rows.join(keep, ROW, "left_semi").select(*docs.columns)
+    texts = first.join(tied, "node_group").join(rows.select(row, "text"), row)
+    chosen = texts.groupBy("node_group").agg(F.min(F.struct("text", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
+    keep = first.join(tied, "node_group", "left_anti").select(row).union(chosen).union(grouped.filter("node_group is null").select(row))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without passages of 20 words or more that stand earlier; texts that lose nothing stay as they are, texts that lose all go.
 
-    Rows with null id come first (as -1); for rows that share an id see `cut_repeats`."""
-    rows = keyed(docs)
-    cut = cut_repeats(rows, row_col=ROW).filter("n_removed > 0").select(ROW, F.col("kept").alias("__kept"))
-    out = rows.join(cut, ROW, "left").filter("__kept is null or __kept != ''").withColumn("text", F.coalesce("__kept", "text"))
-    return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    n_chars, where the table has it, is counted again. Rows with null id come first (as -1); for rows that share an id see `cut_repeats`."""
+    rows, row = keyed(docs)
+    rest = free(docs, "text_left")
+    cut = cut_repeats(rows, row_col=row).filter("n_removed > 0").select(row, F.col("kept").alias(rest))
+    out = rows.join(cut, row, "left").filter(F.col(rest).isNull() | (F.col(rest) != "")).withColumn("text", F.coalesce(rest, "text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return out.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +79,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. What a stage stored, and the table it read, go once its own output stands."""
     docs = store.read(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = store.stored(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES):
+        with store.scope() as tables:
+            out = store.stored(stage(spark, docs, sf_dir), name)
+            tables.pop()
+        if at:
+            store.drop(docs)
+        docs = out
     return docs
