@@ -15,6 +15,9 @@ from quantloom.llm.jaccard import _LOWER
 WORDS, CHARS, DIM, HIDDEN = 4096, 8192, 16, 12
 WINDOW, STRIDE = 64, 48
 SAMPLE = 1500  # labelled documents per class that the network is fitted on, at most
+PASSAGES = 64  # passages of WINDOW words, evenly spaced, that a longer document of that sample is fitted on
+LONGEST = 1 << 16  # bytes of passages beyond which a document is not fitted on
+CHUNK = 1 << 19  # bytes of text whose words are found at a time while fitting
 EPOCHS, BATCH, RATE = 4, 256, 4e-3
 
 
@@ -141,13 +144,17 @@ def window_logits(net: Network, data: np.ndarray, offsets: np.ndarray) -> tuple[
     """(document, logit) of every window of a chunk."""
     which, first, word, owner, slot = inputs(data, offsets)
     doc, start, size = windows(first)
-    out = np.zeros(len(doc), np.float32)
+    return doc, logits_of(net, which, word, owner, slot, start, size)
+
+
+def logits_of(net: Network, which, word, owner, slot, start, size) -> np.ndarray:
+    out = np.zeros(len(start), np.float32)
     x, _ = net.vectors(word, owner, slot)
     order = np.argsort(size, kind="stable")
     for lo in range(0, len(order), 1024):
         rows = order[lo:lo + 1024]
         out[rows] = net.forward(x, *grid(which, start[rows], size[rows]))[0]
-    return doc, out
+    return out
 
 
 def highest(doc: np.ndarray, logits: np.ndarray, docs: int, empty: float) -> np.ndarray:
@@ -156,6 +163,17 @@ def highest(doc: np.ndarray, logits: np.ndarray, docs: int, empty: float) -> np.
     return np.where(np.isneginf(out), empty, out)
 
 
+def encoded(texts: list[str]):
+    """What `inputs` gives for all texts, found CHUNK bytes at a time; a word of several chunks has an entry for each, which changes no sum over slots."""
+    parts, words, seen = [], 0, 0
+    for _, _, data, offsets in arrays.chunks(pa.array(texts, pa.large_string()), CHUNK):
+        which, first, word, owner, slot = inputs(data, offsets)
+        parts.append(((which + words).astype(np.int32), first[:-1] + seen, word.astype(np.int32), (owner + words).astype(np.int32), slot.astype(np.int32)))
+        words, seen = words + len(word), seen + len(which)
+    which, first, word, owner, slot = (np.concatenate(x) for x in zip(*parts))
+    return which, np.append(first, seen), word, owner, slot
+
+
 def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 5) -> tuple[Network, float, float]:
     """Network, slope and shift. The first epoch gives every window its document's label; later ones give a toxic document's to its more suspect windows only.
 
@@ -164,15 +182,13 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 5) -> tup
     net = Network(seed)
     if not len(texts) or toxic.min() == toxic.max():
         return net, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    raw = [t.encode() for t in texts]
-    data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-    which, first, word, owner, slot = inputs(data, offsets)
+    which, first, word, owner, slot = encoded(texts)
     doc, start, size = windows(first)
     begin = np.searchsorted(owner, np.arange(len(word) + 1))
     y, r, use = toxic[doc].astype(np.float32), np.random.default_rng(seed), np.arange(len(doc))
     for epoch in range(EPOCHS):
         if epoch:
-            logits = window_logits(net, data, offsets)[1]
+            logits = logits_of(net, which, word, owner, slot, start, size)
             top = highest(doc, logits, len(texts), -9.0)
             use = np.flatnonzero((y == 0) | (logits >= top[doc] - 1.0))
         balance = np.where(y == 1, (y[use] == 0).sum() / max(1, (y[use] == 1).sum()), 1.0).clip(0.2, 5)
@@ -182,7 +198,7 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 5) -> tup
             seen, local = np.unique(index, return_inverse=True)
             many = begin[seen + 1] - begin[seen]
             net.learn(word[seen], np.repeat(np.arange(len(seen)), many), slot[arrays.ragged(begin[seen], many)], local.reshape(index.shape), mask, y[rows], balance[rows])
-    top = highest(doc, window_logits(net, data, offsets)[1], len(texts), float(net.p["bias"][0]))
+    top = highest(doc, logits_of(net, which, word, owner, slot, start, size), len(texts), float(net.p["bias"][0]))
     weight = np.where(toxic == 1, share / max(1, (toxic == 1).sum()), (1 - share) / max(1, (toxic == 0).sum())) * len(texts)
     a, c = 1.0, 0.0
     for _ in range(50):
@@ -195,7 +211,11 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, seed: int = 5) -> tup
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Network, float, float]:
-    """Fits on at most `sample` documents a class, those of least hash among all labelled rows of `labels` (doc_id, toxic)."""
+    """Fits on at most `sample` documents a class, those of least hash among all labelled rows of `labels` (doc_id, toxic).
+
+    Of a drawn document with more than PASSAGES * WINDOW words the fit takes that many evenly spaced passages, and none if they exceed LONGEST bytes: the
+    driver holds at most 2 * sample * LONGEST bytes of text, whatever the tables hold. Scoring takes every window of every text.
+    """
     marked = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {x["toxic"]: x["n"] for x in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = None
@@ -203,7 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Net
         some = marked.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         drawn = some if drawn is None else drawn.union(some)
     drawn = store.stored(drawn, "drawn")
-    rows = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id")).toPandas()
+    words = F.split(F.trim(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+", " ")), " ")
+    places = F.sequence(F.lit(0), F.lit(PASSAGES - 1))
+    spread = F.flatten(F.transform(places, lambda k: F.slice(F.col("words"), (k * (F.size("words") - WINDOW) / (PASSAGES - 1)).cast("int") + 1, F.lit(WINDOW))))
+    few = docs.join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    few = few.withColumn("words", words).withColumn("text", F.when(F.size("words") > PASSAGES * WINDOW, F.concat_ws(" ", spread)).otherwise(F.col("text")))
+    few = store.stored(few.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text", "toxic"), "fitted")
+    rows = few.orderBy(F.xxhash64("doc_id")).toPandas()
+    store.drop(drawn, few)
     return fit([t or "" for t in rows["text"]], rows["toxic"].to_numpy(dtype=np.int64), counts.get(1, 0) / max(1, sum(counts.values())))
 
 

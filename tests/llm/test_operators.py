@@ -316,6 +316,38 @@ def test_toxicity_held_out(spark):
     assert np.mean([(r["score"] >= 0.5) == bool(r["toxic"]) for r in got]) > 0.85
 
 
+def test_fit_in_chunks(monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 97}" for j in range(30 + i)) + (" vile" if i % 2 else "") for i in range(40)] + ["", "x" * 5000]
+    toxic = np.array([i % 2 for i in range(42)])
+    whole = toxicity.fit(texts, toxic, 0.5)
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    pieces = toxicity.fit(texts, toxic, 0.5)
+    assert abs(whole[1] - pieces[1]) < 0.05 and abs(whole[2] - pieces[2]) < 0.05
+
+
+def test_fit_takes_passages_of_long_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, share: seen.update(zip(texts, toxic)))
+    long, heavy = " ".join(f"n{i}" for i in range(9000)), "y" * (toxicity.LONGEST + 1)
+    docs = spark.createDataFrame([(1, long), (2, "short text"), (3, heavy), (4, None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    cut = next(t for t in seen if t.startswith("n0 ")).split(" ")
+    assert set(seen) == {"short text", "", " ".join(cut)} and len(cut) == toxicity.PASSAGES * toxicity.WINDOW and cut[-1] == "n8999"
+
+
+def test_toxicity_on_rows_not_fitted(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic").where("toxic is not null")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    held = "crc32(cast(cast(doc_id as string) as binary)) % 5 = 0"
+    got = toxicity.score(docs, toxicity.train(docs, labels.where(f"not ({held})"))).join(labels, "doc_id").where(held).toPandas()
+    bad, rank = got["toxic"].to_numpy() == 1, got["score"].rank().to_numpy()
+    area = (rank[bad].sum() - bad.sum() * (bad.sum() + 1) / 2) / (bad.sum() * (~bad).sum())
+    hits = (got["score"].to_numpy() >= 0.5) & bad
+    right = np.mean((got["score"].to_numpy() >= 0.5) == bad)
+    assert area > 0.93 and hits.sum() / bad.sum() > 0.7 and right > 0.02 + max(np.mean(bad), np.mean(~bad))
+
+
 def test_url_rules(spark):
     data = [(1, "http://A.Example.net/en/x?q"), (2, "http://b.net/de/"), (3, "http://example.com/de/1"), (4, "https://x.org/fr/#a"), (5, None), (6, "no scheme"), (7, "http://notexample.com")]
     got = {r["page_id"]: r for r in url_rules.filter_urls(spark.createDataFrame(data, "page_id long, url string").withColumn("tokens", url_rules.F.lit(1))).collect()}
