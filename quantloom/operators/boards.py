@@ -357,3 +357,43 @@ def missing_companies(wanted: DataFrame, stored: DataFrame) -> DataFrame:
 def collection_targets(snapshot: DataFrame, corps: DataFrame) -> DataFrame:
     """Latest common shares of all markets that have a corporation id."""
     return snapshot.where(U.is_common_stock("code", "name")).join(corps.select("code", "corp_code"), "code").select("corp_code", "code").distinct()
+
+
+def studies_ledger(studies: DataFrame, measures: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """One row per registered study, also of those without results: hypothesis, best item by its main metric, pass when any item passed, hold-out used.
+
+    studies: (study, hypothesis, main, holdout), the last two naming metrics of `measures`; the hold-out counts as used once its metric has a value.
+    """
+    d = measures.join(studies, "study")
+    main = F.when((F.col("metric") == F.col("main")) & F.col("value").isNotNull(), F.struct("value", "item"))
+    g = d.groupBy("study").agg(F.max(main).alias("_b"), F.bool_or((F.col("metric") == F.col("holdout")) & F.col("value").isNotNull()).alias("_h"))
+    p = verdicts.groupBy("study").agg(F.bool_or("passed").alias("_p"))
+    text = F.when(F.col("_b").isNull(), "no result").otherwise(F.format_string("best %s %s %.2f", F.col("_b.item"), F.col("main"), F.col("_b.value")))
+    return (studies.join(g, "study", "left").join(p, "study", "left")
+            .select("study", "hypothesis", text.alias("metric"), F.when(F.coalesce("_p", F.lit(False)), "pass").otherwise("fail").alias("status"), F.coalesce("_h", F.lit(False)).alias("holdout_used")))
+
+
+PROGRAM_WINDOWS = (1, 5, 20, 60)
+
+
+def _program_days(x: DataFrame, parts) -> DataFrame:
+    return from_end(x.groupBy("market", "date").agg(*[F.sum(c).alias(c) for c in parts]), ("market",))
+
+
+def program_sums(x: DataFrame, parts=("arb_net", "nonarb_net", "net")) -> DataFrame:
+    """Per market: newest day and the sums of each part over its last 1, 5, 20 and 60 days with rows."""
+    return _program_days(x, parts).groupBy("market").agg(F.max("date").alias("date"), *[sum_last(c, n).alias(f"{c}_{n}") for c in parts for n in PROGRAM_WINDOWS])
+
+
+def program_cumulative(x: DataFrame, parts=("arb_net", "nonarb_net"), days: int = 250) -> DataFrame:
+    """Per market and day of its last `days` days: running sum of each part since the first of them."""
+    run = Window.partitionBy("market").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return _program_days(x, parts).where(F.col("back") < days).select("market", "date", *[F.sum(c).over(run).alias(f"cum_{c}") for c in parts])
+
+
+def program_members(x: DataFrame, closes: DataFrame, members: DataFrame, listing: DataFrame) -> DataFrame:
+    """`program_board` of current members with name, sector and the return over 20 closes (more than 21 closes needed)."""
+    c = from_end(closes.where("close is not null")).groupBy("code").agg(F.count("*").alias("_m"), nth("close", 0).alias("_c0"), nth("close", 20).alias("_c20"))
+    r = c.where("_m > 21").select("code", C.change(F.col("_c0"), F.col("_c20")).alias("r20"))
+    b = program_board(x).join(members.select("code").distinct(), "code", "left_semi")
+    return b.join(listing.select("code", "name", "sector"), "code", "left").join(r, "code", "left")

@@ -86,6 +86,25 @@ def high_loan_rate(credit: DataFrame, limit: float = 20.0) -> DataFrame:
     return last.where(F.col("loan_rate") > limit)
 
 
+SEVERITIES = ("critical", "serious", "warning", "info", "ok")
+
+
+def all_checks(checks) -> DataFrame:
+    """(check, severity, n) of (name, offending rows, severity) triples: severity is a word, or an aggregate over the rows; without rows it is ok."""
+    found = None
+    for name, rows, severity in checks:
+        sev = F.lit(severity) if isinstance(severity, str) else severity
+        one = rows.agg(F.count(F.lit(1)).alias("n"), (F.max(sev) if isinstance(severity, str) else sev).alias("_s"))
+        one = one.select(F.lit(name).alias("check"), F.when(F.col("n") > 0, F.col("_s")).otherwise("ok").alias("severity"), "n")
+        found = one if found is None else found.unionAll(one)
+    return found
+
+
+def severity_table(issues: DataFrame) -> DataFrame:
+    """One row with the number of checks of each severity, zero included."""
+    return issues.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES])
+
+
 def severity_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n"))
 

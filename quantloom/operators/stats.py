@@ -246,3 +246,48 @@ def best_test(tests: DataFrame, keys=("study",), t: str = "nw_t") -> DataFrame:
     """The test with the largest |t| of each study; ties by feature and horizon."""
     pick = F.max_by(F.struct("feature", "h", t), F.struct(F.abs(F.coalesce(t, F.lit(0.0))), F.col("feature"), F.col("h")))
     return tests.groupBy(*keys).agg(pick.alias("_b")).select(*keys, "_b.feature", "_b.h", f"_b.{t}")
+
+
+def portfolio_measures(df: DataFrame, study: str, key: str = "series", order: str = "date", ret: str = "ret", base: str = "base") -> DataFrame:
+    """(study, item, metric, value, base): CAGR, drawdown and total of a strategy beside its benchmark's, and the t of the excess. Rows without either return drop out."""
+    both = df.where(F.col(ret).isNotNull() & F.col(base).isNotNull())
+    two = both.select(key, order, F.inline(F.array(F.struct(F.lit(True).alias("_own"), F.col(ret).alias("_r")), F.struct(F.lit(False).alias("_own"), F.col(base).alias("_r")))))
+    own = lambda c: F.max(F.when(F.col("_own"), F.col(c)))
+    ref = lambda c: F.max(F.when(~F.col("_own"), F.col(c)))
+    names = ("cagr", "mdd", "total")
+    g = perf_stats(two, (key, "_own"), order, "_r").groupBy(key).agg(*[f(c).alias(f"{p}_{c}") for c in names for f, p in ((own, "own"), (ref, "ref"))])
+    g = g.join(excess_test(both, (key,), order, ret, base).select(key, "excess_t"), key, "left")
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(f"own_{c}").alias("value"), F.col(f"ref_{c}").alias("base")) for c in names]
+    rows.append(F.struct(F.lit("excess_t").alias("metric"), F.col("excess_t").alias("value"), F.lit(None).cast("double").alias("base")))
+    return g.select(F.lit(study).alias("study"), F.col(key).alias("item"), F.inline(F.array(*rows)))
+
+
+def long_measures(df: DataFrame, study: str, item, **metrics) -> DataFrame:
+    """(study, item, metric, value, base) from one column per metric, without a benchmark."""
+    rows = F.array(*[F.struct(F.lit(k).alias("metric"), C.col(c).cast("double").alias("value"), F.lit(None).cast("double").alias("base")) for k, c in metrics.items()])
+    return df.select(F.lit(study).alias("study"), C.col(item).alias("item"), F.inline(rows))
+
+
+def criteria_table(spark, rows) -> DataFrame:
+    """Criteria as rows (study, metric, test, share, offset): the value must be at least ('ge') or at most ('le') share * base + offset."""
+    return spark.createDataFrame(list(rows), "study string, metric string, test string, share double, offset double")
+
+
+def judged(measures: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Each measure beside every criterion on it. A share of 0 needs no base; a missing value or base fails."""
+    d = measures.join(criteria, ["study", "metric"])
+    d = d.withColumn("bar", F.when(F.col("share") == 0, F.col("offset")).otherwise(F.col("share") * F.col("base") + F.col("offset")))
+    met = F.when(F.col("test") == "ge", F.col("value") >= F.col("bar")).when(F.col("test") == "le", F.col("value") <= F.col("bar"))
+    return d.withColumn("met", F.coalesce(met, F.lit(False)))
+
+
+def criteria_verdict(measures: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(study, item, n_met, n_criteria, passed): passed when each criterion of the study is met; one that the item has no measure for is not.
+
+    Repeated measures of an item must all meet the criterion. Studies without criteria have no rows.
+    """
+    rule = F.struct("metric", "test", "share", "offset")
+    each = judged(measures, criteria).groupBy("study", "item", rule.alias("_rule")).agg(F.bool_and("met").alias("_met"))
+    met = each.groupBy("study", "item").agg(F.count_if("_met").alias("n_met"))
+    need = criteria.distinct().groupBy("study").agg(F.count("*").alias("n_criteria"))
+    return met.join(need, "study").withColumn("passed", F.col("n_met") == F.col("n_criteria"))

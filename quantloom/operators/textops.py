@@ -35,6 +35,11 @@ def select_sources(cands: DataFrame, titles: DataFrame, n: int = 10, min_videos:
     d = cands.join(topic_shares(titles, key, min_share), key, "left").na.fill({"n": 0, "kr": 0.0, "fo": 0.0})
     status = (F.when(F.col("n") < min_videos, "too_few").when(F.col("n") > max_videos, "too_many").when(~F.coalesce("topic_ok", F.lit(False)), "off_topic").otherwise("picked"))
     d = d.withColumn("status", status)
+    return _walked(d, n, key)
+
+
+def _walked(d: DataFrame, n: int, key: str) -> DataFrame:
+    """Rows behind the n-th picked one, by subscribers and key, are not checked."""
     passing = d.where("status = 'picked'").orderBy(F.col("subscribers").desc(), F.col(key)).limit(n)
     last = passing.agg(F.count("*").alias("k"), F.min("subscribers").alias("s"), F.max_by(key, F.struct(-F.col("subscribers"), F.col(key))).alias("c"))
     k, s, c = (last.select(x).scalar() for x in ("k", "s", "c"))
@@ -42,6 +47,28 @@ def select_sources(cands: DataFrame, titles: DataFrame, n: int = 10, min_videos:
     return d.withColumn("status", F.when(beyond, "not_checked").otherwise(F.col("status")))
 
 
+def select_channels(cands: DataFrame, videos: DataFrame, start, end, manual: DataFrame | None = None, n: int = 10, min_videos: int = MIN_VIDEOS, max_videos: int = MAX_VIDEOS,
+                    min_share: float = MIN_DOMESTIC, min_seconds: int = 180, key: str = "channel") -> DataFrame:
+    """(key, subscribers, listed, n, kr, fo, status, reason) of the candidates: walked by subscribers until n are picked, the rest `not_checked`.
+
+    cands: (key, name, subscribers); those with an excluded word in the name or NULL subscribers leave. videos: (key, title, published, seconds): more than
+    max_videos published in [start, end] is `too_many`; of them those longer than min_seconds count (NULL seconds: not), fewer than min_videos is `too_few`,
+    their titles decide `off_topic`. manual: (key, reason), checked and never picked. Repeated candidates count once, the one with most subscribers.
+    """
+    c = cands.where(R.excluded_word("name").isNull() & F.col("subscribers").isNotNull()).groupBy(key).agg(F.max("subscribers").alias("subscribers"))
+    inside = videos.where(F.col("published").between(start, end))
+    shares = topic_shares(inside.where(F.coalesce(F.col("seconds"), F.lit(0)) > min_seconds), key, min_share)
+    counts = inside.groupBy(key).agg(F.count("*").alias("listed"), F.count_if(F.coalesce(F.col("seconds"), F.lit(0)) > min_seconds).alias("_long"))
+    d = c.join(counts, key, "left").join(shares.drop("n"), key, "left").na.fill({"listed": 0, "_long": 0, "kr": 0.0, "fo": 0.0}).withColumnRenamed("_long", "n")
+    if manual is not None:
+        d = d.join(manual.groupBy(key).agg(F.min("reason").alias("reason"), F.lit(True).alias("_out")), key, "left")
+    else:
+        d = d.withColumn("reason", F.lit(None).cast("string")).withColumn("_out", F.lit(None).cast("boolean"))
+    status = (F.when(F.col("_out"), "manual_exclude").when(F.col("listed") > max_videos, "too_many").when(F.col("n") < min_videos, "too_few")
+              .when(~F.coalesce("topic_ok", F.lit(False)), "off_topic").otherwise("picked"))
+    return _walked(d.withColumn("status", status), n, key).select(key, "subscribers", "listed", "n", "kr", "fo", "status", "reason")
+
+
 NAMES_AT_ONCE = 200_000
 WORD_BEFORE = re.compile("[가-힣A-Za-z0-9]")
 

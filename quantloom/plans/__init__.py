@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("market", "research", "events", "boards", "ingest")
+MODULES = ("market", "research", "events", "boards", "studies", "ingest")
 
 
 def _load():

@@ -8,6 +8,7 @@ from quantloom.plans import views as V
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+BODIES: dict[str, Callable] = {}  # fn(views), for queries that are made of others
 
 
 def query(name: str, sql: str | None = None):
@@ -16,9 +17,16 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
+        BODIES[name] = fn
         QUERIES[name] = lambda spark, sf_dir: fn(V.Views(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = V.SQL_BASE + sql
         return fn
 
     return wrap
+
+
+def nested(name: str, cte: str) -> str:
+    """The SQL of a registered query as one CTE of another one."""
+    own = ORACLES[name].removeprefix(V.SQL_BASE)
+    return f", {cte} AS (" + (f"WITH RECURSIVE {own[2:]}" if own.startswith(", ") else own) + ")"
