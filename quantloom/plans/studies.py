@@ -139,20 +139,20 @@ def _(v):
 
 
 # ---- all checks ----
-SERIOUS_INSIDE = F.when(F.coalesce(F.bool_or("inside"), F.lit(False)), "serious").otherwise("warning")
-CHECKS = [
-    ("holiday_conflicts", "d04_holiday_conflicts", "critical"), ("price_jumps", "d01_price_jumps", SERIOUS_INSIDE), ("flow_exceeds_value", "d03_flow_exceeds_value", "serious"),
+CHECKS = [  # (name, query of the offending rows, severity; None: serious if a row is inside the universe, else warning)
+    ("holiday_conflicts", "d04_holiday_conflicts", "critical"), ("price_jumps", "d01_price_jumps", None), ("flow_exceeds_value", "d03_flow_exceeds_value", "serious"),
     ("invalid_cap_days", "d07_invalid_cap_days", "serious"), ("missing_days", "d05_missing_days", "serious"), ("stale_prices", "d06_stale_keys", "warning"),
     ("adjustments", "d02_adjustments", "info"), ("suspect_financials", "d08_suspect_financials", "info"), ("series_gap", "d09_series_gap", "warning"),
     ("high_loan_rate", "d08_high_loan_rate", "warning"), ("delisted", "a36_delisted_guess", "info"),
 ]
 ALL_SQL = "".join(nested(q, f"ck{i}") for i, (_, q, _s) in enumerate(CHECKS)) + ", ck AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS \"check\", CASE WHEN count(*)=0 THEN 'ok' ELSE " + (f"'{s}'" if isinstance(s, str) else "CASE WHEN bool_or(inside) THEN 'serious' ELSE 'warning' END") + f" END AS severity, count(*) AS n FROM ck{i}"
+    f"SELECT '{n}' AS \"check\", CASE WHEN count(*)=0 THEN 'ok' ELSE " + (f"'{s}'" if s else "CASE WHEN bool_or(inside) THEN 'serious' ELSE 'warning' END") + f" END AS severity, count(*) AS n FROM ck{i}"
     for i, (n, _, s) in enumerate(CHECKS)) + ")"
 
 
 def all_checks(v):
-    return Q.all_checks((n, BODIES[q](v), s) for n, q, s in CHECKS)
+    inside = F.when(F.coalesce(F.bool_or("inside"), F.lit(False)), "serious").otherwise("warning")
+    return Q.all_checks((n, BODIES[q](v), s or inside) for n, q, s in CHECKS)
 
 
 @query("a39_all_checks", ALL_SQL + 'SELECT "check", severity, n FROM ck')
