@@ -265,3 +265,16 @@ def test_move_alerts_use_yesterdays_threshold(spark):
     again = run([0, 13, 27, 40], other)
     past = lambda x: {i: v for i, v in x.items() if i < 300}
     assert past(again) == past(got) and again != got
+
+
+def test_move_alerts_after_a_close_of_zero(spark):
+    days = business_days("2024-01-02", 9)
+    price = [10.0, 10.1, 10.0, 10.1, 0.0, 5.0, 5.1, 5.0, 9.0]
+    ticks = [(i, "A", d, p) for i, (d, p) in enumerate(zip(days, price))] + [(90, "A", days[5], 0.0), (91, "A", days[6], None)]
+    src, out = work(), work() + "/al"
+    with open(f"{src}/0.json", "w") as f:
+        f.writelines(json.dumps({"event_id": i, "code": c, "date": str(d), "price": p}) + "\n" for i, c, d, p in ticks)
+    J.run_available(J.move_alerts(spark.readStream.schema("event_id long, code string, date date, price double").json(src), min_obs=2), out)
+    got = {r["event_id"]: (r["side"], r["threshold"]) for r in J.read_batches(spark, out).collect()}
+    assert {4, 5, 6, 8, 90} == got.keys()  # the mean of day 5 is 2.5, so 5.1 is a surge
+    assert [got[i][0] for i in (4, 5, 6, 8, 90)] == ["plunge", "surge", "surge", "surge", "surge"] and got[6][1] == got[8][1] == 0.15
