@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,7 +120,9 @@ def is_routine(title) -> Column:
 
 
 def is_market_auto(title) -> Column:
-    return C.col(title).rlike(MARKET_AUTO)
+    # every alternative of the pattern holds one of these; most long texts hold none, and need no pattern
+    some = reduce(lambda a, b: a | b, [C.col(title).contains(x) for x in ("%", "한가", "매수", "매도", "장중수급포착", "<유>", "특징주")])
+    return some & C.col(title).rlike(MARKET_AUTO)
 
 
 def fund_category(name, index_name, rules=FUND_RULES) -> Column:

@@ -280,13 +280,17 @@ def latest_n(df: DataFrame, keys, order, n: int, fields, out: str = "rows") -> D
     return d.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("_rn", F.struct(*fields).alias("r")))), lambda s: s["r"]).alias(out))
 
 
-def headline_rows(articles: DataFrame) -> DataFrame:
-    """Adds the auto flag and tone (-1, 0, 1; 0 for automatic headlines)."""
+def headline_rows(articles: DataFrame, titles: DataFrame | None = None, keys=()) -> DataFrame:
+    """Adds the auto flag and tone (-1, 0, 1; 0 for automatic headlines). Articles hold their title, or the `keys` of a row of `titles`, which is judged once."""
     from quantloom.functions import rules as R
-
-    d = articles.withColumn("auto", R.is_market_auto("title")).withColumn("_s", R.lexicon_score("title"))
-    tone = F.when(F.col("auto"), 0).otherwise(F.signum(F.col("_s.pos") - F.col("_s.neg"))).cast("int")
-    return d.withColumn("tone", tone).drop("_s")
+    from quantloom.operators import news as N
+
+    if titles is None:
+        d = articles.withColumn("auto", R.is_market_auto("title")).withColumn("s", R.lexicon_score("title"))
+    else:
+        d = articles.join(N.judged_titles(titles, keys).drop("t"), list(keys))
+    tone = F.when(F.col("auto"), 0).otherwise(F.signum(F.col("s.pos") - F.col("s.neg"))).cast("int")
+    return d.withColumn("tone", tone).drop("s")
 
 
 def filing_board(filings: DataFrame, n: int = 15) -> DataFrame:

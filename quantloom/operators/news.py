@@ -20,15 +20,30 @@ def assign_trade_date(articles: DataFrame, cal: DataFrame, dt: str = "dt", out:
     return K.next_trading_day(d, "_d", cal, strict=False, out=out).drop("_d")
 
 
-def daily_news_table(articles: DataFrame, cal: DataFrame, exclude_auto: bool = True) -> DataFrame:
+def judged_titles(titles: DataFrame, keys) -> DataFrame:
+    """(…keys, t, auto, s): each title judged once, for articles that carry only its keys. titles: (…keys, title), unique by keys.
+
+    `t` is the SHA-256 of the normalised title and stands for it when repeats are counted, so no text travels with the articles.
+    """
+    d = titles.where("title is not null").withColumn("_t", C.squeeze("title"))
+    return d.select(*keys, F.sha2("_t", 256).alias("t"), R.is_market_auto("title").alias("auto"), R.lexicon_score("_t").alias("s"))
+
+
+def daily_news_table(articles: DataFrame, cal: DataFrame, exclude_auto: bool = True, titles: DataFrame | None = None, keys=()) -> DataFrame:
     """(code, tday, n, n_sent, score_sum): repeats of a normalised title per code and day count once.
 
-    The score depends on the normalised title only, so it is computed after the dedupe, once per distinct title.
+    Articles hold their title, or the `keys` of a row of `titles`: (…keys, title). The score depends on the normalised title only, so it is computed
+    once per row of `titles`, or else after the dedupe.
     """
-    a = articles if not exclude_auto else articles.where(~R.is_market_auto("title"))
-    a = assign_trade_date(a, cal).where("tday is not null")
-    a = a.select("code", "tday", C.squeeze("title").alias("t")).distinct()
-    a = a.withColumn("s", R.lexicon_score("t"))
+    if titles is None:
+        a = articles if not exclude_auto else articles.where(~R.is_market_auto("title"))
+        a = assign_trade_date(a, cal).where("tday is not null")
+        a = a.select("code", "tday", C.squeeze("title").alias("t")).distinct()
+        a = a.withColumn("s", R.lexicon_score("t"))
+    else:
+        judged = judged_titles(titles, keys)
+        a = articles.join(judged if not exclude_auto else judged.where("not auto"), list(keys))
+        a = assign_trade_date(a, cal).where("tday is not null").dropDuplicates(["code", "tday", "t"])  # the score is the title's: any of the repeats will do
     has = (F.col("s.pos") + F.col("s.neg") > 0).cast("long")
     return a.groupBy("code", "tday").agg(F.count("*").alias("n"), F.sum(has).alias("n_sent"), F.sum("s.score").alias("score_sum"))
 

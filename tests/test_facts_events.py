@@ -156,6 +156,19 @@ def test_news_repeats_count_once_and_the_future_is_out(spark):
     assert f(mk([])).exceptAll(f(mk([(days[8], "급락"), (days[9], "상승")]))).count() == 0
 
 
+def test_titles_are_judged_once_whatever_the_number_of_articles(spark):
+    day = business_days("2024-01-01", 3)
+    texts = ["실적  호조", "실적 호조", "급등 +3.2%", "적자", None]
+    titles = spark.createDataFrame(list(enumerate(texts)), "k long, title string")
+    arts = spark.createDataFrame([(i, "AB"[i % 2], dt.datetime.combine(day[i % 3], dt.time(9 + i % 8)), i % 6) for i in range(120)], "id long, code string, dt timestamp_ntz, k long")
+    full, cal = arts.join(titles, "k").drop("k"), calendar(spark, day)
+    judged = N.judged_titles(titles, ["k"])
+    assert judged.count() == 4 and judged.select("t").distinct().count() == 3
+    assert rows(N.daily_news_table(arts, cal, titles=titles, keys=["k"]), "code", "tday") == rows(N.daily_news_table(full, cal), "code", "tday")
+    tones = lambda d: rows(d.where("k < 4").select("id", "auto", "tone"), "id")
+    assert tones(BD.headline_rows(arts, titles, ["k"])) == tones(BD.headline_rows(arts.join(titles, "k")))
+
+
 def test_quality_checks(spark):
     days = business_days("2024-01-01", 6)
     cal = calendar(spark, days)
