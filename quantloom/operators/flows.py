@@ -21,7 +21,7 @@ def flow_grid(bars: DataFrame, flows: DataFrame, cal: DataFrame, investors=INVES
 def flow_features(grid: DataFrame, investors=INVESTORS, lag: int = 1, window: int = 20) -> DataFrame:
     """norm_<who> = flow_{t-lag} / median(value_{t-window..t-1}); flow_<who> = its window sum. Both use only days before t."""
     w = C.by_code()
-    g = grid.withColumn("_med", C.rolled(C.median, "value", window, w, max(5, window // 2), shift=1))
+    g = C.rolled_median(grid, "value", window, w, "_med", max(5, window // 2), shift=1)
     g = g.withColumn("_med", C.positive("_med"))
     for who in investors:
         g = g.withColumn(f"norm_{who}", C.at(who, -lag, w) / F.col("_med"))

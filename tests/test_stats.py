@@ -67,6 +67,21 @@ def test_rank_buckets_stay_small(spark):
     assert [r[0] for r in got] == list(range(13333)) + [13333]
 
 
+def test_rank_histogram_is_made_once(spark):
+    df = spark.range(500).selectExpr("id % 3 as g", "cast(id % 40 as double) as v")
+    plan = ranks.rank_table(df, ["g"], ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Relation" in plan  # both branches read the stored counts
+
+
+def test_short_median_equals_the_percentile(spark):
+    rng = np.random.default_rng(5)
+    data = [("AB"[i % 2], i, None if rng.random() < 0.3 else float(x)) for i, x in enumerate(np.round(rng.normal(size=200), 1))]
+    w = C.by_code()
+    d = C.rolled_median(spark.createDataFrame(data, "code string, pos int, v double"), "v", 6, w, "m", 3, shift=1)
+    got = d.withColumn("p", C.rolled(C.median, "v", 6, w, 3, shift=1)).collect()
+    assert len(got) == 200 and all(r["m"] == r["p"] for r in got) and sum(r["m"] is None for r in got) > 2
+
+
 def test_ordinal_breaks_ties_by_the_whole_string(spark):
     rng = np.random.default_rng(7)
     data = [(int(i % 2), f"{'same-start-' if i % 5 else 'é'}{i * 37 % 1000:06d}", float(v)) for i, v in enumerate(np.round(rng.normal(size=300), 1))]
