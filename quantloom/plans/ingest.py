@@ -10,6 +10,7 @@ from quantloom.operators import events as EV
 from quantloom.plans.events import DEDUP_SQL, NEWS_SQL
 from quantloom.plans.market import out
 from quantloom.plans.registry import query
+from quantloom.session import kept
 from quantloom.sources import landing as L
 from quantloom.streaming import jobs as J
 from quantloom.streaming import store as ST
@@ -82,7 +83,7 @@ def vendor(v, **cols):
 def _(v):
     p = F.col("pos")
     r = vendor(v, orgn_ntby_tr_pbmn=(p - 100).cast("string"), etc_corp_ntby_tr_pbmn=(p % 7).cast("string"), prsn_ntby_tr_pbmn=F.when(p % 5 == 0, "-").otherwise(p.cast("string")), frgn_ntby_tr_pbmn=whole(-p * 100000))
-    r = r.withColumnRenamed("day", "stck_bsop_date").withColumnRenamed("px", "stck_clpr")
+    r = kept(r.withColumnRenamed("day", "stck_bsop_date").withColumnRenamed("px", "stck_clpr"), "vendor")
     dup = r.withColumn("orgn_ntby_tr_pbmn", F.lit("7")).withColumn("seq", F.lit(2))
     return L.ingest_flows(r.withColumn("seq", F.lit(1)).unionByName(dup))
 
@@ -120,10 +121,10 @@ def _(v):
 
 def foreign_rows(v):
     p = F.col("pos")
-    mk = lambda f, e: L.ingest_foreign(vendor(v, hts_frgn_ehrt=e).withColumnRenamed("day", "stck_bsop_date").withColumnRenamed("px", "stck_clpr"), f)
-    d = mk("D", F.when(p % 2 == 0, F.col("ratio").cast("string")).otherwise("")).withColumn("seq", F.lit(1))
-    w = mk("W", (F.col("ratio") + 1).cast("string")).withColumn("seq", F.lit(1))
-    m = mk("M", (F.col("ratio") + 2).cast("string")).withColumn("seq", F.lit(2))
+    r = vendor(v, D=F.when(p % 2 == 0, F.col("ratio").cast("string")).otherwise(""), W=(F.col("ratio") + 1).cast("string"), M=(F.col("ratio") + 2).cast("string"))
+    r = kept(r.withColumnRenamed("day", "stck_bsop_date").withColumnRenamed("px", "stck_clpr"), "vendor")  # the bars are made once, not in each of three branches
+    mk = lambda f, seq: L.ingest_foreign(r.withColumnRenamed(f, "hts_frgn_ehrt"), f).withColumn("seq", F.lit(seq))
+    d, w, m = mk("D", 1), mk("W", 1), mk("M", 2)
     return L.merge_by_priority(d.unionByName(w).unionByName(m))
 
 

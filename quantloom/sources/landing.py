@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,10 +133,20 @@ def ingest_foreign(raw: DataFrame, freq: str) -> DataFrame:
 
 
 def merge_by_priority(df: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row per (code, date): daily over weekly over monthly, then the newer input."""
-    rank = C.first_match([(str(v), F.col("freq") == k) for k, v in FREQ_ORDER.items()], "9").cast("int")
-    best = F.min_by(F.struct("ehrt", "freq"), F.struct(rank, -F.col(seq))).alias("_b")
-    return df.groupBy("code", "date").agg(best).select("code", "date", "_b.*")
+    """One row per (code, date): daily over weekly over monthly over any other, then the newer input.
+
+    The listed frequencies are gathered as numbers, by hash; a struct as the best of a group would have all rows sorted first.
+    """
+    order = sorted(FREQ_ORDER, key=FREQ_ORDER.get)
+    listed = F.coalesce(F.col("freq").isin(order), F.lit(False))
+    is_ = {k: F.col("freq") == k for k in order}
+    found = df.where(listed).groupBy("code", "date").agg(*[F.max(is_[k]).alias(f"_h{k}") for k in order],
+                                                         *[F.max_by("ehrt", F.when(is_[k], F.coalesce(F.col(seq).cast("long"), F.lit(-2 ** 63)))).alias(f"_e{k}") for k in order])
+    found = found.select("code", "date", C.first_match([(k, F.col(f"_h{k}")) for k in order]).alias("freq"), *[f"_e{k}" for k in order])
+    ehrt = reduce(lambda c, k: c.when(F.col("freq") == k, F.col(f"_e{k}")), order[1:], F.when(F.col("freq") == order[0], F.col(f"_e{order[0]}")))
+    found = found.select("code", "date", ehrt.alias("ehrt"), "freq")
+    rest = df.where(~listed).groupBy("code", "date").agg(F.min_by(F.struct("ehrt", "freq"), -F.col(seq)).alias("_b")).select("code", "date", "_b.*")
+    return found.unionByName(rest.join(found.select("code", "date"), ["code", "date"], "left_anti"))
 
 
 def foreign_limit(held, listed, ehrt) -> Column:

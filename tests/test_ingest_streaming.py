@@ -65,6 +65,15 @@ def test_foreign_priority_and_limits(spark):
     assert [r["x"] for r in v.collect()] == [50.0, 100.0, None, None]
 
 
+def test_priority_takes_any_frequency_without_sorting_the_rows(spark):
+    day = [D(f"2024-01-0{i}") for i in range(1, 5)]
+    data = [("A", day[0], 1.0, "X", 9), ("A", day[0], 2.0, "W", 1), ("A", day[1], 3.0, "X", 1), ("A", day[1], 4.0, "Y", 2), ("A", day[2], None, "D", 2), ("A", day[2], 5.0, "D", 1), ("A", day[2], 6.0, "M", 7)]
+    df = spark.createDataFrame(data, "code string, date date, ehrt double, freq string, seq int")
+    assert [(r["ehrt"], r["freq"]) for r in rows(L.merge_by_priority(df), "date")] == [(2.0, "W"), (4.0, "Y"), (None, "D")]
+    listed = L.merge_by_priority(df.withColumn("freq", F.lit("W")))
+    assert "SortAggregate" not in listed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_financial_items(spark):
     cols = "bsns_year string, reprt_code string, corp_code string, stock_code string, rcept_no string, fs_div string, sj_div string, account_nm string, thstrm_amount string, thstrm_add_amount string, seq int"
     base = ("2025", "11012", "C", "5930", "20250814000001", "CFS")
