@@ -16,7 +16,7 @@ from quantloom.sources import landing as L
 from quantloom.sources import sinks
 from quantloom.streaming import jobs as J
 from quantloom.streaming import store as ST
-from tests.conftest import D, business_days, calendar, near, rows
+from tests.conftest import SF, D, business_days, calendar, near, rows
 
 
 def work():
@@ -74,6 +74,13 @@ def test_priority_takes_any_frequency_without_sorting_the_rows(spark):
     assert "SortAggregate" not in listed._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vendor_rows_are_landed_once(spark):
+    import __spark_entry__ as E
+
+    plan = E.queries()["s09_ingest_flows"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "l_suppkey" not in plan  # both branches read stored rows
+
+
 def test_financial_items(spark):
     cols = "bsns_year string, reprt_code string, corp_code string, stock_code string, rcept_no string, fs_div string, sj_div string, account_nm string, thstrm_amount string, thstrm_add_amount string, seq int"
     base = ("2025", "11012", "C", "5930", "20250814000001", "CFS")
