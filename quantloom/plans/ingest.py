@@ -301,10 +301,10 @@ def _(v):
 
 @query("r02_event_dedupe_stream", DEDUP_SQL + "SELECT event, code, rcept_no, rcept_dt FROM evk")
 def _(v):
-    e = EV.extract_events(v.filings, None).select("event", "code", "rcept_dt", "rcept_no")
+    e = kept(EV.extract_events(v.filings, None).select("event", "code", "rcept_dt", "rcept_no"), "extracted")  # titles are classed once, not for the cuts and each third
     m = K.day_map(v.cal, pad_before=30, pad_after=30).select(F.col("day").alias("rcept_dt"), F.coalesce("next_pos", v.cal.agg(F.max("pos")).scalar() + 1).alias("tpos"))
     path = J.work_path(v.spark, "events")
-    thirds(v, e, "rcept_dt", lambda s: J.run_available(J.dedupe_event_stream(s.join(m, "rcept_dt"), v.cal), path, J.event_writer(path)))
+    thirds(v, e, "rcept_dt", lambda s: J.run_available(J.dedupe_event_stream(s.join(m, "rcept_dt"), v.cal, buckets=1024), path, J.event_writer(path)))
     return J.read_batches(v.spark, path).select("event", "code", "rcept_no", "rcept_dt")
 
 
