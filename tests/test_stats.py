@@ -131,6 +131,12 @@ def test_bootstrap_block_of_full_length_is_the_mean(spark):
     assert abs(np.mean(some) - xs.mean()) < 0.05 and 0.3 < np.std(some) / (xs.std() / math.sqrt(40)) < 2
 
 
+def test_bootstrap_look_ups_stay_with_their_series(spark):
+    df = spark.range(40).selectExpr("id % 4 as k", "cast(id as int) as i", "cast(id as double) as x")
+    plan = S.block_bootstrap_means(df, ["k"], "i", "x", 5, n_boot=6)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_bootstrap_equals_resampled_series(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.normal(size=37), "b": rng.normal(size=3), "c": np.array([2.0])}
