@@ -89,8 +89,9 @@ def ingest_flows(raw: DataFrame) -> DataFrame:
         d = d.where(C.num("stck_clpr") > 0)
     d = d.select("code", C.ymd("stck_bsop_date").alias("date"), *[(C.num(s) * MILLION).alias(t) for s, t in names.items()], *(["seq"] if "seq" in raw.columns else []))
     if "seq" in raw.columns:
-        d = dedupe_last(d.withColumn("seq", -F.col("seq")), ["code", "date"], "seq").drop("seq")
-        return d
+        # numbers only: a max_by a column is a hash aggregate, one of whole rows sorts them twice; all columns come from the same row
+        early = F.coalesce(-F.col("seq").cast("long"), F.lit(-(1 << 63)))  # a row without seq is the last
+        return d.groupBy("code", "date").agg(*[F.max_by(c, early).alias(c) for c in names.values()])
     return d.dropDuplicates(["code", "date"])
 
 

@@ -81,6 +81,14 @@ def test_vendor_rows_are_landed_once(spark):
     assert "Window" not in plan and "l_suppkey" not in plan  # both branches read stored rows
 
 
+def test_first_flow_row_of_a_day_stays_whole_and_is_found_by_hash(spark):
+    cols = "code string, stck_bsop_date string, orgn_ntby_tr_pbmn string, etc_corp_ntby_tr_pbmn string, prsn_ntby_tr_pbmn string, frgn_ntby_tr_pbmn string, seq int"
+    data = [("A", "20240102", "1", "2", "-", "4", 2), ("A", "20240102", "9", "9", "9", "9", 3), ("A", "20240102", "8", "8", "8", "8", None), ("B", "20240102", "5", "-", "5", "5", None)]
+    got = L.ingest_flows(spark.createDataFrame(data, cols))
+    assert [(r["code"], r["inst"], r["corp"], r["indiv"], r["frgn"]) for r in rows(got, "code")] == [("A", 1e6, 2e6, None, 4e6), ("B", 5e6, None, 5e6, 5e6)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_financial_items(spark):
     cols = "bsns_year string, reprt_code string, corp_code string, stock_code string, rcept_no string, fs_div string, sj_div string, account_nm string, thstrm_amount string, thstrm_add_amount string, seq int"
     base = ("2025", "11012", "C", "5930", "20250814000001", "CFS")
