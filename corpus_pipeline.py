@@ -53,10 +53,12 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without passages of 20 words or more that stand earlier; texts that lose nothing stay as they are, texts that lose all go.
 
     n_chars, where the table has it, is counted again. Rows with null id come first (as -1); for rows that share an id see `cut_repeats`."""
-    rows, row = keyed(docs)
-    rest = free(docs, "text_left")
-    cut = cut_repeats(rows, row_col=row).filter("n_removed > 0").select(row, F.col("kept").alias(rest))
-    out = rows.join(cut, row, "left").filter(F.col(rest).isNull() | (F.col(rest) != "")).withColumn("text", F.coalesce(rest, "text"))
+    rest, names = free(docs, "other_columns"), [c for c in docs.columns if c.lower() != "text"]
+    none = free(docs, "no_text")  # the columns travel with the text, which is stored once and joined once
+    rows = docs.select("doc_id", "text", F.struct(*names, F.col("text").isNull().alias(none)).alias(rest))
+    cut = cut_repeats(rows, keep=("text", rest)).filter("n_removed = 0 or kept != ''")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).when(~F.col(f"{rest}.{none}"), F.col("text"))
+    out = cut.select(text.alias("text"), *[F.col(rest)[c].alias(c) for c in names])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*docs.columns)

@@ -120,14 +120,14 @@ def items(array: pa.Array) -> list:
     return [x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else None for x in array]
 
 
-def first_texts(docs: DataFrame, row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, text, copy), stored: whether an equal text stands under a smaller id. Texts are compared by a 128-bit digest; a hot text is combined before the shuffle.
+def first_texts(docs: DataFrame, row_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text, copy, and the columns `keep`), stored: whether an equal text stands under a smaller id. Texts are compared by a 128-bit digest; a hot text is combined before the shuffle.
 
     `row` is `row_col`, or else a number that is given when the table is written."""
     named = docs.withColumn("name", F.md5("text"))
     first = named.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("name", "least")
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    return store.stored(named.join(first, "name", "left").select(row.alias("row"), "doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy")), "marked")
+    return store.stored(named.join(first, "name", "left").select(row.alias("row"), "doc_id", "text", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), *keep), "marked")
 
 
 def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tuple[str, ...]) -> DataFrame:

@@ -384,6 +384,18 @@ def test_pipeline_stages(spark, docs, rows):
         assert cut.get(r["doc_id"]) == (source if not r["n_removed"] else r["kept"] or None)
 
 
+def test_passages_stage_stores_the_texts_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    made, stored = [], corpus_pipeline.store.stored
+    monkeypatch.setattr(corpus_pipeline.store, "stored", lambda df, name: made.append((name, "text" in df.columns)) or stored(df, name))
+    docs = spark.createDataFrame([(1, "a b", "x", 7), (2, None, "y", None), (None, "", "z", 0)], "doc_id int, text string, `odd name` string, n_chars int")
+    out = dict(corpus_pipeline.STAGES)["passages"](spark, docs, "")
+    assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(1, "a b", "x", 3), (2, None, "y", None), (None, "", "z", 0)], key=str)
+    assert [name for name, text in made if text] == ["marked"]
+
+
 def test_pipeline_rows_with_null_and_repeated_ids(spark):
     r = random.Random(6)
     fresh = lambda n, k=10**6: " ".join(f"word{r.randrange(k)}" for _ in range(n))
