@@ -396,6 +396,23 @@ def test_passages_stage_stores_the_texts_once(spark, monkeypatch):
     assert [name for name, text in made if text] == ["marked"]
 
 
+def test_quality_and_near_duplicates_store_no_text(spark, docs, monkeypatch):
+    made, stored = [], store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: made.append((name, df.schema.simpleString())) or stored(df, name))
+    for name in ("quality", "near_duplicates"):
+        dict(corpus_pipeline.STAGES)[name](spark, docs, "").count()
+    assert {"quality", "grouped", "picked"} <= {name for name, _ in made} and not [x for x in made if "text:" in x[1]]
+
+
+def test_near_duplicates_takes_one_of_equal_rows(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    data = [(2, words, "a", [1]), (2, words, "b", [2]), (None, words + " x", "c", None), (None, "y " + words.upper(), "d", None), (4, "\t", "e", None), (4, None, "f", None)]
+    docs = spark.createDataFrame(data, "doc_id int, text string, text_name string, many array<int>")
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert out.schema == docs.schema and len(got) == 3 and got[1:] == sorted(data[4:], key=str) and got[0] in data[:2]
+
+
 def test_pipeline_rows_with_null_and_repeated_ids(spark):
     r = random.Random(6)
     fresh = lambda n, k=10**6: " ".join(f"word{r.randrange(k)}" for _ in range(n))
