@@ -94,13 +94,13 @@ def edited(text: str, following: str) -> str:
 
 def _judged(texts: list[str], changed: list[str], codes: np.ndarray, next_codes: np.ndarray, e: np.ndarray) -> dict:
     return {
-        "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in changed],
-        "fingerprint": [x.tobytes().hex() for x in codes], "edited_fingerprint": [x.tobytes().hex() for x in e],
+        "n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(t.encode()).digest() for t in changed],
+        "fingerprint": [x.tobytes() for x in codes], "edited_fingerprint": [x.tobytes() for x in e],
         "near_edited": likeness(codes, e), "near_next": likeness(codes, next_codes),
     }
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 held = ids[-1], texts[-1], codes[-1:]
         if held is not None:
             yield pd.DataFrame({"part": [part], "head": [first], "tail": [True], "doc_id": pd.array([held[0]], dtype="Int64"), "text": [held[1]], "n_chars": [len(held[1])], "edited_sha256": [None],
-                                "fingerprint": [held[2].tobytes().hex()], "edited_fingerprint": [None], "near_edited": [None], "near_next": [None]})
+                                "fingerprint": [held[2].tobytes()], "edited_fingerprint": [None], "near_edited": [None], "near_next": [None]})
 
     made = store.stored(ordered.mapInPandas(work, f"part long, head boolean, tail boolean, doc_id long, text string, {RESULT}"), "fingerprints")
     heads = made.filter("head").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
@@ -148,22 +148,64 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            codes, after = (np.array([np.frombuffer(bytes.fromhex(x), dtype=np.uint8) for x in f[c]]).reshape(-1, LANES) for c in ("fingerprint", "next_fingerprint"))
+            codes, after = (np.array([np.frombuffer(x, dtype=np.uint8) for x in f[c]]).reshape(-1, LANES) for c in ("fingerprint", "next_fingerprint"))
             texts, changed = f["text"].tolist(), [edited(a, b) for a, b in zip(f["text"], f["next_text"], strict=True)]
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), **_judged(texts, changed, codes, after, embed(changed))})
 
     done = open_rows.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInPandas(finish, f"doc_id long, {RESULT}")
-    return made.filter("not tail").select("doc_id", *COLUMNS).union(done)
+    out = made.filter("not tail").select("doc_id", *COLUMNS).union(done)  # stored as bytes, given as hex
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
 
 
 def _codes(column) -> np.ndarray:
     return np.array([np.frombuffer(bytes.fromhex(v), dtype=np.uint8) for v in column], dtype=np.uint8).reshape(-1, LANES)
 
 
+def sketch(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A bit of every lane, in two 64-bit numbers, and the number of used lanes. Bits differ only where lanes do."""
+    bits = np.packbits(codes & 1, axis=1).view(np.int64).reshape(-1, 2)
+    return bits[:, 0].copy(), bits[:, 1].copy(), np.count_nonzero(codes, axis=1).astype(np.int32)
+
+
+def _equal_share(threshold: float) -> float:
+    """The least share of equal lanes among the used ones at which `likeness` reaches the threshold."""
+    share = max(threshold, 0.0) / (2 - max(threshold, 0.0))
+    return share and share * (1 - 1 / 255) + 1 / 255
+
+
+def may_be_near(x0, x1, xn, y0, y1, yn, threshold: float) -> np.ndarray:
+    """False only where the likeness is below the threshold, told by sketches. A near pair of at most m used lanes has (1 - share) * m unequal ones at most, and
+    m is at most the used lanes of either side divided by the share."""
+    share = _equal_share(threshold)
+    lanes = np.minimum(LANES, np.minimum(xn, yn) / share) if share else LANES
+    unlike = np.bitwise_count((x0 ^ y0).view(np.uint64)) + np.bitwise_count((x1 ^ y1).view(np.uint64))  # of signed numbers it would count the absolute value's bits
+    return unlike <= (1 - share) * lanes + 1e-6
+
+
 def _nodes(prints: DataFrame) -> DataFrame:
-    """(node, fingerprint, least_id): equal fingerprints are one node."""
-    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"))
-    return store.stored(least.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    """(node, fingerprint, least_id, s0, s1, used): equal fingerprints are one node; the last three are its sketch."""
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s0, s1, used = sketch(_codes(f["fingerprint"]))
+            yield f.assign(least_id=f["least_id"].astype("Int64"), s0=s0, s1=s1, used=used)
+
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("least_id")).withColumn("node", F.monotonically_increasing_id())
+    return store.stored(least.mapInPandas(add, "fingerprint string, least_id long, node long, s0 long, s1 long, used int"), "nodes")
+
+
+def hopeful(f: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The rows that may be near to one of another root in their bucket. Columns: bucket, node, root, s0, s1, used. All pairs are tried, one distance in the bucket at a time."""
+    f = f.sort_values("bucket", kind="stable")
+    bucket, root, x0, x1, used = (f[c].to_numpy() for c in ("bucket", "root", "s0", "s1", "used"))
+    end, good, at, far = np.searchsorted(bucket, bucket, side="right"), np.zeros(len(f), dtype=bool), np.arange(len(f)), 1
+    while len(at := at[at + far < end[at]]):
+        a = at[root[at] != root[at + far]]
+        b = a + far
+        near = may_be_near(x0[a], x1[a], used[a], x0[b], x1[b], used[b], threshold)
+        good[a[near]] = good[b[near]] = True
+        far += 1
+    return f.loc[good, ["bucket", "node", "root"]]
 
 
 def across(x: pd.DataFrame, y: pd.DataFrame | None, threshold: float) -> list[tuple[int, int, float]]:
@@ -184,18 +226,24 @@ def across(x: pd.DataFrame, y: pd.DataFrame | None, threshold: float) -> list[tu
 def _links(nodes: DataFrame, threshold: float, bands: int) -> DataFrame:
     """(a, b, near) between nodes: their components are those of all near pairs that share a bucket.
 
+    Pairs are tried by sketches first, 20 bytes beside the node, which rule out no near pair; whole fingerprints go only to what is left.
     Round one tries each member of a bucket against the bucket's least node. In a bucket that still holds several components, round two tries all pairs
-    across them. There, a component with CELL members or more is dealt into cells of its own, the small ones are dealt together, and a task gets pairs of
-    cells; cells of one component don't meet. A task returns a forest, so the links grow with the members, though the tries in a bucket of far
-    documents grow with its square.
+    across them: by sketches in buckets of up to CELL members, then what is left by fingerprints. There, a component with CELL members or more is dealt
+    into cells of its own, the small ones are dealt together, and a task gets pairs of cells; cells of one component don't meet. A task returns a forest, so
+    the links grow with the members, though the tries in a bucket of far documents grow with its square. Buckets are named by a 64-bit hash.
     """
     width = 2 * LANES // bands
-    key = ["band", "bucket"]
-    sliced = store.stored(nodes.select("node", F.posexplode(F.array(*[F.substring("fingerprint", 1 + width * i, width) for i in range(bands)])).alias(*key)), "bands")
-    lead = store.stored(sliced.groupBy(*key).agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select(*key, "a"), "leads")
-    lists = store.stored(sliced.join(lead, key), "buckets")
-    store.drop(sliced, lead)
-    tries = store.stored(lists.filter("node > a").select("a", F.col("node").alias("b")).distinct(), "tries")
+    key = ["bucket"]
+    sketched = nodes.select("node", "s0", "s1", "used")
+    sliced = nodes.select("node", "s0", "s1", "used", F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + width * i, width)) for i in range(bands)])).alias("bucket"))
+    lead = sliced.groupBy(*key).agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select(*key, "a")
+    lead = store.stored(lead.join(sketched.toDF("a", "a0", "a1", "an"), "a"), "leads")
+    share = _equal_share(threshold)
+    lanes = F.least(F.lit(float(LANES)), F.least("used", "an") / share) if share else F.lit(float(LANES))
+    hope = (F.col("node") > F.col("a")) & (F.bit_count(F.col("s0").bitwiseXOR(F.col("a0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("a1"))) <= (1 - share) * lanes + 1e-6)
+    lists = store.stored(sliced.join(lead, key).select(*key, "node", "s0", "s1", "used", F.when(hope, F.col("a")).alias("a")), "buckets")
+    store.drop(lead)
+    tries = store.stored(lists.filter("a is not null").select("a", F.col("node").alias("b")).distinct(), "tries")
     codes = nodes.select("node", "fingerprint")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,10 +254,16 @@ def _links(nodes: DataFrame, threshold: float, bands: int) -> DataFrame:
     tries = tries.join(codes.toDF("a", "fa"), "a").join(codes.toDF("b", "fb"), "b")
     first = store.stored(tries.select("a", "b", "fa", "fb").mapInPandas(verify, "a long, b long, near double"), "near")
 
-    placed = store.stored(lists.join(components(first), "node", "left").select(*key, "node", F.coalesce("root", "node").alias("root")), "placed")
-    several = store.stored(placed.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*key), "several")
-    left = store.stored(placed.join(several, key, "left_semi"), "open")
-    store.drop(lists, placed, several)
+    placed = store.stored(lists.drop("a").join(components(first), "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    several = store.stored(placed.groupBy(*key).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many")).filter("lo < hi").select(*key, "many"), "several")
+    store.drop(lists)
+    met = store.stored(placed.join(several, key), "met")
+    store.drop(placed, several)
+    lots = met.count() // LOT + 1
+    little = met.filter(F.col("many") <= CELL).select(*key, "node", "root", "s0", "s1", "used", F.pmod(F.xxhash64(*key), F.lit(lots)).alias("lot"))
+    left = little.groupBy("lot").applyInPandas(lambda f: hopeful(f, threshold), "bucket long, node long, root long")
+    left = store.stored(left.union(met.filter(F.col("many") > CELL).select(*key, "node", "root")), "open")
+    store.drop(met)
     heads = store.stored(left.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("own")), "heads")
     small = store.stored(heads.filter(F.col("own") < CELL).groupBy(*key).agg(F.sum("own").alias("rest")), "small")
     large = F.col("own") >= CELL
@@ -257,12 +311,14 @@ def near_pairs(prints: DataFrame, threshold: float = 0.8, bands: int = 32) -> Da
 
 def near_groups(prints: DataFrame, threshold: float = 0.8, bands: int = 32) -> DataFrame:
     """The rows of `prints` with near_group: the least doc_id of the row's component of near documents (see `near_pairs`); null where all ids of it are null."""
-    prints = store.stored(prints, "prints")
-    nodes = _nodes(prints)
+    nodes = _nodes(prints)  # prints is read again below, rows find their group by fingerprint
     roots = components(_links(nodes, threshold, bands))
     named = store.stored(nodes.join(roots, "node", "left").select("fingerprint", "least_id", F.coalesce("root", "node").alias("root")), "named")
+    store.drop(nodes, roots)
     least = named.groupBy("root").agg(F.min("least_id").alias("near_group"))
-    return prints.join(store.stored(named.join(least, "root").select("fingerprint", "near_group"), "groups"), "fingerprint").select(*prints.columns, "near_group")
+    groups = store.stored(named.join(least, "root").select("fingerprint", "near_group"), "groups")
+    store.drop(named)
+    return prints.join(groups, "fingerprint").select(*prints.columns, "near_group")
 
 
 def op9_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -297,6 +297,33 @@ def test_near_documents_behind_leaders_that_are_not_near(spark, monkeypatch):
     assert {(32, 33), (33, 34)} <= pairs
 
 
+def test_sketches_rule_out_far_pairs_and_no_near_one():
+    r = np.random.default_rng(8)
+    a = r.integers(1, 256, (4000, edits.LANES)).astype(np.uint8)
+    a[np.arange(edits.LANES) >= r.integers(1, edits.LANES + 1, len(a))[:, None]] = 0
+    b = np.where(r.random(a.shape) < r.random(len(a))[:, None] * 0.6, r.integers(0, 256, a.shape), a).astype(np.uint8)
+    for threshold in (0.0, 0.5, 0.8, 1.0):
+        near, may = edits.likeness(a, b) >= threshold, edits.may_be_near(*edits.sketch(a), *edits.sketch(b), threshold)
+        assert may[near].all() and near.any()
+    full = r.integers(1, 256, (4000, edits.LANES)).astype(np.uint8)
+    assert edits.may_be_near(*edits.sketch(full), *edits.sketch(full[::-1]), 0.8).mean() < 0.01
+
+
+def test_far_documents_of_a_bucket_are_dropped_before_fingerprints_travel(spark, monkeypatch):
+    """Six hundred far documents share a bucket, two of them are near; few others meet as whole fingerprints."""
+    r = np.random.default_rng(9)
+    codes = r.integers(1, 256, (600, edits.LANES)).astype(np.uint8)
+    codes[:, :4] = 7
+    codes[500, 8:] = codes[400, 8:]
+    sizes, stored = {}, store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: sizes.setdefault(name, []).append(out := stored(df, name)) or out)
+    monkeypatch.setattr(store, "drop", lambda *tables: None)
+    prints = spark.createDataFrame([(i, x.tobytes().hex()) for i, x in enumerate(codes)], "doc_id long, fingerprint string")
+    got = {x["doc_id"]: x["near_group"] for x in edits.near_groups(prints).collect()}
+    assert got == {i: 400 if i == 500 else i for i in range(600)}
+    assert sizes["tries"][0].count() < 20 and sizes["sides"][0].count() < 200  # of 600
+
+
 def test_network_learns_a_phrase():
     texts = [" ".join(["good", "day", "word", "other"][(i + j) % 4] for j in range(40)) for i in range(60)]
     toxic = np.array([i % 2 for i in range(60)])
