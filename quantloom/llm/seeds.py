@@ -139,11 +139,11 @@ def repeated(fresh: DataFrame, units: Units, seed: int, length: int, place: tupl
     earlier still), so steps 3 and 4 see every first occurrence, and a later one that is not settled shares a half with it.
     """
     at = F.struct(*place)
-    marks = store.stored(anchors(fresh, units, seed, length), "anchors")
+    marks = anchors(fresh, units, seed, length)  # made twice: a table of all of them is larger than the texts
     # tables that are joined back are written first: a join between plain shuffles lets Spark split a hot key, one on top of an aggregate does not
     shared = store.stored(marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("anchor"), "repeated")
     kept = store.stored(marks.join(shared, "anchor", "left_semi").select("row", "doc_id", "pos", "around"), "shared")
-    store.drop(marks, shared)
+    store.drop(shared)
     first = store.stored(kept.groupBy("around").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("first")).filter("many > 1").select("around", "first"), "first-around")
     ranked = kept.join(first, "around", "left").select("row", "pos", F.coalesce(at > F.col("first"), F.lit(False)).alias("later"))
     split = store.stored(ranked.groupBy("row").agg(F.collect_set(F.when(~F.col("later"), F.col("pos"))).alias("seeds"), F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("settled")), "seeds")

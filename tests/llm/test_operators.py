@@ -440,6 +440,15 @@ def test_near_duplicates_takes_one_of_equal_rows(spark):
     assert out.schema == docs.schema and len(got) == 3 and got[1:] == sorted(data[4:], key=str) and got[0] in data[:2]
 
 
+def test_anchors_that_stand_once_are_never_stored(docs, monkeypatch):
+    made, stored = {}, store.stored
+    monkeypatch.setattr(store, "stored", lambda df, name: made.setdefault(name, df.columns) and stored(df, name))
+    for run in (suffixes.cut_suffixes, repeats.cut_repeats):
+        made.clear()
+        run(docs)
+        assert "shared" in made and not [name for name, columns in made.items() if "anchor" in columns and "around" in columns]
+
+
 def test_pipeline_rows_with_null_and_repeated_ids(spark):
     r = random.Random(6)
     fresh = lambda n, k=10**6: " ".join(f"word{r.randrange(k)}" for _ in range(n))
