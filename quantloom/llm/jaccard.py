@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quantloom.llm import arrays, store
 from quantloom.llm.components import components
 
-SKETCH_BITS = 16
+SKETCH_BITS, SLICE = 20, 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -50,26 +50,44 @@ def _list_array(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """Occurrences of shingles over all documents by the top bits of their hash: a table of fixed size, whatever the input."""
+    """How often shingles occur over all documents by the top bits of their hash, as a 16-bit logarithm: a table of fixed size, whatever the input. Tasks send slices of it, which are summed as they come."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for _, _, data, offsets in arrays.chunks(batch.column(0)):
                 values, _ = shingle_sets(data, offsets, k)
-                total += np.bincount((values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount(_slots(values), minlength=len(total))
         used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
+        slices, starts = np.unique(used // SLICE, return_index=True)
+        ends = pa.array(np.append(starts, len(used)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(slices), pa.ListArray.from_arrays(ends, pa.array(used)), pa.ListArray.from_arrays(ends, pa.array(total[used]))], ["slice", "slot", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(1 << SKETCH_BITS, dtype=np.int64), np.zeros((1 << SKETCH_BITS) // SLICE, dtype=bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy()] = True
+            np.add.at(total, batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+        rare = np.minimum(np.log1p(total) * 2000, 65535).astype(np.uint16).reshape(-1, SLICE)
+        slices = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(slices), pa.array([rare[i].tobytes() for i in slices], pa.binary())], ["slice", "rare"])
 
-    rows = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["n"]
-    return out
+    parts = docs.select("text").mapInArrow(count, "slice long, slot array<long>, n array<long>").repartition("slice")
+    summed = store.stored(parts.mapInArrow(add, "slice long, rare binary"), "rarity")
+    out = np.zeros(((1 << SKETCH_BITS) // SLICE, SLICE), dtype=np.uint16)
+    for i, rare in summed.toPandas().itertuples(index=False):
+        out[i] = np.frombuffer(rare, dtype=np.uint16)
+    store.drop(summed)
+    return out.ravel()
 
 
 def _summaries(docs: DataFrame, k: int, percent: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n, node, short): `short` are the shingles whose lists are merged, the rarest n - T + 1, with T the least overlap of any link."""
+    """(doc_id, n, node, short): `short` are the shingles whose lists are merged, the rarest n - T + 1, rarest first, with T the least overlap of any link."""
     often = docs.sparkSession.sparkContext.broadcast(_frequencies(docs, k))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +95,7 @@ def _summaries(docs: DataFrame, k: int, percent: int, keep: tuple[str, ...] = ()
             for lo, hi, data, offsets in arrays.chunks(batch.column(1)):
                 values, first = shingle_sets(data, offsets, k)
                 n = np.diff(first)
-                rare = often.value[(values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                rare = often.value[_slots(values)]
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((values, rare, owner))
                 take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
@@ -138,9 +156,13 @@ def link_documents(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str =
     left for probing; the n - T + 1 rarest are the short lists. Short lists are merged by Spark's sort (the shuffle on the shingle takes the heap's place),
     the long ones are probed by binary search. Rarity comes from a count sketch of fixed size over all documents; any order gives the same links.
 
-    Equal sets are one node. A first round tries each node against the least node of each of its lists; the second takes all pairs of a list that the first did
-    not connect. Both count the short lists that a pair shares and probe only those that share enough, so whole sets are made for the nodes of these pairs alone.
-    A list of many near copies costs one try a member, and no link between different components is lost.
+    Equal sets are one node. Sets of a and b shingles link with an overlap of o = ceil(percent * (a + b) / (100 + percent)) at least, so their rarest common shingle
+    has o - 1 others behind it in both. With the place of a shingle in a set this gives the largest partner (`cap`) that the set may meet first in this list;
+    a node leaves lists in which no member is that small, and pairs above either cap are not made: near copies that do not link mostly meet too late.
+
+    A first round tries each node against one node of each of its lists, the one with the fewest rarer shingles of its own, which of a family is the nearest to
+    all; the second takes the pairs of a list that the first did not connect. Both count the short lists that a pair shares and probe only those that share enough, so whole sets are made for the nodes of these
+    pairs alone. A list of many near copies costs one try a member, and no link between different components is lost.
 
     Null or empty text, or text without words: 0 shingles, its own component. Null id: component of the others, null when alone. Repeated rows are equal
     sets. A repeated id with different texts: a node per text. An empty table gives an empty table. Extra columns are ignored.
@@ -154,33 +176,42 @@ def linked(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id
     summary = store.stored(_summaries(docs, k, percent, keep), "sets")
     nodes = summary.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("short").alias("short"), F.min("doc_id").alias("least_id"))
     nodes = store.stored(nodes, "nodes")
-    posted = nodes.select(F.explode("short").alias("shingle"), "node", "n")
-    leaders = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("lead")).filter("many > 1")
-    lists = store.stored(posted.join(leaders.select("shingle", "lead"), "shingle"), "lists")
+    cap = F.expr(f"({100 + percent} * (n - pos) - {percent} * n) div {percent}")
+    posted = nodes.select(F.posexplode("short").alias("pos", "shingle"), "node", "n").select("shingle", "pos", "node", "n", cap.alias("cap"))
+    lead = F.min(F.struct("pos", "node", "n", "cap")).alias("lead")
+    leaders = posted.groupBy("shingle").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least_n"), lead).filter("many > 1")
+    lists = posted.join(leaders.select("shingle", "least_n", "lead"), "shingle").filter("cap >= least_n").drop("pos", "least_n")
+    lists = store.stored(lists, "lists")
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     # a partner of the needed overlap stands in at least overlap + 1 - T of the merged lists, T being that of the larger set
     least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent} + 1 - ({percent} * greatest(na, nb) + 99) div 100")
 
-    led = lists.filter(fits(F.col("n"), F.col("lead.n")) & (F.col("node") != F.col("lead.node")))
-    led = led.groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.first("n").alias("na"), F.first("lead.n").alias("nb"))
-    a, b = nodes.select(F.col("node").alias("a"), F.col("short").alias("x")), nodes.select(F.col("node").alias("b"), F.col("short").alias("y"))
-    met = F.size(F.array_intersect("x", "y"))
-    first = _probed(led.join(a, "a").join(b, "b").filter(met >= least).select("a", "b"), docs, summary, k, percent)
+    def enough(pairs: DataFrame) -> DataFrame:
+        a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("short").alias("x"))
+        b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("short").alias("y"))
+        return pairs.join(a, "a").join(b, "b").filter(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
+
+    may_meet = (F.col("n") <= F.col("lead.cap")) & (F.col("lead.n") <= F.col("cap"))
+    led = lists.filter(fits(F.col("n"), F.col("lead.n")) & may_meet & (F.col("node") != F.col("lead.node")))
+    first = _probed(enough(led.select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()), docs, summary, k, percent)
 
     roots = components(first)
-    placed = lists.join(roots, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = lists.join(roots, "node", "left").select("shingle", "node", "n", "cap", F.coalesce("root", "node").alias("root"))
     open_lists = placed.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("shingle")
     placed = store.stored(placed.join(open_lists, "shingle"), "open")
     store.drop(lists, roots)
-    heads = placed.groupBy("shingle", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    heads = placed.groupBy("shingle", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("cap").alias("most"))
     x, y = heads.alias("x"), heads.alias("y")
     near = (F.col("x.root") < F.col("y.root")) & (100 * F.col("x.hi") >= percent * F.col("y.lo")) & (100 * F.col("y.hi") >= percent * F.col("x.lo"))
-    facing = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & near).select(F.col("x.shingle").alias("shingle"), F.col("x.root").alias("r"), F.col("y.root").alias("s"))
-    a = placed.select("shingle", F.col("root").alias("r"), F.col("node").alias("a"), F.col("n").alias("na"))
-    b = placed.select("shingle", F.col("root").alias("s"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = facing.join(a, ["shingle", "r"]).join(b, ["shingle", "s"]).filter(fits(F.col("na"), F.col("nb")))
-    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("met")).filter(F.col("met") >= least).select("a", "b")
-    second = _probed(rest, docs, summary, k, percent)
+    near = near & (F.col("x.most") >= F.col("y.lo")) & (F.col("y.most") >= F.col("x.lo"))
+    facing = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & near)
+    facing = facing.select(F.col("x.shingle").alias("shingle"), F.col("x.root").alias("r"), F.col("y.root").alias("s"), F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"), F.col("y.most").alias("most")).alias("f")
+    a, b = placed.alias("a"), placed.alias("b")
+    of_x = (F.col("f.shingle") == F.col("a.shingle")) & (F.col("r") == F.col("a.root")) & (F.col("a.cap") >= F.col("lo")) & (F.col("most") >= F.col("a.n"))
+    of_x = of_x & (100 * F.col("a.n") >= percent * F.col("lo")) & (100 * F.col("hi") >= percent * F.col("a.n"))
+    of_y = (F.col("f.shingle") == F.col("b.shingle")) & (F.col("s") == F.col("b.root")) & (F.col("a.cap") >= F.col("b.n")) & (F.col("b.cap") >= F.col("a.n")) & fits(F.col("a.n"), F.col("b.n"))
+    rest = facing.join(a, of_x).join(b, of_y).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    second = _probed(enough(rest), docs, summary, k, percent)
     store.drop(placed)
 
     roots = components(first.union(second))

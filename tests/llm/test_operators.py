@@ -81,6 +81,65 @@ def test_jaccard_near_copies_chain(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_jaccard_near_the_threshold_equals_brute_force(spark):
+    """Texts of many sizes cut from few bases with edits, so that overlaps lie on both sides of the threshold; some shingles stand in a third of them."""
+    r = random.Random(21)
+    texts = []
+    for base in ([f"b{i}x{j}" for j in range(120)] for i in range(6)):
+        for _ in range(25):
+            lo = r.randrange(12)
+            w = base[lo:lo + r.choice([30, 60, 100, 108])]
+            for _ in range(r.randrange(4)):
+                w[r.randrange(len(w))] = f"e{r.randrange(40)}"
+            texts.append(" ".join(w + ["common", "tail", "of", "many", "texts"] * r.choice([0, 0, 1])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for k, percent in ((3, 90), (5, 80), (2, 55)):
+        sets = [{tuple(t.split()[i:i + k]) for i in range(len(t.split()) - k + 1)} for t in texts]
+        label = list(range(len(sets)))
+        for _ in sets:
+            old = list(label)
+            for a in range(len(sets)):
+                for b in range(a):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        label[a] = label[b] = min(label[a], label[b])
+            if label == old:
+                break
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.link_documents(docs, k, percent).collect()}
+        assert got == dict(enumerate(label)) and len(set(label)) < len(label)
+
+
+def test_jaccard_copies_that_do_not_link_meet_in_no_list(spark, monkeypatch):
+    """A group in which all pairs share four fifths of their shingles and none links: its pairs are not made."""
+    core = [f"c{i}" for i in range(120)]
+    data = [(i, " ".join(core + [f"own{i}x{j}" for j in range(20)])) for i in range(80)]
+    seen, stored = {}, store.stored
+    monkeypatch.setattr(jaccard.store, "stored", lambda df, name: seen.setdefault(name, []).append(stored(df, name)) or seen[name][-1])
+    monkeypatch.setattr(jaccard.store, "drop", lambda *tables: None)
+    out = jaccard.link_documents(spark.createDataFrame(data, "doc_id long, text string"), 5, 80).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out)
+    assert [t.count() for t in seen["open"]] == [0]
+
+
+def test_jaccard_tries_the_middle_of_a_family(spark, monkeypatch):
+    """Every copy links to the base and no two copies to each other: the base is tried, whatever its name, so no pair is left for the second round."""
+    base = [f"c{i}" for i in range(200)]
+    data = [(0, " ".join(base))] + [(i, " ".join([*base[:i], f"own{i}", *base[i + 1:]])) for i in range(10, 190, 6)]
+    seen, stored = {}, store.stored
+    monkeypatch.setattr(jaccard.store, "stored", lambda df, name: seen.setdefault(name, []).append(stored(df, name)) or seen[name][-1])
+    monkeypatch.setattr(jaccard.store, "drop", lambda *tables: None)
+    out = jaccard.link_documents(spark.createDataFrame(data, "doc_id long, text string"), 5, 95).collect()
+    assert {r["component_id"] for r in out} == {0}
+    assert [t.count() for t in seen["pairs"]] == [len(data) - 1, 0]
+
+
+def test_jaccard_rarity_counts_every_document(docs, rows):
+    total = np.zeros(1 << jaccard.SKETCH_BITS)
+    for _, t, *_ in rows:
+        b = (t or "").encode()
+        total += np.bincount(jaccard._slots(jaccard.shingle_sets(np.frombuffer(b, dtype=np.uint8), np.array([0, len(b)]), 3)[0]), minlength=len(total))
+    assert (jaccard._frequencies(docs, 3) == (np.log1p(total) * 2000).astype(np.uint16)).all()
+
+
 def test_word_repeats_equal_brute_force(docs, rows):
     seen, want = set(), set()
     for d, t, *_ in rows:
