@@ -1,4 +1,5 @@
 import glob
+import itertools
 import json
 import re
 import tempfile
@@ -321,3 +322,20 @@ def test_move_alerts_after_a_close_of_zero(spark):
     got = {r["event_id"]: (r["side"], r["threshold"]) for r in J.read_batches(spark, out).collect()}
     assert {4, 5, 6, 8, 90} == got.keys()  # the mean of day 5 is 2.5, so 5.1 is a surge
     assert [got[i][0] for i in (4, 5, 6, 8, 90)] == ["plunge", "surge", "surge", "surge", "surge"] and got[6][1] == got[8][1] == 0.15
+
+
+def test_move_alerts_add_prices_in_the_order_of_ids(spark):
+    days, prices = business_days("2024-01-02", 6), (17.68, 31.34, 66.18)
+    src, out = work(), work() + "/al"
+    with open(f"{src}/0.json", "w") as f:
+        for n, order in enumerate(itertools.permutations(range(3))):
+            ticks = [(d, p) for d, p in zip(days, (10.0, 20.0, 10.0, 20.0))] + [(days[4], prices[k]) for k in order] + [(days[5], 32.64)]
+            ids = [0, 1, 2, 3, *[4 + k for k in order], 9]
+            f.writelines(json.dumps({"event_id": 10 * n + i, "code": f"C{n}", "date": str(d), "price": p}) + "\n" for i, (d, p) in zip(ids, ticks))
+    J.run_available(J.move_alerts(spark.readStream.schema("event_id long, code string, date date, price double").json(src), min_obs=2), out)
+    got = {r["event_id"] for r in J.read_batches(spark, out).collect()}
+    total = 0.0
+    for p in prices:
+        total += p
+    assert {10 * n + 9 in got for n in range(6)} == {32.64 / (total / 3) - 1 < -0.15}  # the same for all orders of the rows
+    assert len({32.64 / (((prices[a] + prices[b]) + prices[c]) / 3) - 1 < -0.15 for a, b, c in itertools.permutations(range(3))}) == 2
