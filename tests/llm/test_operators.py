@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quantloom.llm import edits, jaccard, mixing, packing, quality, repeats, store, suffixes, toxicity, url_rules, warc
+from quantloom.llm import edits, jaccard, mixing, packing, quality, repeats, seeds, store, suffixes, toxicity, url_rules, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -508,6 +508,26 @@ def test_anchors_that_stand_once_are_never_stored(docs, monkeypatch):
         assert "shared" in made and not [name for name, columns in made.items() if "anchor" in columns and "around" in columns]
 
 
+def test_anchors_travel_packed(spark, monkeypatch):
+    """A document full of one byte, parts that get nothing, anchors known in their chunk: rows as by brute force, and no row for each anchor before they are known to repeat."""
+    r = random.Random(9)
+    data = [(1, "x" * 400), (2, " ".join(f"q{r.randrange(10**9)}" for _ in range(400))), (3, "y" + "x" * 90 + "z"), (4, "short")] + [(d, f"{d} " + "x" * 60 + f"{r.random()}" * 3) for d in range(5, 9)]
+    monkeypatch.setattr(seeds, "PIECE", 100)
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    rows = docs.select("doc_id", "text", repeats.F.col("doc_id").alias("row"))
+    dealt = seeds.anchors(rows, seeds.byte_units, 16, 50, 5).collect()
+    assert sum(len(x["anchor"]) // 8 for x in dealt if not x["known"]) > 200 > 4 * len(dealt) and all(len(x["row"]) <= 800 for x in dealt if x["known"])
+    assert len({(x["part"], y) for x in dealt for y in (x["anchor"][i:i + 8] for i in range(0, len(x["anchor"]), 8))}) == len({y for x in dealt for y in (x["anchor"][i:i + 8] for i in range(0, len(x["anchor"]), 8))})
+    first, want = {}, set()
+    for d, t in data:
+        gone = set()
+        for i in range(len(t) - 49):
+            if first.setdefault(t[i:i + 50], d) < d:
+                gone.update(range(i, i + 50))
+        want.add((d, len(gone), "".join(x for i, x in enumerate(t) if i not in gone)))
+    assert {(x["doc_id"], x["n_removed"], bytes(x["kept"]).decode()) for x in suffixes.cut_suffixes(docs).collect()} == want and any(n for _, n, _ in want)
+
+
 def test_pipeline_rows_with_null_and_repeated_ids(spark):
     r = random.Random(6)
     fresh = lambda n, k=10**6: " ".join(f"word{r.randrange(k)}" for _ in range(n))
